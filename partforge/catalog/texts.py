@@ -74,6 +74,11 @@ def codes(spark, sf_dir) -> DataFrame:
     return docs.select("doc_id", "source", _wrapped(CODES, 5).alias("code"))
 
 
+def raw_outputs(spark, sf_dir) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", "source", _wrapped(OUTPUTS, 4).alias("response"))
+
+
 ANSWERS_SQL = f"a AS (SELECT doc_id, {_wrapped_sql(ANSWERS, 4)} AS response FROM documents)"
 OUTPUTS_SQL = f"a AS (SELECT doc_id, {_wrapped_sql(OUTPUTS, 4)} AS response FROM documents)"
 CODES_SQL = f"a AS (SELECT doc_id, source, {_wrapped_sql(CODES, 5)} AS code FROM documents)"
@@ -130,8 +135,7 @@ CLEAN_SQL = f"""
 
 @query(f"WITH {OUTPUTS_SQL}, {CLEAN_SQL} SELECT doc_id, code FROM x")
 def clean_response(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    outputs = docs.select("doc_id", _wrapped(OUTPUTS, 4).alias("response"))
+    outputs = raw_outputs(spark, sf_dir)
     return outputs.select("doc_id", t.clean_response(F.col("response")).alias("code"))
 
 
@@ -189,14 +193,10 @@ SYNTAX_SQL = f"""
 PASS_RATE_SQL = """SELECT {by}, grouping({by}) = 1 AS overall, count(*) AS total,
       count(*) FILTER (valid) AS passed, count(*) FILTER (NOT valid) AS failed,
       count(*) FILTER ({warned}) AS warnings,
-      round(count(*) FILTER (valid) / count(*)::DOUBLE * 100, 6) AS pass_rate
+      count(*) FILTER (valid) / count(*)::DOUBLE * 100 AS pass_rate
     FROM x GROUP BY ROLLUP ({by})"""
 
 
-def _rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
-    return df.withColumns({c: F.round(c, digits) for c in columns})
-
-
 @query(
     f"""WITH {SYNTAX_SQL} SELECT doc_id, len(errors) = 0 AS valid,
         array_to_string(errors, '; ') AS errors FROM x"""
@@ -212,7 +212,7 @@ def check_syntax_errors(spark, sf_dir):
         {PASS_RATE_SQL.format(by="source", warned="false")}"""
 )
 def syntax_pass_rate(spark, sf_dir):
-    return _rounded(pass_rate(check_syntax(codes(spark, sf_dir)), "source"), "pass_rate")
+    return pass_rate(check_syntax(codes(spark, sf_dir)), "source")
 
 
 @query(
@@ -223,7 +223,7 @@ def syntax_pass_rate(spark, sf_dir):
 def validate_job(spark, sf_dir):
     path = F.format_string("runs/%s/%02d_part.scad", F.col("source"), F.col("doc_id"))
     files = codes(spark, sf_dir).select(path.alias("path"), F.col("code").alias("content"))
-    return _rounded(validate_syntax(files), "pass_rate")
+    return validate_syntax(files)
 
 
 @query(
@@ -236,10 +236,9 @@ def validate_job(spark, sf_dir):
 )
 def cleaned_pass_rate(spark, sf_dir):
     """Raw outputs, cleaned, checked, and counted per source."""
-    docs = table(spark, sf_dir, "documents")
-    outputs = docs.select("source", _wrapped(OUTPUTS, 4).alias("response"))
+    outputs = raw_outputs(spark, sf_dir)
     cleaned = outputs.select("source", t.clean_response(F.col("response")).alias("code"))
-    return _rounded(pass_rate(check_syntax(cleaned), "source"), "pass_rate")
+    return pass_rate(check_syntax(cleaned), "source")
 
 
 @query(
@@ -344,7 +343,7 @@ def validator_outcomes(spark, sf_dir):
 )
 def validator_pass_rate(spark, sf_dir):
     run = F.concat(F.lit("user_"), F.col("user_id") % 7)
-    return _rounded(validate_logs(tool_log(spark, sf_dir).withColumn("run", run)), "pass_rate")
+    return validate_logs(tool_log(spark, sf_dir).withColumn("run", run))
 
 
 @query(

@@ -4,16 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-SOURCE = T.StructType.fromDDL("name STRING, code STRING")
+SOURCE = T.StructType().add("name", "string").add("code", "string")
 
-RESULT = T.StructType.fromDDL(
-    "name STRING, code STRING, original_code STRING, status STRING, valid BOOLEAN"
+RESULT = (
+    T.StructType()
+    .add("name", "string")
+    .add("code", "string")
+    .add("original_code", "string")
+    .add("status", "string")
+    .add("valid", "boolean")
 )
 
-ATTEMPT = T.StructType.fromDDL(
-    "row_id BIGINT, name STRING, attempt INT, response STRING, error STRING"
+ATTEMPT = (
+    T.StructType()
+    .add("row_id", "long")
+    .add("name", "string")
+    .add("attempt", "integer")
+    .add("response", "string")
+    .add("error", "string")
 )
-
-PAIR = T.StructType.fromDDL("input STRING, output STRING")
-
-MESSAGES = "ARRAY<STRUCT<role: STRING, content: STRING>>"
