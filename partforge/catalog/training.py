@@ -10,7 +10,7 @@ from partforge.functions.chat import render_chat, render_prompt, to_messages
 from partforge.functions.tokens import SuppliedTokenizer, WordTokenizer
 from partforge.operators import ordering, stats, tokenized
 from partforge.operators.projections import to_pairs, turn_pairs
-from partforge.plans.prepare import batched_epochs, packed_blocks, prepare_job
+from partforge.plans.prepare import MASKED, SHIFTED, batched_epochs, packed_blocks, prepare_job
 from partforge.session import shared_folder
 from partforge.sources.datasets import read_many, write_prepared
 
@@ -256,7 +256,9 @@ def packed_documents(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("row_id"), LENGTHS.ids(F.col("text")).alias("ids")
     )
-    return _block_text(tokenized.pack(docs, BLOCK, ["ids"]), "ids")
+    folder = shared_folder(spark, "encoded")
+    write_prepared(docs, folder)
+    return _block_text(tokenized.pack(spark.read.parquet(folder), BLOCK, ["ids"]), "ids")
 
 
 ORDER_SQL = f"""r AS (SELECT doc_id AS row_id, epoch, row_number() OVER (PARTITION BY epoch
@@ -317,11 +319,12 @@ def checkpoints(spark, sf_dir):
 # --- the whole preparation ----------------------------------------------------------------
 
 
-def _prepared(spark, sf_dir):
+def _prepared(spark, sf_dir, *shapes: str):
     docs = table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("row_id"), F.col("source").alias("name"), F.col("text").alias("code")
     )
-    return prepare_job(spark, docs, shared_folder(spark, "prepared"), LENGTHS, token_limit=1000)
+    out = shared_folder(spark, "prepared")
+    return prepare_job(spark, docs, out, LENGTHS, token_limit=1000, shapes=shapes)
 
 
 _SOURCE_SQL = """p AS (SELECT doc_id, 'hey assistant, create me a ' || source AS input,
@@ -350,7 +353,7 @@ def prepare_job_statistics(spark, sf_dir):
         FROM r JOIN d USING (row_id)"""
 )
 def prepare_job_batches(spark, sf_dir):
-    batches = batched_epochs(spark, _prepared(spark, sf_dir), N_EPOCHS, BATCH, SEED)
+    batches = batched_epochs(spark, _prepared(spark, sf_dir, SHIFTED), N_EPOCHS, BATCH, SEED)
     learned = F.aggregate("weights", F.lit(0).cast("bigint"), lambda total, w: total + w)
     return batches.select(
         "epoch", "row_id", "batch", _text("input_tokens"), learned.alias("learned")
@@ -366,7 +369,7 @@ def prepare_job_batches(spark, sf_dir):
         {PACKED_SQL.format(block=4096)}"""
 )
 def prepare_job_blocks(spark, sf_dir):
-    return _block_text(packed_blocks(spark, _prepared(spark, sf_dir), 4096), "labels")
+    return _block_text(packed_blocks(spark, _prepared(spark, sf_dir, MASKED), 4096), "labels")
 
 
 @query("SELECT doc_id, lang, text FROM documents")

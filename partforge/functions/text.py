@@ -8,6 +8,7 @@ split into an array unless a rule needs per-line arithmetic.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -44,22 +45,39 @@ def _any_of(words: list[str]) -> str:
     return "|".join(re.escape(w) for w in words)
 
 
-# (?d) keeps "\n" as the only line end, (?m) lets ^ and $ match at each line,
-# and \A(?s:.*?) is the text before the first line that the lookahead accepts.
-_BEFORE_CODE = (
-    r"(?dm)\A(?s:.*?)(?=^"
-    + _BLANK
-    + rf"*+(?!{_any_of(LEAD_INS)})(?:{_any_of(CODE_STARTS)}|.*(?:{_any_of(CODE_WORDS)})))"
+_WORD_LETTERS = "".join(sorted({word[0] for word in CODE_WORDS}))
+
+# (?d) keeps "\n" as the only line end and (?m) lets ^ and $ match at each line.
+# Possessive *+ stops the blanks from being given back to satisfy a lookahead, and
+# the first letters of the code words save trying each word at every character.
+_FROM_CODE = (
+    rf"(?dm)^{_BLANK}*+(?!{_any_of(LEAD_INS)})"
+    rf"(?:{_any_of(CODE_STARTS)}|.*?(?=[{_WORD_LETTERS}])(?:{_any_of(CODE_WORDS)}))(?s:.*)"
 )
-_BEFORE_CONTENT = (
-    r"(?dm)\A(?s:.*?)(?=^"
-    + rf"(?!{_BLANK}*+(?:(?:{_any_of(ROLE_LINES)}){_BLANK}*+)?$)"
-    + rf"(?!.*(?:{_any_of(JUNK_PARTS)}))"
-    + rf"(?!.*{re.escape(JUNK_ENDING)}{_BLANK}*+$)"
-    + r"[^\n])"
+_FROM_CONTENT = (
+    rf"(?dm)^(?!{_BLANK}*+(?:(?:{_any_of(ROLE_LINES)}){_BLANK}*+)?$)"
+    rf"(?!.*(?:{_any_of(JUNK_PARTS)}))"
+    rf"(?!.*{re.escape(JUNK_ENDING)}{_BLANK}*+$)"
+    r"(?s:.+)"
 )
-_FROM_GARBAGE_LINE = rf"(?dm)^.*{GARBAGE_RUN}(?s:.*)"
 _NOT_PLAIN = r"[^\x20-\x7e\n]"
+# The class of GARBAGE_RUN without repeats, and the part of it in plain text:
+# Java tries the members one by one, so fewer are several times faster.
+_GARBAGE = r"(?=[Ndfklrv\u0400-\uffff])[а-яА-ЯЎџａkrvldfN]{5}"
+_PLAIN_GARBAGE = r"[krvldfN]{5}"
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Evaluate a costly value once for an expression that names it several times."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _cut_before(text: Column, pattern: str) -> Column:
+    """The match of a pattern that runs to the end of the text, or all of the text without one."""
+    return _let(
+        F.regexp_extract(text, pattern, 0),
+        lambda found: F.when(found != "", found).otherwise(text),
+    )
 
 
 def strip(c: Column) -> Column:
@@ -69,7 +87,7 @@ def strip(c: Column) -> Column:
 
 def trim_response(c: Column) -> Column:
     """The trimmed response; NULL where nothing is left."""
-    return F.nullif(strip(c), F.lit(""))
+    return _let(strip(c), lambda trimmed: F.when(trimmed != "", trimmed))
 
 
 def extract_code(c: Column) -> Column:
@@ -78,38 +96,52 @@ def extract_code(c: Column) -> Column:
     NULL or empty input gives NULL; the result may be empty, which callers treat
     as a failed extraction.
     """
-    fenced = (
+    return _let(
+        c,
+        lambda answer: F.when(
+            answer != "",
+            _let(_fenced(answer), lambda body: strip(_cut_before(body, _FROM_CODE))),
+        ),
+    )
+
+
+def _fenced(answer: Column) -> Column:
+    """The first fenced block, tagged ones first; all of the answer without a fence."""
+    return (
         F.when(
-            F.contains(c, F.lit(TAGGED_FENCE)),
-            F.substring_index(F.split_part(c, F.lit(TAGGED_FENCE), F.lit(2)), FENCE, 1),
+            F.contains(answer, F.lit(TAGGED_FENCE)),
+            F.substring_index(F.split_part(answer, F.lit(TAGGED_FENCE), F.lit(2)), FENCE, 1),
         )
-        .when(F.contains(c, F.lit(FENCE)), F.split_part(c, F.lit(FENCE), F.lit(2)))
-        .otherwise(c)
+        .when(F.contains(answer, F.lit(FENCE)), F.split_part(answer, F.lit(FENCE), F.lit(2)))
+        .otherwise(answer)
     )
-    return F.when(F.length(c) > 0, strip(F.regexp_replace(fenced, _BEFORE_CODE, "")))
 
 
 def clean_response(c: Column) -> Column:
     """Code within a decoded model output: no chat header, special tokens or garbage tail."""
-    text = F.substring_index(c, ASSISTANT_HEADER, -1)
-    text = F.regexp_replace(text, _BEFORE_CONTENT, "")
+    text = _let(
+        F.substring_index(c, ASSISTANT_HEADER, -1), lambda s: _cut_before(s, _FROM_CONTENT)
+    )
     for mark in STOP_MARKS:
         text = F.substring_index(text, mark, 1)
-    text = F.regexp_replace(text, _FROM_GARBAGE_LINE, "")
-    return strip(F.when(F.rlike(text, F.lit(_NOT_PLAIN)), _readable_lines(text)).otherwise(text))
-
+    return strip(_let(text, _readable))
 
-def _readable_lines(text: Column) -> Column:
-    """Lines before the first non-blank one with less than 80 % printable ASCII."""
 
-    def unreadable(line: Column) -> Column:
-        odd = F.length(F.regexp_replace(line, r"[\x20-\x7e]+", ""))
-        return (odd * 5 > F.length(line)) & (strip(line) != "")
-
-    flags = F.transform(F.split(text, "\n", -1), unreadable)
+def _readable(text: Column) -> Column:
+    """Lines before the first one that is garbage; plain text without a garbage run is all kept."""
+    suspect = F.rlike(text, F.lit(_NOT_PLAIN)) | F.rlike(text, F.lit(_PLAIN_GARBAGE))
+    flags = F.transform(F.split(text, "\n", -1), _is_garbage)
     # A closing True gives the position of the end when every line is readable.
     kept = F.array_position(F.concat(flags, F.array(F.lit(True))), True) - 1
-    return F.call_function("substring_index", text, F.lit("\n"), kept.cast("int"))
+    first = F.call_function("substring_index", text, F.lit("\n"), kept.cast("int"))
+    return F.when(suspect, first).otherwise(text)
+
+
+def _is_garbage(line: Column) -> Column:
+    """A non-blank line with less than 80 % printable ASCII, or with a garbage run."""
+    odd = F.length(F.regexp_replace(line, r"[\x20-\x7e]+", ""))
+    mostly_odd = (odd * 5 > F.length(line)) & (strip(line) != "")
+    return mostly_odd | F.rlike(line, F.lit(_GARBAGE))
 
 
 def preview(c: Column, n: int, mark: str = "...") -> Column:

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_WORD = r"[^ \t\n\r\f\x0b]+"
+BLANKS = " \t\n\r\f\x0b"
 VOCABULARY = 1 << 17
 
 
@@ -17,6 +17,13 @@ def hashed_id(word: Column) -> Column:
     return F.pmod(F.xxhash64(word), F.lit(VOCABULARY)).cast("int")
 
 
+def words(text: Column) -> Column:
+    """Words between blanks. Plain replaces and a split are faster here than a word pattern."""
+    for blank in BLANKS[1:]:
+        text = F.replace(text, F.lit(blank), F.lit(BLANKS[0]))
+    return F.array_remove(F.split(text, BLANKS[0], -1), "")
+
+
 class WordTokenizer:
     """Words between blanks, as native expressions."""
 
@@ -24,13 +31,13 @@ class WordTokenizer:
         self.token_id = token_id
 
     def ids(self, text: Column) -> Column:
-        return F.transform(F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)), self.token_id)
+        return F.transform(words(text), self.token_id)
 
     def ids_each(self, texts: Column) -> Column:
         return F.transform(texts, self.ids)
 
     def count(self, text: Column) -> Column:
-        return F.regexp_count(text, F.lit(_WORD))
+        return F.size(words(text))
 
 
 class SuppliedTokenizer:

@@ -11,15 +11,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Cells of a unique integer key are ranges of 2 ** CELL_BITS values.
-CELL_BITS = 18
+# Cells of a unique integer key are ranges of 2 ** bits values, coarse and fine.
+CELL_BITS = (20, 10)
 # Hexadecimal digits of an md5 key that name a cell: 16 ** 4 cells per epoch.
 CELL_DIGITS = 4
 
 
-def id_cell(row_id: Column | str, bits: int = CELL_BITS) -> Column:
-    """Cell of a unique integer key; no cell can hold more than 2 ** bits rows."""
-    return F.shiftright(row_id, bits)
+def id_cells(row_id: Column | str, bits: tuple[int, ...] = CELL_BITS) -> list[Column]:
+    """Cells of a unique integer key.
+
+    A finest cell holds at most 2 ** bits[-1] rows. The coarse cells keep the
+    sums of the finer ones from piling up in one place.
+    """
+    return [F.shiftright(row_id, b) for b in bits]
 
 
 def running_totals(
@@ -79,7 +83,7 @@ def number_outputs(
 ) -> DataFrame:
     """Add the 1-based position of each row in its run."""
     return running_totals(
-        df, [run], [id_cell(row_id)], [F.col(row_id)], {name: F.lit(1).cast("bigint")}
+        df, [run], id_cells(row_id), [F.col(row_id)], {name: F.lit(1).cast("bigint")}
     )
 
 

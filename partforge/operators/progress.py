@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from partforge.operators.ordering import id_cell, running_totals
+from partforge.operators.ordering import running_totals
 
 _SECOND = 1_000_000
+# Completions at the same instant are cut into ranges of 2 ** PART_BITS row ids.
+PART_BITS = 20
 
 
 def _micros_cell(micros: Column, seconds: int) -> Column:
@@ -32,7 +34,7 @@ def progress(completions: DataFrame) -> DataFrame:
         [
             _micros_cell(micros, 3600),
             _micros_cell(micros, 1),
-            F.struct(micros.alias("at"), id_cell("row_id").alias("part")),
+            F.struct(micros.alias("at"), F.shiftright("row_id", PART_BITS).alias("part")),
         ],
         [micros, F.col("row_id")],
         {

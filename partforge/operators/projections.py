@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from partforge.functions.prompts import ASSISTANT, instruction
-from partforge.operators.ordering import id_cell, running_totals
+from partforge.operators.ordering import id_cells, running_totals
 
 # Above this many rows a limit would gather too much in one task.
 TOP_ROWS = 100_000
@@ -21,7 +21,7 @@ def head_n(df: DataFrame, n: int | None, row_id: str = "row_id") -> DataFrame:
     if n <= TOP_ROWS:
         return df.orderBy(row_id).limit(n)
     place = {"_place": F.lit(1).cast("bigint")}
-    placed = running_totals(df, [], [id_cell(row_id)], [F.col(row_id)], place)
+    placed = running_totals(df, [], id_cells(row_id), [F.col(row_id)], place)
     return placed.filter(F.col("_place") <= n).drop("_place")
 
 

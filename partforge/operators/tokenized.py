@@ -14,14 +14,11 @@ from partforge.functions.chat import (
     to_messages,
 )
 from partforge.functions.tokens import WordTokenizer
-from partforge.operators.ordering import id_cell, running_totals
+from partforge.operators.ordering import id_cells, running_totals
 
 # Fixed value: the label that a loss function leaves out.
 IGNORED = -100
 
-# Cells of the packing order are ranges of 2 ** PACK_BITS row ids.
-PACK_BITS = 16
-
 
 def n_tokens(pairs: DataFrame, tokenizer=None) -> DataFrame:
     """Add `n_tokens` of input, a line feed, and output."""
@@ -104,14 +101,14 @@ def pack(
     weights, ...). Gives `block`, from 0, the packed columns, and `examples`:
     the row id and length of each piece in the block. Only the last block may be
     short. A row is cut where it is, so what moves is pieces of at most
-    `max_len` tokens, and no more than `max_len` tokens meet in one group.
+    `max_len` tokens, and no more than `max_len` tokens meet in one group. The
+    lengths are summed in a pass of their own: store what is costly to encode.
     """
     n = F.size(columns[0])
-    filled = sequences.select(row_id, *columns).filter(n > 0)
     placed = running_totals(
-        filled,
+        sequences.select(row_id, *columns),
         [],
-        [id_cell(row_id, PACK_BITS)],
+        id_cells(row_id),
         [F.col(row_id)],
         {"_end": n.cast("bigint")},
     )
@@ -127,7 +124,8 @@ def pack(
             *[F.slice(c, skip + 1, size).alias(c) for c in columns],
         )
 
-    touched = F.sequence(F.floor(start / max_len), F.floor((F.col("_end") - 1) / max_len))
+    first, last = F.floor(start / max_len), F.floor((F.col("_end") - 1) / max_len)
+    touched = F.when(n > 0, F.sequence(first, last))
     pieces = placed.select(row_id, F.explode(F.transform(touched, piece)).alias("_p"))
     members = F.array_sort(
         F.collect_list(F.struct(F.col(row_id), "_p.size", *[f"_p.{c}" for c in columns]))

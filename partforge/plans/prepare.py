@@ -14,10 +14,14 @@ from partforge.operators.stats import TOKEN_LIMIT, longest, token_stats
 from partforge.operators.tokenized import encode_pairs, mask_labels, n_tokens, pack, to_datum
 from partforge.sources.datasets import write_prepared
 
+# Shapes of training arrays.
+SHIFTED = "shifted"
+MASKED = "masked"
+
 
 @dataclass(frozen=True)
 class Prepared:
-    """Where the tables of a run are, and its statistics."""
+    """Where the examples of a run are stored, and their statistics."""
 
     examples: str
     stats: DataFrame
@@ -31,20 +35,23 @@ def prepare_job(
     tokenizer=None,
     template: ChatTemplate = LLAMA,
     token_limit: int = TOKEN_LIMIT,
+    shapes: tuple[str, ...] = (SHIFTED, MASKED),
 ) -> Prepared:
     """Render, count and encode the examples once, and store them with their training arrays.
 
-    `source` has `row_id, name, code`. What follows (packing or batching) reads
-    the stored table.
+    `source` has `row_id, name, code`. A trainer that packs reads the MASKED
+    arrays and one that batches the SHIFTED ones; both start from the stored
+    table. An unused shape is not worth its encoding.
     """
-    pairs = to_pairs(source)
-    encoded = to_datum(encode_pairs(n_tokens(pairs, tokenizer), tokenizer, template))
     both = to_messages(F.col("input"), F.col("output"))
-    chats = encoded.withColumns({"messages": both, "text": render_chat(both, template)})
+    made = n_tokens(to_pairs(source), tokenizer).withColumn("text", render_chat(both, template))
+    if SHIFTED in shapes:
+        made = to_datum(encode_pairs(made, tokenizer, template)).drop("full_tokens")
+    if MASKED in shapes:
+        chats = made.withColumn("messages", both)
+        made = mask_labels(chats, "messages", tokenizer, template).drop("messages")
     examples = f"{out}/examples"
-    write_prepared(
-        mask_labels(chats, "messages", tokenizer, template).drop("messages"), examples
-    )
+    write_prepared(made, examples)
     stored = spark.read.parquet(examples)
     return Prepared(
         examples,
