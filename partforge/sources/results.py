@@ -4,12 +4,9 @@ from __future__ import annotations
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from partforge.schemas import RESULT
 
-_BAD = "_unreadable"
-
 
 def read_results(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """Earlier results; none where the path is missing, and none from a file that does not parse.
@@ -18,20 +15,17 @@ def read_results(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFr
     per file, which only one task can read: many files, or another format, suit
     large sets better).
     """
+    reader = spark.read.schema(RESULT)
     try:
         if fmt == "parquet":
-            return spark.read.schema(RESULT).parquet(path)
-        parsed = (
-            spark.read.schema(RESULT.add(_BAD, "string"))
-            .option("columnNameOfCorruptRecord", _BAD)
-            .option("multiLine", fmt == "json_array")
-            .json(path)
-        )
+            return reader.parquet(path)
+        # The default mode would make one row of NULLs of an unreadable file.
+        reader = reader.option("mode", "DROPMALFORMED")
+        return reader.option("multiLine", fmt == "json_array").json(path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], RESULT)
-    return parsed.filter(F.col(_BAD).isNull()).drop(_BAD)
 
 
 def write_results(df: DataFrame, path: str, fmt: str = "parquet") -> None:
