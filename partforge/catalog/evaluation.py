@@ -219,7 +219,7 @@ def reviews_roundtrip(spark, sf_dir):
     f"""WITH {OUTPUTS_SQL}, {CLEAN_SQL},
         n AS (SELECT lang AS run, doc_id, code, 'hey assistant, create me a ' || source AS prompt,
           source AS object, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS ordinal
-          FROM x JOIN documents USING (doc_id))
+          FROM cleaned JOIN documents USING (doc_id))
         SELECT run, format('{{:02d}}_{{}}.scad', ordinal, object) AS file_name,
           '// Generated by partforge' || {NL} || '// Prompt: ' || prompt || {NL}
           || '// Generated at: 2025-11-10 16:47:21' || {NL} || {NL} || code AS content FROM n"""

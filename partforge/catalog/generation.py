@@ -93,7 +93,6 @@ def _checked(df: DataFrame) -> DataFrame:
     kind = F.col("event_type")
     return df.withColumns(
         {
-            "response": F.when(kind != "error", F.concat(F.lit("answer "), "event_id")),
             "code": F.when(kind == "view", F.lit("")).when(
                 kind != "error", F.concat(F.lit("cube("), "event_id", F.lit(");"))
             ),
@@ -214,7 +213,8 @@ def progress_log(spark, sf_dir):
         F.concat(F.lit("s"), F.col("user_id") % 3).alias("session"), "event_id", "ts", "event_type"
     )
     totals = events.groupBy("session").agg(F.count("*").alias("total"))
-    done = events.join(totals, "session").select(
+    # Three sessions by construction, so their totals are safe to broadcast.
+    done = events.join(F.broadcast(totals), "session").select(
         "session",
         F.col("event_id").alias("row_id"),
         "total",

@@ -79,9 +79,10 @@ def raw_outputs(spark, sf_dir) -> DataFrame:
     return docs.select("doc_id", "source", _wrapped(OUTPUTS, 4).alias("response"))
 
 
-ANSWERS_SQL = f"a AS (SELECT doc_id, {_wrapped_sql(ANSWERS, 4)} AS response FROM documents)"
-OUTPUTS_SQL = f"a AS (SELECT doc_id, {_wrapped_sql(OUTPUTS, 4)} AS response FROM documents)"
-CODES_SQL = f"a AS (SELECT doc_id, source, {_wrapped_sql(CODES, 5)} AS code FROM documents)"
+# Named subqueries for the SQL: inputs first, then one rule each, from `taken` to `made`.
+ANSWERS_SQL = f"answers AS (SELECT doc_id, {_wrapped_sql(ANSWERS, 4)} AS response FROM documents)"
+OUTPUTS_SQL = f"outputs AS (SELECT doc_id, {_wrapped_sql(OUTPUTS, 4)} AS response FROM documents)"
+CODES_SQL = f"codes AS (SELECT doc_id, source, {_wrapped_sql(CODES, 5)} AS code FROM documents)"
 
 
 def _or(template: str, words: list[str]) -> str:
@@ -89,51 +90,52 @@ def _or(template: str, words: list[str]) -> str:
 
 
 EXTRACT_SQL = f"""
-    {ANSWERS_SQL},
-    f AS (SELECT doc_id, CASE
+    fenced AS (SELECT doc_id, CASE
             WHEN contains(response, '```openscad')
               THEN split_part(split_part(response, '```openscad', 2), '```', 1)
             WHEN contains(response, '```') THEN split_part(response, '```', 2)
             ELSE response END AS body
-          FROM a),
-    l AS (SELECT doc_id, body, string_split(body, {NL}) AS lines FROM f),
-    p AS (SELECT *, coalesce(list_position(list_transform(lines, lambda x:
+          FROM answers),
+    answer_lines AS (SELECT doc_id, body, string_split(body, {NL}) AS lines FROM fenced),
+    code_starts AS (SELECT *, coalesce(list_position(list_transform(lines, lambda x:
             NOT {_or("starts_with(trim(x, " + WS + "), '{}')", t.LEAD_INS)}
             AND ({_or("starts_with(trim(x, " + WS + "), '{}')", t.CODE_STARTS)}
                  OR {_or("contains(x, '{}')", t.CODE_WORDS)})), true), 0) AS pos
-          FROM l),
-    x AS (SELECT doc_id, trim(CASE WHEN pos > 0 THEN array_to_string(lines[pos:], {NL})
+          FROM answer_lines),
+    extracted AS (SELECT doc_id, trim(CASE WHEN pos > 0 THEN array_to_string(lines[pos:], {NL})
                               ELSE body END, {WS}) AS code
-          FROM p)"""
+          FROM code_starts)"""
 
 
-@query(f"WITH {EXTRACT_SQL} SELECT doc_id, code FROM x")
+@query(f"WITH {ANSWERS_SQL}, {EXTRACT_SQL} SELECT doc_id, code FROM extracted")
 def extract_code(spark, sf_dir):
     return answers(spark, sf_dir).select("doc_id", t.extract_code(F.col("response")).alias("code"))
 
 
 CLEAN_SQL = f"""
-    m AS (SELECT doc_id, string_split(response, '{t.ASSISTANT_HEADER}')[-1] AS body FROM a),
-    l AS (SELECT doc_id, body, string_split(body, {NL}) AS lines FROM m),
-    p AS (SELECT *, coalesce(list_position(list_transform(lines, lambda x:
+    replies AS (SELECT doc_id, string_split(response, '{t.ASSISTANT_HEADER}')[-1] AS body
+          FROM outputs),
+    reply_lines AS (SELECT doc_id, string_split(body, {NL}) AS lines FROM replies),
+    content_starts AS (SELECT *, coalesce(list_position(list_transform(lines, lambda x:
             trim(x, {WS}) NOT IN ('', 'system', 'user', 'assistant')
             AND NOT contains(x, 'Cutting Knowledge Date:') AND NOT contains(x, 'Today Date:')
             AND NOT ends_with(trim(x, {WS}), 'assistant')), true), 1) AS pos
-          FROM l),
-    c AS (SELECT doc_id, array_to_string(lines[pos:], {NL}) AS body FROM p),
-    s AS (SELECT doc_id, string_split(split_part(split_part(split_part(split_part(body,
+          FROM reply_lines),
+    contents AS (SELECT doc_id, array_to_string(lines[pos:], {NL}) AS body FROM content_starts),
+    spoken AS (SELECT doc_id, string_split(split_part(split_part(split_part(split_part(body,
             '<|eot_id|>', 1), '<|end_of_text|>', 1), '<|eom_id|>', 1),
             '<|reserved_special_token_', 1), {NL}) AS lines
-          FROM c),
-    q AS (SELECT *, coalesce(list_position(list_transform(lines, lambda x:
+          FROM contents),
+    garbage AS (SELECT *, coalesce(list_position(list_transform(lines, lambda x:
             trim(x, {WS}) <> '' AND (
               length(regexp_replace(x, '[^ -~]', '', 'g')) / length(x)::DOUBLE < 0.8
               OR regexp_matches(x, '{t.GARBAGE_RUN}'))), true), len(lines) + 1) AS stop
-          FROM s),
-    x AS (SELECT doc_id, trim(array_to_string(lines[1:stop - 1], {NL}), {WS}) AS code FROM q)"""
+          FROM spoken),
+    cleaned AS (SELECT doc_id, trim(array_to_string(lines[1:stop - 1], {NL}), {WS}) AS code
+          FROM garbage)"""
 
 
-@query(f"WITH {OUTPUTS_SQL}, {CLEAN_SQL} SELECT doc_id, code FROM x")
+@query(f"WITH {OUTPUTS_SQL}, {CLEAN_SQL} SELECT doc_id, code FROM cleaned")
 def clean_response(spark, sf_dir):
     outputs = raw_outputs(spark, sf_dir)
     return outputs.select("doc_id", t.clean_response(F.col("response")).alias("code"))
@@ -177,10 +179,9 @@ def _signs(label: str, opening: str, closing: str) -> str:
 
 
 SYNTAX_SQL = f"""
-    {CODES_SQL},
-    b AS (SELECT doc_id, source, array_to_string(list_filter(string_split(code, {NL}),
-            lambda x: x <> '' AND NOT starts_with(x, '//')), {NL}) AS code FROM a),
-    x AS (SELECT doc_id, source, list_filter([
+    bodies AS (SELECT doc_id, source, array_to_string(list_filter(string_split(code, {NL}),
+            lambda x: x <> '' AND NOT starts_with(x, '//')), {NL}) AS code FROM codes),
+    checked AS (SELECT doc_id, source, list_filter([
             {_signs("braces", "{", "}")}, {_signs("parentheses", "(", ")")},
             {_signs("brackets", "[", "]")},
             CASE WHEN code = '' THEN 'File contains only comments or is empty' END,
@@ -188,38 +189,35 @@ SYNTAX_SQL = f"""
               || '|difference|intersection|translate|rotate|scale')
               THEN 'No OpenSCAD keywords found' END,
             CASE WHEN strlen(code) <> length(code) THEN 'Contains non-ASCII characters' END],
-            lambda e: e IS NOT NULL) AS errors FROM b)"""
+            lambda e: e IS NOT NULL) AS errors FROM bodies)"""
 
 PASS_RATE_SQL = """SELECT {by}, grouping({by}) = 1 AS overall, count(*) AS total,
       count(*) FILTER (valid) AS passed, count(*) FILTER (NOT valid) AS failed,
       count(*) FILTER ({warned}) AS warnings,
       count(*) FILTER (valid) / count(*)::DOUBLE * 100 AS pass_rate
-    FROM x GROUP BY ROLLUP ({by})"""
+    FROM {checks} GROUP BY ROLLUP ({by})"""
+
+
+_SOURCE_RATE = PASS_RATE_SQL.format(
+    by="source", warned="false", checks="(SELECT source, errors = [] AS valid FROM checked)"
+)
 
 
 @query(
-    f"""WITH {SYNTAX_SQL} SELECT doc_id, len(errors) = 0 AS valid,
-        array_to_string(errors, '; ') AS errors FROM x"""
+    f"""WITH {CODES_SQL}, {SYNTAX_SQL} SELECT doc_id, errors = [] AS valid,
+        array_to_string(errors, '; ') AS errors FROM checked"""
 )
 def check_syntax_errors(spark, sf_dir):
     checked = check_syntax(codes(spark, sf_dir))
     return checked.select("doc_id", "valid", F.array_join("errors", "; ").alias("errors"))
 
 
-@query(
-    f"""WITH {SYNTAX_SQL.replace("x AS (", "y AS (")},
-        x AS (SELECT source, len(errors) = 0 AS valid FROM y)
-        {PASS_RATE_SQL.format(by="source", warned="false")}"""
-)
+@query(f"WITH {CODES_SQL}, {SYNTAX_SQL} {_SOURCE_RATE}")
 def syntax_pass_rate(spark, sf_dir):
     return pass_rate(check_syntax(codes(spark, sf_dir)), "source")
 
 
-@query(
-    f"""WITH {SYNTAX_SQL.replace("x AS (", "y AS (")},
-        x AS (SELECT source AS run, len(errors) = 0 AS valid FROM y)
-        {PASS_RATE_SQL.format(by="run", warned="false")}"""
-)
+@query(f"WITH {CODES_SQL}, {SYNTAX_SQL} SELECT * RENAME (source AS run) FROM ({_SOURCE_RATE})")
 def validate_job(spark, sf_dir):
     path = F.format_string("runs/%s/%02d_part.scad", F.col("source"), F.col("doc_id"))
     files = codes(spark, sf_dir).select(path.alias("path"), F.col("code").alias("content"))
@@ -227,12 +225,9 @@ def validate_job(spark, sf_dir):
 
 
 @query(
-    f"""WITH {CLEAN_SQL.replace("FROM a)", "FROM outputs)").replace("x AS (", "cleaned AS (")
-          .replace("m AS (", OUTPUTS_SQL.replace("a AS (", "outputs AS (") + ", m AS (", 1)},
-        a AS (SELECT doc_id, source, code FROM cleaned JOIN documents USING (doc_id)),
-        {SYNTAX_SQL.replace(CODES_SQL + ",", "").replace("x AS (", "y AS (")},
-        x AS (SELECT source, len(errors) = 0 AS valid FROM y)
-        {PASS_RATE_SQL.format(by="source", warned="false")}"""
+    f"""WITH {OUTPUTS_SQL}, {CLEAN_SQL},
+        codes AS (SELECT doc_id, source, code FROM cleaned JOIN documents USING (doc_id)),
+        {SYNTAX_SQL} {_SOURCE_RATE}"""
 )
 def cleaned_pass_rate(spark, sf_dir):
     """Raw outputs, cleaned, checked, and counted per source."""
@@ -242,14 +237,12 @@ def cleaned_pass_rate(spark, sf_dir):
 
 
 @query(
-    f"""WITH {EXTRACT_SQL.replace("x AS (", "coded AS (").replace("a AS (", "answers AS (", 1)
-          .replace("FROM a)", "FROM answers)")},
-        a AS (SELECT doc_id, '' AS source, code FROM coded),
-        {SYNTAX_SQL.replace(CODES_SQL + ",", "")}
-        SELECT doc_id, coded.code <> '' AND len(errors) = 0 AS valid,
-          CASE WHEN coded.code = '' THEN 'Empty code' WHEN len(errors) = 0 THEN 'Valid'
+    f"""WITH {ANSWERS_SQL}, {EXTRACT_SQL},
+        codes AS (SELECT doc_id, '' AS source, code FROM extracted), {SYNTAX_SQL}
+        SELECT doc_id, codes.code <> '' AND errors = [] AS valid,
+          CASE WHEN codes.code = '' THEN 'Empty code' WHEN errors = [] THEN 'Valid'
             ELSE array_to_string(errors, '; ') END AS message
-        FROM x JOIN coded USING (doc_id)"""
+        FROM checked JOIN codes USING (doc_id)"""
 )
 def check_responses(spark, sf_dir):
     return check_response(answers(spark, sf_dir)).select("doc_id", "valid", "message")
@@ -337,9 +330,9 @@ def validator_outcomes(spark, sf_dir):
 
 
 @query(
-    f"""WITH {LOG_SQL}, x AS (SELECT 'user_' || (user_id % 7) AS run, exit_code = 0 AS valid,
+    f"""WITH {LOG_SQL}, checks AS (SELECT 'user_' || (user_id % 7) AS run, exit_code = 0 AS valid,
           exit_code = 0 AND contains(lower(output), 'warning') AS warned FROM log)
-        {PASS_RATE_SQL.format(by="run", warned="warned")}"""
+        {PASS_RATE_SQL.format(by="run", warned="warned", checks="checks")}"""
 )
 def validator_pass_rate(spark, sf_dir):
     run = F.concat(F.lit("user_"), F.col("user_id") % 7)

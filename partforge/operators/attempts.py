@@ -15,10 +15,11 @@ REASONS = [
 ]
 
 
-def _outcome_aggregates(max_retries: int) -> list[Column]:
-    has_code = F.coalesce(F.length("code") > 0, F.lit(False))
-    lacks = F.when(F.col("response").isNull(), 0).when(~has_code, 1).otherwise(2)
-    good = F.coalesce(F.col("valid") & has_code, F.lit(False))
+def _outcome_aggregates() -> list[Column]:
+    code = F.col("code")
+    # No answer leaves the code NULL, and an answer without code leaves it empty.
+    lacks = F.when(code.isNull(), 0).when(code == "", 1).otherwise(2)
+    good = F.col("valid") & (code != "")
     return [
         # The struct orders by attempt, and settles replays of one attempt by their text.
         F.min(F.when(good, F.struct("attempt", "code", "message"))).alias("_won"),
@@ -47,12 +48,13 @@ def resolve_attempts(
 ) -> DataFrame:
     """One outcome per item: its first valid attempt, or why it failed, or `pending`.
 
-    Reads `attempt, response, code, valid, message` and the key columns. The
-    aggregates need no order, so batch and streaming jobs share them.
+    Reads `attempt, code, valid, message` and the key columns. The aggregates need
+    no order, so batch and streaming jobs share them, and a key with very many
+    attempts is reduced before it moves.
     """
     keys = keys or ["row_id", "name"]
     within = attempts.filter(F.col("attempt").between(1, max_retries))
-    outcomes = within.groupBy(*keys).agg(*_outcome_aggregates(max_retries))
+    outcomes = within.groupBy(*keys).agg(*_outcome_aggregates())
     return outcomes.select(
         *keys, *[c.alias(n) for n, c in _outcome_columns(max_retries).items()]
     )

@@ -9,7 +9,7 @@ from partforge.functions.prompts import ASSISTANT, instruction
 from partforge.operators.ordering import id_cells, running_totals
 
 # Above this many rows a limit would gather too much in one task.
-TOP_ROWS = 100_000
+TOP_ROWS = 10_000
 # Turns of one conversation that are looked at together.
 TURN_BITS = 10
 

@@ -12,6 +12,9 @@ from pyspark.sql import types as T
 
 log = logging.getLogger(__name__)
 
+# Up to this many files, their names and counts (some 200 bytes each) are broadcast.
+BROADCAST_FILES = 50_000
+
 
 class NoDatasetError(ValueError):
     """None of the given sources could be loaded."""
@@ -33,17 +36,17 @@ def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
     A row's place in its file comes from the scan and the rows per file from the
     footers, so no row is moved or sorted and every replay gives the same ids.
     """
-    placed = df.select(
-        "*",
-        F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.row_index").alias("_index"),
-    )
-    per_file = df.groupBy(F.col("_metadata.file_path").alias("_file")).agg(
-        F.count("*").alias("_n")
-    )
-    # One row per file: far below the rows, and never broadcast by force.
+    n_files = len(df.inputFiles())
+    index = F.col("_metadata.row_index")
+    if n_files <= 1:
+        return df.select("*", index.alias(name))
+    file = F.col("_metadata.file_path").alias("_file")
+    placed = df.select("*", file, index.alias("_index"))
+    per_file = df.groupBy(file).agg(F.count("*").alias("_n"))
     before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
     starts = per_file.select("_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    if n_files <= BROADCAST_FILES:
+        starts = F.broadcast(starts)
     return (
         placed.join(starts, "_file")
         .withColumn(name, F.col("_start") + F.col("_index"))

@@ -11,8 +11,7 @@ from partforge.operators.projections import head_n, row_at
 from partforge.operators.stats import session_stats
 
 SCHEMA = (
-    "row_id BIGINT, name STRING, attempt INT, response STRING, code STRING, valid BOOLEAN, "
-    "message STRING"
+    "row_id BIGINT, name STRING, attempt INT, code STRING, valid BOOLEAN, message STRING"
 )
 
 
@@ -34,10 +33,9 @@ def resolve_rule(tries, limit=5):
 
 def rows_of(item, tries):
     for attempt, kind in tries:
-        response = None if kind == "silent" else "answer"
         code = {"silent": None, "empty": "", "invalid": "bad"}.get(kind, f"code {attempt}")
         message = "Valid" if kind == "valid" else "ERROR"
-        yield item, f"n{item % 7}", attempt, response, code, kind == "valid", message
+        yield item, f"n{item % 7}", attempt, code, kind == "valid", message
 
 
 def random_items(n, seed=5):
