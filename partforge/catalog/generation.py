@@ -305,20 +305,26 @@ def original_code(spark, sf_dir):
 # --- supplied functions -------------------------------------------------------------------
 
 
-def _connect():
-    """A stand-in generator: answers by the name in the prompt, with failures of each kind."""
+def _stand_in():
+    """A stand-in generator: answers by the name in the prompt, with failures of each kind.
 
-    def call(prompt: str) -> str | None:
-        name = prompt.split("3D model of: ")[1].split("\n")[0]
-        if name.endswith("ring"):
-            raise ValueError(f"no answer for {name}")
-        if name.endswith("bolt"):
-            return None
-        if name.startswith("red"):
-            return f"```openscad\ncube({len(name)};\n```"
-        return f"Here is it:\n// {name}\ncube({len(name)});"
+    An inner function travels to the tasks by value, so they need no installed package.
+    """
 
-    return call
+    def connect():
+        def call(prompt: str) -> str | None:
+            name = prompt.split("3D model of: ")[1].split("\n")[0]
+            if name.endswith("ring"):
+                raise ValueError(f"no answer for {name}")
+            if name.endswith("bolt"):
+                return None
+            if name.startswith("red"):
+                return f"```openscad\ncube({len(name)};\n```"
+            return f"Here is it:\n// {name}\ncube({len(name)});"
+
+        return call
+
+    return connect
 
 
 _ANSWER_SQL = """CASE WHEN p_name LIKE '%ring' OR p_name LIKE '%bolt' THEN NULL
@@ -338,7 +344,7 @@ def generated_attempts(spark, sf_dir):
         F.col("p_name").alias("name"),
         p.generation_prompt(F.col("p_name")).alias("prompt"),
     )
-    return generate_with(parts, _connect, attempt=2)
+    return generate_with(parts, _stand_in(), attempt=2)
 
 
 @query("SELECT doc_id, length(text) AS chars, upper(lang) AS lang FROM documents")
@@ -368,5 +374,5 @@ def generate_job_outcomes(spark, sf_dir):
         F.col("p_name").alias("name"),
         F.col("p_type").alias("code"),
     )
-    done = generate_job(spark, parts, shared_folder(spark, "results"), _connect)
+    done = generate_job(spark, parts, shared_folder(spark, "results"), _stand_in())
     return done.select("row_id", "name", "status", "message", "code")

@@ -134,7 +134,7 @@ def encoded_texts(spark, sf_dir):
 )
 def encoded_by_supplied(spark, sf_dir):
     """The same ids from a tokenizer that the caller supplies as Python code."""
-    supplied = SuppliedTokenizer(_load_tokenizer)
+    supplied = SuppliedTokenizer(lambda: lambda text: [len(word) for word in text.split()])
     encoded = table(spark, sf_dir, "conversations").select(
         "conv_id",
         "turn",
@@ -144,10 +144,6 @@ def encoded_by_supplied(spark, sf_dir):
     return encoded.select("conv_id", "turn", "n", _text("ids"))
 
 
-def _load_tokenizer():
-    return lambda text: [len(word) for word in text.split()]
-
-
 @query(
     f"""WITH {COUNTED_SQL} SELECT count(*) AS examples, sum(n_tokens)::BIGINT AS total_tokens,
         round(avg(n_tokens), 6) AS mean_tokens, max(n_tokens) AS max_tokens,
