@@ -60,10 +60,10 @@ _FROM_CONTENT = (
     rf"(?!.*{re.escape(JUNK_ENDING)}{_BLANK}*+$)"
     r"(?s:.+)"
 )
-_NOT_PLAIN = r"[^\x20-\x7e\n]"
-# The class of GARBAGE_RUN without repeats, and the part of it in plain text:
-# Java tries the members one by one, so fewer are several times faster.
+# The class of GARBAGE_RUN without repeats: Java tries the members one by one, so
+# fewer are several times faster. Plain text without a run needs no look at its lines.
 _GARBAGE = r"(?=[Ndfklrv\u0400-\uffff])[а-яА-ЯЎџａkrvldfN]{5}"
+_NOT_PLAIN = r"[^\x20-\x7e\n]"
 _PLAIN_GARBAGE = r"[krvldfN]{5}"
 
 
@@ -129,6 +129,7 @@ def clean_response(c: Column) -> Column:
 
 def _readable(text: Column) -> Column:
     """Lines before the first one that is garbage; plain text without a garbage run is all kept."""
+    # Two patterns in turn, as Java scans for one class faster than for a choice.
     suspect = F.rlike(text, F.lit(_NOT_PLAIN)) | F.rlike(text, F.lit(_PLAIN_GARBAGE))
     flags = F.transform(F.split(text, "\n", -1), _is_garbage)
     # A closing True gives the position of the end when every line is readable.

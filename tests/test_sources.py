@@ -81,12 +81,12 @@ def artifact(prompt, code):
 
 def write_runs(tmp_path):
     runs = {
-        "eval_20251110_164720_311430": [
+        "eval_20250102_030405_123456": [
             ("01_sphere.scad", artifact("a sphere", "sphere(r=10);")),
             ("02_old_cat.scad", artifact("an old cat", "// c\n\ncube([1]);\n\nx")),
             ("03_bad.scad", artifact("bad", "module a() { cube(1);")),
         ],
-        "eval_20251111_054610_159597": [("04_cube.scad", "cube(1);"), ("REVIEW.md", "# x")],
+        "eval_20250203_040506_654321": [("04_cube.scad", "cube(1);"), ("REVIEW.md", "# x")],
     }
     for run, files in runs.items():
         (tmp_path / run).mkdir()

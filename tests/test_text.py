@@ -120,6 +120,14 @@ def test_clean_response_cases(spark):
     assert apply(spark, t.clean_response, cases) == list(cases.values())
 
 
+def test_short_garbage_class_is_the_same_set():
+    signs = [chr(i) for i in range(0x10000) if not 0xD800 <= i < 0xE000]
+    listed = {c for c in signs if re.fullmatch(t.GARBAGE_RUN, c * 5)}
+    short = {c for c in signs if re.fullmatch(t._GARBAGE, c * 5)}
+    assert listed == short
+    assert {c for c in listed if " " <= c <= "~"} == set("krvldfN")
+
+
 def test_preview_and_trim(spark):
     assert apply(spark, lambda c: t.preview(c, 3), ["abc", "abcd", None]) == ["abc", "abc...", None]
     assert apply(spark, lambda c: t.preview(c, 2, ""), ["abc"]) == ["ab"]
