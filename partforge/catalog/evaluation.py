@@ -239,15 +239,15 @@ def evaluate_job_rates(spark, sf_dir):
 
 
 def _evaluation(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
-    responses = raw_outputs(spark, sf_dir).drop("source").join(docs, "doc_id").select(
+    responses = raw_outputs(spark, sf_dir).select(
         F.col("lang").alias("run"),
         F.col("doc_id").alias("row_id"),
         F.concat(F.lit("hey assistant, create me a "), "source").alias("prompt"),
         "response",
         F.lit("2025-11-10 16:47:21").cast("timestamp").alias("generated_at"),
     )
-    log = table(spark, sf_dir, "labels").join(docs, "doc_id").select(
+    langs = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    log = table(spark, sf_dir, "labels").join(langs, "doc_id").select(
         F.col("lang").alias("run"),
         F.col("doc_id").alias("row_id"),
         F.lit(0).alias("exit_code"),

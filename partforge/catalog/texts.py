@@ -76,7 +76,7 @@ def codes(spark, sf_dir) -> DataFrame:
 
 def raw_outputs(spark, sf_dir) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", "source", _wrapped(OUTPUTS, 4).alias("response"))
+    return docs.select("doc_id", "lang", "source", _wrapped(OUTPUTS, 4).alias("response"))
 
 
 # Named subqueries for the SQL: inputs first, then one rule each, from `taken` to `made`.

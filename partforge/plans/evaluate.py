@@ -37,16 +37,16 @@ def evaluate_job(
     `render_log` is `(run, row_id, exit_code, image_exists, stderr, image)`; an
     output without an entry counts as not rendered.
     """
-    outputs = number_outputs(responses).select(
+    # Cleaned first: what the numbering moves is code, not raw responses.
+    cleaned = responses.select(
         "run",
         "row_id",
-        "ordinal",
         "prompt",
         "generated_at",
         object_name(F.col("prompt"), assistant=assistant).alias("object"),
         clean_response(F.col("response")).alias("code"),
     )
-    artifacts = render_artifact(outputs, generator)
+    artifacts = render_artifact(number_outputs(cleaned), generator)
     rendered = render_status(
         artifacts.drop("content", "code").join(render_log, ["run", "row_id"], "left")
     )
