@@ -36,6 +36,17 @@ def test_query_equals_sql(spark, db, name):
     want = normalized(columns, cursor.fetchall())
     assert normalized(df.columns, df.collect()) == want
     assert want
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
+
+
+def test_scans_read_only_what_is_used(spark):
+    query = queries()["token_statistics"](spark, str(TABLES))
+    plan = query._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<conv_id:bigint,turn:bigint,role:string,text:string>" in plan
+    assert "PushedFilters: [In(role, [assistant,user])]" in plan
+    query = queries()["completed_names"](spark, str(TABLES))
+    assert "ReadSchema: struct<doc_id:bigint>" in query._jdf.queryExecution().executedPlan().toString()
 
 
 def test_entry(spark):
