@@ -10,7 +10,7 @@ from partforge.functions import prompts as p
 from partforge.operators.attempts import resolve_attempts, to_failures, to_results
 from partforge.operators.generation import generate_with, map_batches
 from partforge.operators.joins import done_names, not_done, with_original
-from partforge.operators.ordering import id_cells, number_outputs, running_totals
+from partforge.operators.ordering import RUN_BITS, id_cells, number_outputs, running_totals
 from partforge.operators.progress import progress
 from partforge.operators.projections import head_n, row_at
 from partforge.operators.stats import session_stats, total_items
@@ -82,7 +82,7 @@ def attempts(spark, sf_dir) -> DataFrame:
     placed = running_totals(
         events,
         ["user_id", "day"],
-        id_cells("event_id"),
+        id_cells("event_id", RUN_BITS),
         [F.col("event_id")],
         {"attempt": F.lit(1).cast("bigint")},
     )

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 # Cells of a unique integer key are ranges of 2 ** bits values, coarse and fine.
 CELL_BITS = (20, 10)
+# Within runs, most of which are small, one level of wide cells costs less.
+RUN_BITS = (16,)
 # Hexadecimal digits of an md5 key that name a cell: 16 ** 4 cells per epoch.
 CELL_DIGITS = 4
 
@@ -83,7 +85,7 @@ def number_outputs(
 ) -> DataFrame:
     """Add the 1-based position of each row in its run."""
     return running_totals(
-        df, [run], id_cells(row_id), [F.col(row_id)], {name: F.lit(1).cast("bigint")}
+        df, [run], id_cells(row_id, RUN_BITS), [F.col(row_id)], {name: F.lit(1).cast("bigint")}
     )
 
 
