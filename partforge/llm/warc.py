@@ -67,11 +67,13 @@ def write_archive(records: DataFrame, folder: str, least_bytes: int = 0,
     """
     payload = F.coalesce(F.col("payload").cast("binary"), F.lit("").cast("binary"))
     rows = records.select("key", "url", payload.alias("payload"))
-    rows = rows.withColumn("address", F.sha2("payload", 256))
-    marks = rows.select("key", "url", "address", F.octet_length("payload").cast("long").alias("length"),
+    # a name without nulls, so that joining and grouping by it share one shuffle
+    name = F.coalesce(F.col("key").cast("string"), F.lit("null"))
+    rows = rows.withColumns({"address": F.sha2("payload", 256), "name": name})
+    marks = rows.select("key", "name", "url", "address", F.octet_length("payload").cast("long").alias("length"),
                         base32_sha1(F.col("payload")).alias("digest"))
     owners = marks.groupBy("address").agg(F.min("key").alias("owner"))
-    same = W.partitionBy("address", "key").orderBy("url")
+    same = W.partitionBy("address", "name").orderBy("url")
     placed = (
         marks.withColumn("repeat", F.row_number().over(same))
         .join(owners, "address")
@@ -82,13 +84,13 @@ def write_archive(records: DataFrame, folder: str, least_bytes: int = 0,
     block = header(record_type, F.col("key"), F.col("url"), F.col("digest"), F.col("owner"), F.col("length"), date)
     placed.select(block.alias("header"), "address").write.parquet(f"{folder}/headers")
 
-    mine = owners.withColumnsRenamed({"address": "of", "owner": "key_of"})
+    mine = owners.select("address", F.coalesce(F.col("owner").cast("string"), F.lit("null")).alias("name"))
     once = (
-        rows.join(mine, (F.col("address") == F.col("of")) & F.col("key").eqNullSafe(F.col("key_of")), "left_semi")
-        .groupBy("address", "key")
+        rows.join(mine, ["address", "name"], "left_semi")
+        .groupBy("address", "name")
         .agg(F.first("payload").alias("payload"))
     )
-    once.select("address", "payload").write.parquet(f"{folder}/payloads")
+    once.select("address", "payload").write.option("compression", "zstd").parquet(f"{folder}/payloads")
 
 
 def field(block: Column, name: str) -> Column:
