@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partforge.llm import exact_dedup, url_rules, warc
+from partforge.llm import exact_dedup, range_coder, url_rules, warc
 from partforge.session import shared_folder
 
 QUERIES = {}
@@ -78,3 +79,12 @@ def op5_url_filter(spark, sf_dir):
     """The verdict on every page's URL."""
     judged = url_rules.judge_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"), URL_RULES)
     return judged.select("page_id", "host", "path", "rule", "verdict", "confidence")
+
+
+@query()
+def op2_range_coder(spark, sf_dir):
+    """Every document's ids, written in compressed blocks and read back."""
+    path = shared_folder(spark, "ids")
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    range_coder.write_ids(table(spark, sf_dir, "documents"), path, tokenizer, end=1, vocabulary=49_408)
+    return range_coder.read_ids(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
