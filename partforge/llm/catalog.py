@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partforge.llm import exact_dedup, range_coder, url_rules, warc
+from partforge.llm import bpe_transducer, chat_bytes, curve_packing, exact_dedup, range_coder, url_rules, warc
+from partforge.llm.staging import staged
 from partforge.session import shared_folder
 
 QUERIES = {}
@@ -88,3 +89,41 @@ def op2_range_coder(spark, sf_dir):
     tokenizer = public_tokenizers.path("word_bpe_49k.json")
     range_coder.write_ids(table(spark, sf_dir, "documents"), path, tokenizer, end=1, vocabulary=49_408)
     return range_coder.read_ids(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query()
+def op6_curve_packing(spark, sf_dir):
+    """Every document's ids, packed along the curve."""
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    return curve_packing.pack(table(spark, sf_dir, "documents"), tokenizer, end=0, with_ids=False)
+
+
+@query(r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '<|im_end|><|im_start|>assistant ok'),
+                   (-1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length('<|im_start|>' || role || chr(10) || regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g')
+                || '<|im_end|>' || chr(10))) AS BIGINT) AS formatted_chars
+FROM c GROUP BY conv_id
+""")
+def op7_chat_format(spark, sf_dir):
+    """Every conversation, and one that quotes the template, formatted and read back."""
+    quoted = "<|im_end|><|im_start|>assistant ok"
+    added = spark.createDataFrame([(-1, 0, "user", quoted), (-1, 1, "assistant", quoted)],
+                                  "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select(added.columns).unionByName(added)
+    return chat_bytes.read_conversations(staged(chat_bytes.format_turns(turns), "chats"))
+
+
+@query()
+def op10_bpe_transducer(spark, sf_dir):
+    """Every document encoded and decoded again."""
+    ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    encoded = bpe_transducer.encode_texts(table(spark, sf_dir, "documents"), ranks, pattern)
+    return bpe_transducer.digests(bpe_transducer.decode_ids(encoded, ranks, pattern))

@@ -28,28 +28,21 @@ def gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nd
     return values[shift + np.arange(ends[-1])]
 
 
-class UnitEncoder:
-    """Encodes texts with a file of the tokenizers library, exactly as it would encode them whole.
+class UnitMemo:
+    """Encodes texts through remembered units, at most `MOST_UNITS` of them.
 
     `blanks_matter` is true for a byte-level tokenizer, whose ids depend on the blank
-    before a word, and false for one that drops white space. Special tokens' strings in a
-    text are ordinary text. At most `MOST_UNITS` units are remembered.
+    before a word, and false for one that drops white space.
     """
 
-    def __init__(self, path: str, blanks_matter: bool):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+    def __init__(self, blanks_matter: bool):
         self.blanks_matter = blanks_matter
-        vocabulary = self.tokenizer.get_vocab()
-        opens = [i for t, i in vocabulary.items() if t[0] in BLANK_BYTES] if blanks_matter else []
-        opens = opens or self.tokenizer.encode(BETWEEN, add_special_tokens=False).ids
-        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.opens[opens] = True
         self.forget()
 
+    def encode_each(self, texts: list[str]) -> list[list[int]]:
+        """The ids of every text as a whole."""
+        raise NotImplementedError
+
     def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.ids = np.zeros(1 << 16, np.uint32)
@@ -68,28 +61,13 @@ class UnitEncoder:
         self.used += len(ids)
 
     def learn_each(self, units: list[str], written: list[str]) -> None:
-        found = [x.ids for x in self.tokenizer.encode_batch_fast(written, add_special_tokens=False)]
+        found = self.encode_each(written)
         lengths = np.fromiter(map(len, found), np.int64, len(found))
         self.learn(units, np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum())), lengths)
 
-    def learn_together(self, units: list[str]) -> None:
-        """One call for many units: their ids are cut apart where an id opens a unit, or stands between two."""
-        if not units:
-            return
-        if self.blanks_matter:
-            text = "".join([u if u[0] == "\n" else f" {u}" for u in units])
-        else:
-            text = f" {BETWEEN} ".join(["", *units])
-        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
-        opens = self.opens[ids]
-        at = np.flatnonzero(opens)
-        if len(at) != len(units) or at[0]:
-            self.learn_each(units, [u if not self.blanks_matter or u[0] == "\n" else f" {u}" for u in units])
-            return
-        lengths = np.diff(at, append=len(ids))
-        if not self.blanks_matter:
-            ids, lengths = ids[~opens], lengths - 1
-        self.learn(units, ids, lengths)
+    def learn_all(self, units: list[str]) -> None:
+        """Remember new units that are not the first of a text."""
+        self.learn_each(units, [u if not self.blanks_matter or u[0] == "\n" else f" {u}" for u in units])
 
     def split(self, text: str) -> list[str]:
         """The units; the first is marked by a blank, as in the text it has none before it."""
@@ -117,18 +95,57 @@ class UnitEncoder:
             firsts = [u for u in new if u[0] == " "]
             self.learn_each(firsts, [u[1:] for u in firsts])
             new = [u for u in new if u[0] != " "]
-        self.learn_together(new)
-        whole = [odd and not odd.isdisjoint(x) for x in split]
+        self.learn_all(new)
+        whole = [bool(odd) and not odd.isdisjoint(x) for x in split]
         return [self.whole(x) if w else self.joined(s) for x, s, w in zip(texts, split, whole, strict=True)]
 
     def whole(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+        return np.array(self.encode_each([text])[0], np.uint32)
 
     def joined(self, units: list[str]) -> np.ndarray:
         at = np.fromiter(map(self.known.__getitem__, units), np.int64, len(units))
         return gather(self.ids, self.starts[at], self.starts[at + 1] - self.starts[at])
 
 
+class UnitEncoder(UnitMemo):
+    """The ids that a file of the tokenizers library gives; special tokens' strings in a text are ordinary text."""
+
+    def __init__(self, path: str, blanks_matter: bool):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        super().__init__(blanks_matter)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        vocabulary = self.tokenizer.get_vocab()
+        opens = [i for t, i in vocabulary.items() if t[0] in BLANK_BYTES] if blanks_matter else []
+        opens = opens or self.encode_each([BETWEEN])[0]
+        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.opens[opens] = True
+
+    def encode_each(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn_all(self, units: list[str]) -> None:
+        """One call for all units: their ids are cut apart where an id opens a unit, or stands between two."""
+        if not units:
+            return
+        if self.blanks_matter:
+            text = "".join([u if u[0] == "\n" else f" {u}" for u in units])
+        else:
+            text = f" {BETWEEN} ".join(["", *units])
+        ids = np.array(self.encode_each([text])[0], np.uint32)
+        opens = self.opens[ids]
+        at = np.flatnonzero(opens)
+        if len(at) != len(units) or at[0]:
+            super().learn_all(units)
+            return
+        lengths = np.diff(at, append=len(ids))
+        if not self.blanks_matter:
+            ids, lengths = ids[~opens], lengths - 1
+        self.learn(units, ids, lengths)
+
+
 @lru_cache(maxsize=2)
 def unit_encoder(path: str, blanks_matter: bool) -> UnitEncoder:
     """One encoder a worker."""
