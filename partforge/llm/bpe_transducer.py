@@ -252,6 +252,13 @@ class TokenBytes:
         return gather(self.data, self.starts[ids], self.lengths[ids]).tobytes()
 
 
+def decoded_text(ids: np.ndarray, tokens: TokenBytes, step: int) -> str:
+    """The text of ids, decoded `step` at a time."""
+    stream = StreamDecoder(tokens)
+    parts = [stream.feed(ids[i : i + step]) for i in range(0, len(ids), step)]
+    return "".join([*parts, stream.finish()])
+
+
 @lru_cache(maxsize=2)
 def codec(path: str, pattern: str) -> tuple[BpeEncoder, TokenBytes]:
     """One codec a worker. Its many small objects hold no garbage, so the collector need not visit them."""
@@ -280,28 +287,30 @@ def decode_ids(encoded: DataFrame, ranks: str, pattern: str, step: int = 1 << 16
     def decoded(batches):
         _, tokens = codec(ranks, pattern)
         for batch in slices(batches):
-            texts = []
-            for raw in batch.column(1).to_pylist():
-                ids, stream = np.frombuffer(raw, "<u4"), StreamDecoder(tokens)
-                parts = [stream.feed(ids[i : i + step]) for i in range(0, len(ids), step)]
-                texts.append("".join([*parts, stream.finish()]))
+            texts = [decoded_text(np.frombuffer(x, "<u4"), tokens, step) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(decoded, "doc_id long, ids binary, text string")
 
 
-def digests(decoded: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 (of the decimal ids, one space between) and decoded_sha256."""
+def round_trip(docs: DataFrame, ranks: str, pattern: str, step: int = 1 << 16) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 (of the decimal ids, one space between) and decoded_sha256 of every text.
+
+    Encoding and decoding share one codec in a worker, and no ids leave it.
+    """
 
     def digested(batches):
-        sha = lambda x: hashlib.sha256(x).hexdigest()
+        encoder, tokens = codec(ranks, pattern)
         for batch in slices(batches):
-            ids = [np.frombuffer(x, "<u4").tolist() for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array(list(map(len, ids)), pa.int64()),
-                pa.array([sha(" ".join(map(str, x)).encode()) for x in ids], pa.string()),
-                pa.array([sha(x.encode()) for x in batch.column(2).to_pylist()], pa.string()),
-            ], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            counts, written, read = [], [], []
+            for ids in encoder.encode([x or "" for x in batch.column(1).to_pylist()]):
+                counts.append(len(ids))
+                written.append(hashlib.sha256(" ".join(map(str, ids.tolist())).encode()).hexdigest())
+                read.append(hashlib.sha256(decoded_text(ids, tokens, step).encode()).hexdigest())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(counts, pa.int64()), pa.array(written, pa.string()), pa.array(read, pa.string())],
+                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+            )
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return decoded.mapInArrow(digested, schema)
+    return docs.select("doc_id", "text").mapInArrow(digested, schema)

@@ -88,7 +88,7 @@ def op2_range_coder(spark, sf_dir):
     path = shared_folder(spark, "ids")
     tokenizer = public_tokenizers.path("word_bpe_49k.json")
     range_coder.write_ids(table(spark, sf_dir, "documents"), path, tokenizer, end=1, vocabulary=49_408)
-    return range_coder.read_ids(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return range_coder.read_ids(spark, path, with_ids=False)
 
 
 @query()
@@ -125,5 +125,4 @@ def op7_chat_format(spark, sf_dir):
 def op10_bpe_transducer(spark, sf_dir):
     """Every document encoded and decoded again."""
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    encoded = bpe_transducer.encode_texts(table(spark, sf_dir, "documents"), ranks, pattern)
-    return bpe_transducer.digests(bpe_transducer.decode_ids(encoded, ranks, pattern))
+    return bpe_transducer.round_trip(table(spark, sf_dir, "documents"), ranks, pattern)

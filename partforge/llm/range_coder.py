@@ -292,8 +292,11 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end: int, vocabulary:
     ordered.mapInArrow(encoded, schema).write.option("compression", "none").parquet(path)
 
 
-def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids (unsigned 32-bit, little-endian) and their CRC-32, from the files at `path`."""
+def read_ids(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 and, if asked for, ids, from the files at `path`.
+
+    Ids and checksums are those of unsigned little-endian 32-bit integers.
+    """
     blocks = spark.read.parquet(path)
     sizes = blocks.groupBy("part").agg(F.sum("n_ids").alias("size"))  # one row a part
     before = F.sum("size").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1))
@@ -301,7 +304,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     placed = blocks.join(starts, "part").select(
         (F.col("part_start") + F.col("first")).alias("start"), "doc_ids", "lengths", "block"
     )
-    columns = ["doc_id", "start", "n_tokens", "ids", "ids_crc32"]
+    columns = ["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * with_ids
 
     def decoded(batches):
         for batch in slices(batches, 1):
@@ -311,8 +314,9 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
             pieces = [ids[e - n : e].astype("<u4").tobytes() for e, n in zip(ends, lengths, strict=True)]
             yield pa.RecordBatch.from_arrays([
                 pa.array(doc_ids, pa.int64()), pa.array(start + ends - lengths, pa.int64()),
-                pa.array(lengths, pa.int64()), pa.array(pieces, pa.binary()),
-                pa.array([zlib.crc32(x) for x in pieces], pa.int64()),
+                pa.array(lengths, pa.int64()), pa.array([zlib.crc32(x) for x in pieces], pa.int64()),
+                *[pa.array(pieces, pa.binary())] * with_ids,
             ], columns)
 
-    return placed.mapInArrow(decoded, "doc_id long, start long, n_tokens long, ids binary, ids_crc32 long")
+    schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
+    return placed.mapInArrow(decoded, schema)

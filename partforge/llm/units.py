@@ -28,6 +28,19 @@ def gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nd
     return values[shift + np.arange(ends[-1])]
 
 
+class Numbers(dict):
+    """Numbers units as they are first met."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, unit: str) -> int:
+        number = self[unit] = len(self)
+        self.new.append(unit)
+        return number
+
+
 class UnitMemo:
     """Encodes texts through remembered units, at most `MOST_UNITS` of them.
 
@@ -44,66 +57,74 @@ class UnitMemo:
         raise NotImplementedError
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = Numbers()
         self.ids = np.zeros(1 << 16, np.uint32)
         self.starts = np.zeros(1 << 12, np.int64)
-        self.used = 0
+        self.learned = self.used = 0
+        self.odd: set[int] = set()
 
-    def learn(self, units: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
-        first = len(self.known)
-        self.known.update(zip(units, range(first, first + len(units)), strict=True))
+    def learn(self, ids: np.ndarray, lengths: np.ndarray) -> None:
+        """The ids of the next numbers."""
         while len(self.ids) < self.used + len(ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while len(self.starts) < len(self.known) + 1:
+        while len(self.starts) < self.learned + len(lengths) + 1:
             self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
         self.ids[self.used : self.used + len(ids)] = ids
-        self.starts[first + 1 : first + 1 + len(units)] = self.used + np.cumsum(lengths)
+        self.starts[self.learned + 1 : self.learned + 1 + len(lengths)] = self.used + np.cumsum(lengths)
+        self.learned += len(lengths)
         self.used += len(ids)
 
-    def learn_each(self, units: list[str], written: list[str]) -> None:
-        found = self.encode_each(written)
+    def learn_each(self, units: list[str]) -> None:
+        found = self.encode_each([self.written(u) for u in units])
         lengths = np.fromiter(map(len, found), np.int64, len(found))
-        self.learn(units, np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum())), lengths)
+        self.learn(np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum())), lengths)
 
     def learn_all(self, units: list[str]) -> None:
-        """Remember new units that are not the first of a text."""
-        self.learn_each(units, [u if not self.blanks_matter or u[0] == "\n" else f" {u}" for u in units])
+        """Remember new units."""
+        self.learn_each(units)
+
+    def written(self, unit: str) -> str:
+        """A unit as it stands in the text, behind another."""
+        return f" {unit}" if self.blanks_matter and unit[:1] != "\n" else unit
 
     def split(self, text: str) -> list[str]:
-        """The units; the first is marked by a blank, as in the text it has none before it."""
         if not self.blanks_matter:
             return text.replace("\n", " ").split(" ")
-        units = text.replace("\n", " \n").split(" ")
-        units[0] = f" {units[0]}"
-        return units
+        return text.replace("\n", " \n").split(" ")
 
     def stands_alone(self, unit: str) -> bool:
         if not self.blanks_matter:
             return BETWEEN not in unit
-        return unit[-1:].strip() != "" and len(unit.split()) == 1 and not unit[1:2].isspace()
+        return unit[-1:].strip() != "" and len(unit.split()) == 1 and (unit[0] == "\n" or not unit[0].isspace())
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [self.split(x) for x in texts]
-        units = set(chain.from_iterable(split))
-        new = units.difference(self.known)
-        if len(self.known) + len(new) > MOST_UNITS:
+        if len(self.known) > MOST_UNITS:
             self.forget()
-            new = units
+        number = self.known.__getitem__
+        firsts, at = [], []
+        for text in texts:
+            units = self.split(text)
+            if self.blanks_matter:  # nothing stands before the first unit, so it is not remembered
+                firsts.append(units.pop(0))
+            at.append(np.fromiter(map(number, units), np.int64, len(units)))
+        new, self.known.new = self.known.new, []
         odd = {u for u in new if not self.stands_alone(u)}
-        new = list(new - odd)
-        if self.blanks_matter:
-            firsts = [u for u in new if u[0] == " "]
-            self.learn_each(firsts, [u[1:] for u in firsts])
-            new = [u for u in new if u[0] != " "]
-        self.learn_all(new)
-        whole = [bool(odd) and not odd.isdisjoint(x) for x in split]
-        return [self.whole(x) if w else self.joined(s) for x, s, w in zip(texts, split, whole, strict=True)]
+        self.odd.update(self.known[u] for u in odd)
+        self.learn_all(["" if u in odd else u for u in new] if odd else new)
+        whole = [bool(self.odd) and not self.odd.isdisjoint(x.tolist()) for x in at]
+        if not self.blanks_matter:
+            return [self.whole(x) if w else self.joined(s) for x, s, w in zip(texts, at, whole, strict=True)]
+        whole = [w or not self.stands_alone(x) for w, x in zip(whole, firsts, strict=True)]
+        heads = self.encode_each(firsts)
+        return [
+            self.whole(x) if w else np.concatenate([np.array(head, np.uint32), self.joined(s)])
+            for x, head, s, w in zip(texts, heads, at, whole, strict=True)
+        ]
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.encode_each([text])[0], np.uint32)
 
-    def joined(self, units: list[str]) -> np.ndarray:
-        at = np.fromiter(map(self.known.__getitem__, units), np.int64, len(units))
+    def joined(self, at: np.ndarray) -> np.ndarray:
         return gather(self.ids, self.starts[at], self.starts[at + 1] - self.starts[at])
 
 
@@ -128,22 +149,20 @@ class UnitEncoder(UnitMemo):
 
     def learn_all(self, units: list[str]) -> None:
         """One call for all units: their ids are cut apart where an id opens a unit, or stands between two."""
-        if not units:
-            return
         if self.blanks_matter:
-            text = "".join([u if u[0] == "\n" else f" {u}" for u in units])
+            text = "".join([u if u[:1] == "\n" else f" {u}" for u in units])
         else:
             text = f" {BETWEEN} ".join(["", *units])
-        ids = np.array(self.encode_each([text])[0], np.uint32)
+        ids = np.array(self.encode_each([text])[0] if units else [], np.uint32)
         opens = self.opens[ids]
         at = np.flatnonzero(opens)
-        if len(at) != len(units) or at[0]:
+        if not units or len(at) != len(units) or at[0]:
             super().learn_all(units)
             return
         lengths = np.diff(at, append=len(ids))
         if not self.blanks_matter:
             ids, lengths = ids[~opens], lengths - 1
-        self.learn(units, ids, lengths)
+        self.learn(ids, lengths)
 
 
 @lru_cache(maxsize=2)
