@@ -6,7 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partforge.llm import bpe_transducer, chat_bytes, curve_packing, exact_dedup, range_coder, url_rules, warc
+from partforge.llm import (
+    bpe_transducer,
+    chat_bytes,
+    curve_packing,
+    exact_dedup,
+    language_mixture,
+    range_coder,
+    rule_forest,
+    url_rules,
+    warc,
+)
 from partforge.llm.staging import staged
 from partforge.session import shared_folder
 
@@ -126,3 +136,16 @@ def op10_bpe_transducer(spark, sf_dir):
     """Every document encoded and decoded again."""
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     return bpe_transducer.round_trip(table(spark, sf_dir, "documents"), ranks, pattern)
+
+
+@query()
+def op8_language_mixture(spark, sf_dir):
+    """The language of every document, learned from three quarters of them."""
+    docs = table(spark, sf_dir, "documents")
+    return language_mixture.identify(docs, language_mixture.learn_from(docs))
+
+
+@query()
+def op9_rule_forest(spark, sf_dir):
+    """The rules' statistics of every document, and the verdict."""
+    return rule_forest.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
