@@ -12,6 +12,7 @@ from partforge.llm import (
     curve_packing,
     exact_dedup,
     language_mixture,
+    ngram_join,
     range_coder,
     rule_forest,
     url_rules,
@@ -149,3 +150,27 @@ def op8_language_mixture(spark, sf_dir):
 def op9_rule_forest(spark, sf_dir):
     """The rules' statistics of every document, and the verdict."""
     return rule_forest.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s
+  FROM w
+), e AS (SELECT doc_id, len(s) AS n, hash(unnest(s)) AS h FROM s
+), i AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM e a JOIN e b ON a.h = b.h AND a.doc_id <> b.doc_id
+    AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))
+), r AS (
+  SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, i.y FROM r JOIN i ON r.other = i.x
+)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, min(r.other) AS component_id
+FROM s JOIN r USING (doc_id) GROUP BY s.doc_id, len(s.s)
+""")
+def op3_ngram_join(spark, sf_dir):
+    """The component of every document among links of 0.9 over three-word shingles."""
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
