@@ -53,6 +53,20 @@ def repeated_slots(hashes: DataFrame, key: str, slots: int) -> DataFrame:
     )
 
 
+def present_slots(keys: DataFrame, key: str, slots: int) -> DataFrame:
+    """The slots of all keys, as words of 64 bits: a Bloom filter of `slots / 64` rows at most."""
+    probes = F.array(*[slot(F.col(key), i, slots) for i in range(PROBES)])
+    bit = F.expr("shiftleft(1L, cast(slot & 63 as int))")
+    words = keys.select(F.explode(probes).alias("slot")).select(F.shiftright("slot", 6).alias("word"), bit.alias("bit"))
+    return words.groupBy("word").agg(F.bit_or("bit").alias("bits"))
+
+
+def maybe_in(rows: DataFrame, keys: DataFrame, key: str, flag: str, most: int = MAX_SLOTS) -> DataFrame:
+    """`rows` with a boolean that is false only where no row of `keys` has the same key: only the others need a join."""
+    slots = slot_count(keys.count(), most)
+    return with_flag(rows, key, present_slots(keys, key, slots), slots, flag)
+
+
 def with_flag(rows: DataFrame, key: str, words: DataFrame, slots: int, flag: str) -> DataFrame:
     """`rows` with a boolean: false only where no other row has the same key."""
     columns, hits = rows.columns, []

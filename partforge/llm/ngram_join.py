@@ -39,6 +39,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from partforge.llm.components import connected_components
+from partforge.llm.exact_dedup import maybe_in
 from partforge.llm.staging import slices, staged
 
 GROUPS = 64  # coordinates of a point in a node
@@ -339,9 +340,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     members = coarse.join(classes, "node").select(F.col("label").alias("part"), "node", "n", "rep")
     members = staged(members, "members")
     blocks = members.groupBy("part").agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks"))
-    texts = docs.select("doc_id", "text").join(
-        members.select("part", "node", F.col("rep").alias("doc_id")), "doc_id"
-    )
+    wanted = members.select("part", "node", F.col("rep").alias("doc_id"))
+    texts = maybe_in(docs.select("doc_id", "text"), wanted, "doc_id", "maybe").where("maybe").join(wanted, "doc_id")
     sets = sets_of(texts.select("part", "node", "text"), words).dropDuplicates(["node"])
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     parts = (
@@ -371,4 +371,6 @@ def one_of_each(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100)
     """The rows of `docs` without those that are linked to a smaller doc_id, with all their columns."""
     found = near_duplicates(docs, words, num, den)
     gone = staged(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    rows = maybe_in(docs, gone, "doc_id", "__maybe_gone")
+    some = rows.where("__maybe_gone").join(gone, "doc_id", "left_anti")
+    return rows.where("not __maybe_gone").select(*docs.columns).unionByName(some.select(*docs.columns))
