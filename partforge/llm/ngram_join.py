@@ -15,6 +15,8 @@ upper edge of a band also enter the nodes of the next band.
 1. Sets with equal shingles are one class; only classes go on.
 2. In each node an R-tree links the classes whose bound is high enough. Of those links a
    spanning forest is kept, never all pairs. A node that is too large is linked as a whole.
+   A fixed part of the nodes goes first; of the others only those follow in which
+   classes meet that are not connected yet.
 3. The connected parts of that graph hold every similar pair. In each part an R-tree over
    finer points finds pairs and the sets verify them; pairs that are already connected
    need no check. A part that is too large is cut into blocks, and pairs of blocks meet.
@@ -34,7 +36,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -46,6 +48,7 @@ GROUPS = 64  # coordinates of a point in a node
 FINE_GROUPS = 256  # coordinates of a point in a part
 NODE_MOST = 4096  # classes in a node that are held at once
 BLOCK_SHINGLES = 1 << 20  # shingles in a block of a part
+EARLY = 16  # one node in so many goes first
 LEAF = 16
 MOST_WORDS = 1_000_000
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -192,8 +195,14 @@ def by_group(batches, keys: list[str]) -> Iterator[tuple[tuple, pa.RecordBatch]]
                 start = i
 
 
+def stored(point: np.ndarray) -> bytes:
+    """A point in one byte a coordinate, or in four if one of them is large."""
+    return point.astype(np.uint8 if point.max() < 256 else "<u4").tobytes()
+
+
 def vectors(column: pa.Array, groups: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(-1, groups)
+    rows = column.to_pylist()
+    return np.stack([np.frombuffer(x, np.uint8 if len(x) == groups else "<u4").astype(np.uint32) for x in rows])
 
 
 EDGES = "a string, b string"
@@ -284,7 +293,7 @@ def with_sets(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
                 seen.add(name)
                 sizes.append(len(hashes))
                 nodes.append(name.hex())
-                points.append(None if again else counts(hashes, GROUPS).tobytes())
+                points.append(None if again else stored(counts(hashes, GROUPS)))
                 keys.append(None if again else cell_keys(hashes, num, den))
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.string()),
@@ -309,6 +318,27 @@ def sets_of(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(found, "part string, node string, shingles binary")
 
 
+def set_of(node: Column) -> Column:
+    """Half of a set's name, as a number; a mix-up only adds candidates."""
+    return F.conv(F.substring(node, 1, 16), 16, -10).cast("long")
+
+
+def meeting(entered: DataFrame, what: str) -> DataFrame:
+    """The rows of the nodes `key` that hold more than one value of a column."""
+    node = W.partitionBy("key")
+    both = entered.withColumns({"low": F.min(what).over(node), "high": F.max(what).over(node)})
+    return both.where("low < high").drop("low", "high")
+
+
+def once(nodes: DataFrame) -> DataFrame:
+    """(key, set) of the nodes, one for each different content."""
+    content = nodes.groupBy("key").agg(
+        F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("set", F.lit(1))).alias("x"),
+        F.sum(F.xxhash64("set", F.lit(2)).cast("decimal(38,0)")).alias("s"),
+    )
+    return nodes.join(content.groupBy("n", "x", "s").agg(F.min("key").alias("key")).select("key"), "key")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100,
                     block: int = BLOCK_SHINGLES) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of `docs` (doc_id, text), for a similarity of num / den."""
@@ -316,25 +346,22 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     classes = rows.where("n > 0 and doc_id is not null").groupBy("node", "n").agg(F.min("doc_id").alias("rep"))
     classes = staged(classes, "classes")
 
-    # nodes in which different classes meet, each set of classes once
-    set_id = F.conv(F.substring("node", 1, 16), 16, -10).cast("long")  # half of the name; a mix-up only adds candidates
-    entered = rows.select(F.explode("keys").alias("key"), set_id.alias("set"))
-    node = W.partitionBy("key")
-    met = entered.withColumns({"low": F.min("set").over(node), "high": F.max("set").over(node)})
-    met = staged(met.where("low < high").select("key", "set").distinct(), "met")
-    content = met.groupBy("key").agg(
-        F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("set", F.lit(1))).alias("x"),
-        F.sum(F.xxhash64("set", F.lit(2)).cast("decimal(38,0)")).alias("s"),
-    )
-    once = content.groupBy("n", "x", "s").agg(F.min("key").alias("key")).select("key")
-    groups = staged(met.join(once, "key"), "nodes")
-    points = (
-        rows.where("keys is not null")
-        .select(set_id.alias("set"), "node", "n", "point")
-        .join(groups.select("set").distinct(), "set", "left_semi")
-        .dropDuplicates(["set", "node"])
-    )
-    coarse = connected_components(bounded_links(groups.join(points, "set"), num, den))
+    # nodes in which different classes meet
+    entered = rows.select(F.explode("keys").alias("key"), set_of(F.col("node")).alias("set"))
+    met = staged(meeting(entered, "set").select("key", "set").distinct(), "met")
+    points = rows.where("keys is not null").select(set_of(F.col("node")).alias("set"), "node", "n", "point")
+
+    def links(nodes: DataFrame) -> DataFrame:
+        groups = staged(once(nodes), "nodes")
+        held = points.join(groups.select("set").distinct(), "set", "left_semi").dropDuplicates(["set", "node"])
+        return staged(bounded_links(groups.join(held, "set"), num, den), "links")
+
+    # a part of the nodes first: what they connect need not meet again in all the others
+    early = links(met.where(F.col("key").bitwiseAND(F.lit(EARLY - 1)) == 0))
+    known = connected_components(early).groupBy(set_of(F.col("node")).alias("set")).agg(F.min("label").alias("label"))
+    named = met.join(known, "set", "left").withColumn("label", F.coalesce("label", F.col("set").cast("string")))
+    late = links(meeting(named, "label").select("key", "set"))
+    coarse = connected_components(early.unionByName(late))
 
     # the sets of the classes that may be similar to another
     members = coarse.join(classes, "node").select(F.col("label").alias("part"), "node", "n", "rep")
