@@ -44,7 +44,7 @@ from partforge.llm.components import connected_components
 from partforge.llm.exact_dedup import maybe_in
 from partforge.llm.staging import slices, staged
 
-GROUPS = 64  # coordinates of a point in a node
+GROUPS = [(1 << 10, 64), (1 << 13, 256), (1 << 62, 1024)]  # coordinates of a point in a node, for sets below a size
 FINE_GROUPS = 256  # coordinates of a point in a part
 NODE_MOST = 4096  # classes in a node that are held at once
 BLOCK_SHINGLES = 1 << 20  # shingles in a block of a part
@@ -94,6 +94,7 @@ def signature(hashes: np.ndarray) -> bytes:
 
 
 def counts(hashes: np.ndarray, groups: int) -> np.ndarray:
+    """How many of the hashes fall into each group; with half as many groups, two of these are one."""
     return np.bincount((hashes >> np.uint64(7)).astype(np.int64) & (groups - 1), minlength=groups).astype("<u4")
 
 
@@ -195,14 +196,19 @@ def by_group(batches, keys: list[str]) -> Iterator[tuple[tuple, pa.RecordBatch]]
                 start = i
 
 
-def stored(point: np.ndarray) -> bytes:
-    """A point in one byte a coordinate, or in four if one of them is large."""
-    return point.astype(np.uint8 if point.max() < 256 else "<u4").tobytes()
+def stored(hashes: np.ndarray) -> bytes:
+    """The point of a set: the bytes of a coordinate, and the coordinates, more of them for larger sets."""
+    groups = next(g for most, g in GROUPS if len(hashes) < most)
+    point = counts(hashes, groups)
+    kind = np.uint8 if point.max() < 256 else np.dtype("<u4")
+    return bytes([np.dtype(kind).itemsize]) + point.astype(kind).tobytes()
 
 
-def vectors(column: pa.Array, groups: int) -> np.ndarray:
-    rows = column.to_pylist()
-    return np.stack([np.frombuffer(x, np.uint8 if len(x) == groups else "<u4").astype(np.uint32) for x in rows])
+def vectors(column: list[bytes]) -> np.ndarray:
+    """Stored points side by side, folded to the fewest coordinates that one of them has."""
+    points = [np.frombuffer(x, np.uint8 if x[0] == 1 else "<u4", offset=1) for x in column]
+    groups = min(map(len, points))
+    return np.stack([x.reshape(-1, groups).sum(axis=0, dtype=np.uint32) for x in points])
 
 
 EDGES = "a string, b string"
@@ -222,7 +228,7 @@ def bounded_links(members: DataFrame, num: int, den: int) -> DataFrame:
             if first is None and held:
                 names = [x for b in held for x in b.column("node").to_pylist()]
                 if len(names) > 1:
-                    points = np.concatenate([vectors(b.column("point"), GROUPS) for b in held])
+                    points = vectors([x for b in held for x in b.column("point").to_pylist()])
                     sizes = np.concatenate([b.column("n").to_numpy() for b in held])
                     edges.extend((names[i], names[j]) for i, j in forest(points, sizes, num, den))
 
@@ -267,8 +273,10 @@ def verified_links(parts: DataFrame, num: int, den: int) -> DataFrame:
             if key != current:
                 close()
                 current, names, sets = key, [], []
-            names += run.column("node").to_pylist()
-            sets += [np.frombuffer(x, "<u8") for x in run.column("shingles").to_pylist()]
+            for name, raw in zip(run.column("node").to_pylist(), run.column("shingles").to_pylist(), strict=True):
+                if not names or name != names[-1]:  # repeated rows stand side by side
+                    names.append(name)
+                    sets.append(np.frombuffer(raw, "<u8"))
             if len(edges) > 4096:
                 yield edge_batch(edges)
                 edges.clear()
@@ -293,7 +301,7 @@ def with_sets(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
                 seen.add(name)
                 sizes.append(len(hashes))
                 nodes.append(name.hex())
-                points.append(None if again else stored(counts(hashes, GROUPS)))
+                points.append(None if again else stored(hashes))
                 keys.append(None if again else cell_keys(hashes, num, den))
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.string()),
@@ -305,17 +313,18 @@ def with_sets(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, words: int) -> DataFrame:
-    """part, node and shingles of the rows of `docs` (part, node, text) whose text has the set named."""
+    """part, node, blocks and shingles of the rows of `docs` (part, node, blocks, text) whose text has the set named."""
 
     def found(batches):
         for batch in slices(batches):
-            sets = [shingles(x, words) for x in batch.column(2).to_pylist()]
+            sets = [shingles(x, words) for x in batch.column(3).to_pylist()]
             same = [signature(x).hex() == y for x, y in zip(sets, batch.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0), batch.column(1), pa.array([x.astype("<u8").tobytes() for x in sets], pa.binary()),
-            ], ["part", "node", "shingles"]).filter(pa.array(same, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:3], pa.array([x.astype("<u8").tobytes() for x in sets], pa.binary())],
+                ["part", "node", "blocks", "shingles"],
+            ).filter(pa.array(same, pa.bool_()))
 
-    return docs.mapInArrow(found, "part string, node string, shingles binary")
+    return docs.mapInArrow(found, "part string, node string, blocks int, shingles binary")
 
 
 def set_of(node: Column) -> Column:
@@ -367,12 +376,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     members = coarse.join(classes, "node").select(F.col("label").alias("part"), "node", "n", "rep")
     members = staged(members, "members")
     blocks = members.groupBy("part").agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks"))
-    wanted = members.select("part", "node", F.col("rep").alias("doc_id"))
+    wanted = staged(members.join(blocks, "part").select("part", "node", "blocks", F.col("rep").alias("doc_id")), "wanted")
     texts = maybe_in(docs.select("doc_id", "text"), wanted, "doc_id", "maybe").where("maybe").join(wanted, "doc_id")
-    sets = sets_of(texts.select("part", "node", "text"), words).dropDuplicates(["node"])
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     parts = (
-        sets.join(blocks, "part")
+        sets_of(texts.select("part", "node", "blocks", "text"), words)
         .withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("part", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"),
