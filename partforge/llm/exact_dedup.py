@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from partforge.llm.staging import lower_ascii, staged
+from partforge.llm.staging import free_name, lower_ascii, staged
 
 MAX_SLOTS = 1 << 26
 SLOTS_PER_ROW = 16
@@ -128,7 +128,7 @@ def dedup_decisions(docs: DataFrame, most: int = MAX_SLOTS) -> DataFrame:
 
 def exact_dedup(docs: DataFrame, most: int = MAX_SLOTS) -> DataFrame:
     """The rows of `docs` that stay, with all their columns."""
-    sha, maybe, keep = "__text_sha256", "__maybe_repeated", "__keep_id"
+    sha, maybe, keep = (free_name(docs, x) for x in ("__text_sha256", "__maybe_repeated", "__keep_id"))
     found = RepeatFilter(docs, most)
     rows = found.flag(docs.withColumn(sha, text_hash(F.col("text"))), sha, maybe)
     _, groups = found.groups()

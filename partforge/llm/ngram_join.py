@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from partforge.llm.components import connected_components
 from partforge.llm.exact_dedup import maybe_in
-from partforge.llm.staging import slices, staged
+from partforge.llm.staging import free_name, slices, staged
 
 GROUPS = [(1 << 10, 64), (1 << 13, 256), (1 << 62, 1024)]  # coordinates of a point in a node, for sets below a size
 FINE_GROUPS = 256  # coordinates of a point in a part
@@ -406,6 +406,7 @@ def one_of_each(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100)
     """The rows of `docs` without those that are linked to a smaller doc_id, with all their columns."""
     found = near_duplicates(docs, words, num, den)
     gone = staged(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    rows = maybe_in(docs, gone, "doc_id", "__maybe_gone")
-    some = rows.where("__maybe_gone").join(gone, "doc_id", "left_anti")
-    return rows.where("not __maybe_gone").select(*docs.columns).unionByName(some.select(*docs.columns))
+    flag = free_name(docs, "__maybe_gone")
+    rows = maybe_in(docs, gone, "doc_id", flag)
+    some = rows.where(F.col(flag)).join(gone, "doc_id", "left_anti")
+    return rows.where(~F.col(flag)).select(*docs.columns).unionByName(some.select(*docs.columns))

@@ -188,7 +188,7 @@ def encode_block(ids: np.ndarray, vocabulary: int) -> bytes:
     grid = np.zeros(lanes * steps, np.int64)
     grid[:n] = ids
     grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
-    mixer, writer = Mixer(lanes, vocabulary), Writer(lanes, 3 * steps + 8)
+    mixer, writer = Mixer(lanes, vocabulary), Writer(lanes, 4 * steps + 8)
     for t in range(steps):
         now = grid[t]
         mixer.look()
@@ -207,7 +207,14 @@ def encode_block(ids: np.ndarray, vocabulary: int) -> bytes:
 
 
 def decode_block(block: bytes) -> np.ndarray:
-    """The ids of a block, checked."""
+    """The ids of a block, checked; a damaged one is a ValueError."""
+    try:
+        return decoded_block(block)
+    except (IndexError, struct.error) as wrong:
+        raise ValueError("a block of token ids is damaged") from wrong
+
+
+def decoded_block(block: bytes) -> np.ndarray:
     magic, n, lanes, vocabulary, crc = struct.unpack_from("<4sIIII", block)
     if magic != MAGIC:
         raise ValueError("not a block of token ids")
