@@ -12,7 +12,7 @@ HEADER = ["// Generated by ", "// Prompt: ", "// Generated at: "]
 STAMP = "yyyy-MM-dd HH:mm:ss"
 
 GENERATOR = "partforge"
-_PARSED_HEADER = r"\A// Generated by .*\n// Prompt: (.*)\n// Generated at: (.*)\n\n"
+_PARSED_HEADER = r"(?d)\A// Generated by .*\n// Prompt: (.*?)\r?\n// Generated at: (.*?)\r?\n\r?\n"
 
 
 def render_artifact(df: DataFrame, generator: str = GENERATOR) -> DataFrame:
@@ -48,7 +48,12 @@ def read_artifacts(spark: SparkSession, *paths: str) -> DataFrame:
         .option("recursiveFileLookup", True)
         .text(list(paths), wholetext=True)
     )
-    return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+    return files.select(file_path().alias("path"), F.col("value").alias("content"))
+
+
+def file_path() -> Column:
+    """The path of the file a row is from, as it is written on disk: the scan gives it percent-encoded."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
 
 
 def _part(text: Column, pattern: str, i: int) -> Column:

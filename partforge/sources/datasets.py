@@ -4,17 +4,16 @@ from __future__ import annotations
 
 import logging
 from functools import reduce
+from urllib.parse import unquote
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, SparkRuntimeException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 log = logging.getLogger(__name__)
 
-# Up to this many files, their names and counts (some 200 bytes each) are broadcast.
-BROADCAST_FILES = 50_000
-
 
 class NoDatasetError(ValueError):
     """None of the given sources could be loaded."""
@@ -36,17 +35,15 @@ def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
     A row's place in its file comes from the scan and the rows per file from the
     footers, so no row is moved or sorted and every replay gives the same ids.
     """
-    n_files = len(df.inputFiles())
-    index = F.col("_metadata.row_index")
-    if n_files <= 1:
-        return df.select("*", index.alias(name))
+    files = [unquote(f) for f in df.inputFiles()]
+    if not files:
+        return df.select("*", F.col("_metadata.row_index").alias(name))
     file = F.col("_metadata.file_path").alias("_file")
-    placed = df.select("*", file, index.alias("_index"))
-    per_file = df.groupBy(file).agg(F.count("*").alias("_n"))
+    placed = df.select("*", file, F.col("_metadata.row_index").alias("_index"))
+    # counted on the files themselves: `df` may be filtered, the positions are not
+    per_file = df.sparkSession.read.parquet(*files).groupBy(file).agg(F.count("*").alias("_n"))
     before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
     starts = per_file.select("_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    if n_files <= BROADCAST_FILES:
-        starts = F.broadcast(starts)
     return (
         placed.join(starts, "_file")
         .withColumn(name, F.col("_start") + F.col("_index"))
@@ -79,13 +76,14 @@ def read_many(
         try:
             df = read_dataset(spark, path, schema)
             rows = df.count()
-        except AnalysisException as error:
-            log.warning("skipping source %s: %s", source, error.getCondition())
+            placed = with_row_id(df).withColumns(
+                {"row_id": F.col("row_id") + offset, "source": F.lit(source)}
+            )
+            picked = placed.select("row_id", "source", *(columns or df.columns))
+        except (AnalysisException, SparkRuntimeException, Py4JJavaError) as error:
+            log.warning("skipping source %s: %s", source, error)
             continue
-        placed = with_row_id(df).withColumns(
-            {"row_id": F.col("row_id") + offset, "source": F.lit(source)}
-        )
-        loaded.append(placed.select("row_id", "source", *(columns or df.columns)))
+        loaded.append(picked)
         offset += rows
     if not loaded:
         raise NoDatasetError("no source could be loaded: " + ", ".join(paths))

@@ -4,24 +4,56 @@ from __future__ import annotations
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from partforge.schemas import RESULT
 
 
+_BROKEN = "_broken"
+
+
+def _records(spark: SparkSession, path: str, array: bool) -> DataFrame:
+    """`(path, record, broken)` of JSON files: each record with all its fields, whatever is selected later.
+
+    Options keep the optimizer from parsing only the fields that are used, which
+    would make the verdict on a record depend on the query.
+    """
+    schema = T.StructType([*RESULT.fields, T.StructField(_BROKEN, T.StringType())])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BROKEN}
+    files = spark.read.text(path, wholetext=array).select(F.col("_metadata.file_path").alias("path"), "value")
+    if array:
+        # the elements as text, so that one bad element does not hide the others; NULL is no array at all
+        parts = F.from_json("value", "array<string>", {"mode": "PERMISSIVE"})
+        files = files.select("path", F.explode_outer(F.when(F.size(parts) != 0, parts)).alias("value"), (F.size(parts) == 0).alias("empty"))
+        files = files.where("not (empty and value is null) or empty is null")
+    else:
+        files = files.where(F.trim("value") != "")
+    read = files.withColumn("record", F.from_json("value", schema, options))
+    broken = F.col("value").isNull() | F.col("record").isNull() | F.col(f"record.{_BROKEN}").isNotNull()
+    return read.select("path", "record", broken.alias("broken"))
+
+
+def rejected_results(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
+    """`(path, reason)` of the JSON files of which `read_results` takes no row."""
+    bad = _records(spark, path, fmt == "json_array").where("broken").select("path").distinct()
+    return bad.select("path", F.lit("a record is malformed or has a field of another type").alias("reason"))
+
+
 def read_results(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """Earlier results; none where the path is missing, and none from a file that does not parse.
 
     `fmt` is `parquet`, `json` (one result per line) or `json_array` (one array
     per file, which only one task can read: many files, or another format, suit
-    large sets better).
+    large sets better). A JSON file is taken as a whole or not at all, on all fields of
+    the schema, so every selection sees the same rows; `rejected_results` names the others.
     """
-    reader = spark.read.schema(RESULT)
     try:
         if fmt == "parquet":
-            return reader.parquet(path)
-        # The default mode would make one row of NULLs of an unreadable file.
-        reader = reader.option("mode", "DROPMALFORMED")
-        return reader.option("multiLine", fmt == "json_array").json(path)
+            return spark.read.schema(RESULT).parquet(path)
+        records = _records(spark, path, fmt == "json_array")
+        good = records.join(records.where("broken").select("path").distinct(), "path", "left_anti")
+        return good.select(*[F.col(f"record.{x}").alias(x) for x in RESULT.fieldNames()])
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise

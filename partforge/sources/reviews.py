@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from partforge.functions.numbers import one_decimal
 from partforge.functions.prompts import display_title
 from partforge.operators.stats import render_rate
-from partforge.sources.artifacts import STAMP
+from partforge.sources.artifacts import STAMP, file_path
 
 # The text of a report.
 HEAD = """# {title} Evaluation Report
@@ -145,16 +145,20 @@ def read_reviews(spark: SparkSession, *paths: str) -> DataFrame:
     records = (
         spark.read.option("lineSep", "\n" + _SECTION_MARK)
         .option("recursiveFileLookup", True)
+        .option("pathGlobFilter", "{*.md,*.txt}")  # not the outputs that lie beside a report
         .text(list(paths))
     )
     text = F.regexp_replace("value", f"^{_SECTION_MARK}", "")
-    run = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]*)/[^/]*$", 1)
+    folder = F.regexp_extract(file_path(), r"([^/]*)/[^/]*$", 1)
+    written = F.replace(F.regexp_replace(folder, "^run=", ""), F.lit("+"), F.lit("%2B"))
+    # a partition's folder has its value escaped once more
+    run = F.when(folder.startswith("run="), F.coalesce(F.try_url_decode(written), folder)).otherwise(folder)
     parsed = records.select(
-        F.regexp_replace(run, "^run=", "").alias("run"),
+        run.alias("run"),
         F.regexp_extract(text, r"\A(\d+)\. ", 1).alias("ordinal"),
         F.regexp_extract(text, r"(?m)^- \*\*Quality:\*\* *([1-5]) */ *5", 1).alias("quality"),
         F.regexp_extract(text, r"(?m)^- \*\*Resemblance:\*\* *([1-5]) */ *5", 1).alias("resemblance"),
-        F.regexp_extract(text, r"(?m)^- \*\*Notes:\*\* (.*)$", 1).alias("notes"),
+        F.regexp_extract(text, r"(?ms)^- \*\*Notes:\*\* (.*?)\s*(?:^---\s*$.*)?\z", 1).alias("notes"),
     )
     blank_note = "_[Add your observations here]_"
     return parsed.filter(F.col("ordinal") != "").select(

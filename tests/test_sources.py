@@ -72,7 +72,30 @@ def test_results(spark, tmp_path, rows):
     assert r.append_results(df, df).count() == df.count() * 2 == 4
     lines = tmp_path / "lines.json"
     lines.write_text(json.dumps(one) + '\n{"name": "cut off", \n')
-    assert rows(r.read_results(spark, str(lines), "json"), "name") == [("a",)]
+    # a damaged file gives no row, and every selection says the same
+    (tmp_path / "some").mkdir()
+    (tmp_path / "some/good.json").write_text(json.dumps(one) + "\n\n" + json.dumps(one | {"name": "b"}))
+    (tmp_path / "some/type.json").write_text(json.dumps(one | {"name": "c", "valid": "yes"}))
+    lines.rename(tmp_path / "some/cut.json")
+    df = r.read_results(spark, str(tmp_path / "some"), "json")
+    assert df.count() == len(df.collect()) == 2 and rows(df, "name") == [("a",), ("b",)]
+    rejected = r.rejected_results(spark, str(tmp_path / "some")).collect()
+    assert sorted(x.path.rsplit("/", 1)[1] for x in rejected) == ["cut.json", "type.json"]
+
+
+def test_row_ids_of_filtered_files(spark, tmp_path):
+    for i in range(4):
+        spark.range(10 * i, 10 * i + 10, numPartitions=1).write.mode("append").parquet(str(tmp_path / "a b"))
+    df = spark.read.parquet(str(tmp_path / "a b"))
+    ids = d.with_row_id(df.filter("id % 10 >= 5")).collect()
+    assert len({x.row_id for x in ids}) == 20 and {x.row_id % 10 for x in ids} == {5, 6, 7, 8, 9}
+
+
+def test_a_corrupt_source_is_skipped(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "good"))
+    (tmp_path / "bad.parquet").write_bytes(b"not parquet at all")
+    paths = {"bad": str(tmp_path / "bad.parquet"), "good": str(tmp_path / "good")}
+    assert d.read_many(spark, paths, spark.range(1).schema).count() == 3
 
 
 def artifact(prompt, code):
@@ -214,3 +237,18 @@ def test_names(spark):
     assert tuple(row)[:5] == ("big_cat", "03_big_cat.scad", "123_big_cat.png", True, False)
     assert row[5] == p.GENERATION_TEMPLATE.format(name="cat")
     assert row[6][:21] == "eval_20251110_164720_" and 100000 <= int(row[6][21:]) <= 999999
+
+
+def test_names_on_disk_and_notes_of_lines(spark, tmp_path):
+    run = tmp_path / "my run+50%=é"
+    run.mkdir()
+    (run / "01_tea pot.scad").write_bytes(artifact("tea pot", "cube(1);").replace("\n", "\r\n").encode())
+    (run / "REVIEW.md").write_text(
+        "# Report\n\n### 1. Tea\n\n- **Quality:** 4/5\n- **Resemblance:** 3 / 5\n"
+        "- **Notes:** line one\nline two\n\n---\n\n### 2. Cup\n\n- **Quality:** 2/5\n- **Notes:** \n"
+    )
+    got = a.parse_artifact(a.read_artifacts(spark, str(tmp_path))).first()
+    assert (got.run, got.object, got.prompt, got.code) == (run.name, "tea pot", "tea pot", "cube(1);")
+    assert got.generated_at is not None
+    reviews = v.read_reviews(spark, str(tmp_path)).orderBy("ordinal").collect()
+    assert [(x.run, x.quality, x.notes) for x in reviews] == [(run.name, 4, "line one\nline two"), (run.name, 2, None)]
