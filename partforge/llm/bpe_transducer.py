@@ -4,8 +4,8 @@ The merges say which two tokens may stand side by side: those that encoding thei
 gives back. So each prefix of a piece has exactly one last token, and the prefixes form
 a tree. Of a text read so far only those prefixes matter from which some token can still
 reach past its end; whatever their branches have in common is final and is emitted. A
-state of the transducer is thus the last emitted token and the bytes behind it, never
-more bytes than the longest token has. States and their transitions are made when they are first
+state of the transducer is thus the bytes behind the last emitted token, never more than the
+longest token has, and the last tokens along the open branches. States and their transitions are made when they are first
 needed, and forgotten together when there are too many.
 
 Null text counts as empty and has no ids. Repeated rows are encoded each, an empty table
@@ -17,6 +17,7 @@ from __future__ import annotations
 import base64
 import gc
 import hashlib
+from collections.abc import Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -26,7 +27,8 @@ from pyspark.sql import DataFrame
 from partforge.llm.staging import slices
 from partforge.llm.units import UnitMemo, gather
 
-MOST_STATES = 120_000
+MOST_STATES = 180_000
+NONE = -2
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -37,15 +39,16 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class State:
     """What the transducer knows of a text: what is final, and what each open branch would add.
 
-    `left` is the last final token and `pending` the bytes behind it. `last` has the last
-    token of each prefix of `pending`, 0 standing for those on no open branch, and
-    `open` the prefixes from which a token can still reach on.
+    `pending` has the bytes behind the last final token. `last` has the last token of each
+    prefix of `pending`, NONE standing for those on no open branch, and `open` the prefixes
+    from which a token can still reach on. The first prefix is empty: its last token is the
+    last final one, which matters only if a token can still follow it.
     """
 
-    __slots__ = ("left", "pending", "last", "open", "moves", "end")
+    __slots__ = ("pending", "last", "open", "moves", "end")
 
-    def __init__(self, left: int, pending: bytes, last: list[int], open_ends: list[int]):
-        self.left, self.pending, self.last, self.open = left, pending, last, open_ends
+    def __init__(self, pending: bytes, last: tuple[int, ...], open_ends: list[int]):
+        self.pending, self.last, self.open = pending, last, open_ends
         self.moves: dict[int, tuple[State, tuple[int, ...]]] = {}
         self.end: tuple[int, ...] | None = None
 
@@ -63,15 +66,15 @@ class Transducer:
         for token in self.tokens:
             self.split(token)
         self.fits: dict[tuple[int, int], bool] = {}
-        self.states: dict[tuple[int, bytes], State] = {}
+        self.states: dict[tuple[bytes, tuple[int, ...]], State] = {}
         self.forget()
 
     def forget(self) -> None:
         """Drop all states but the first, which has read nothing."""
         for state in self.states.values():
             state.moves.clear()
-        self.first = State(-1, b"", [-1], [0])
-        self.states = {(-1, b""): self.first}
+        self.first = State(b"", (-1,), [0])
+        self.states = {(b"", (-1,)): self.first}
         self.fits.clear()
 
     def split(self, token: int) -> None:
@@ -117,15 +120,19 @@ class Transducer:
     def move(self, state: State, byte: int) -> tuple[State, tuple[int, ...]]:
         """The state after one more byte, and the tokens that it makes final."""
         pending = state.pending + bytes((byte,))
-        n, last = len(pending), state.last
+        last, lengths, rank_of, prefixes = state.last, self.lengths, self.ranks.get, self.prefixes
+        token, open_ends = None, []
         for start in state.open:
-            token = self.ranks.get(pending[start:])
-            if token is not None and self.adjacent(last[start], token):
-                break
+            rest = pending[start:]
+            if token is None:
+                token = rank_of(rest)
+                if token is not None and not self.adjacent(last[start], token):
+                    token = None
+            if rest in prefixes:
+                open_ends.append(start)
         last = [*last, token]
-        open_ends = [i for i in state.open if pending[i:] in self.prefixes]
-        open_ends.append(n)
-        common, lengths = open_ends[0], self.lengths
+        open_ends.append(len(pending))
+        common = open_ends[0]
         for end in open_ends[1:]:  # the nearest prefix that all open branches share
             while end != common:
                 if end > common:
@@ -134,17 +141,22 @@ class Transducer:
                     common -= lengths[last[common]]
         emitted = tuple(self.chain(last, common)) if common else ()
         if common:
-            pending, left = pending[common:], last[common]
-            last, open_ends = [left, *last[common + 1 :]], [i - common for i in open_ends]
-        else:
-            left = state.left
-        target = self.states.get((left, pending))
+            pending, last, open_ends = pending[common:], last[common:], [i - common for i in open_ends]
+        kept = [NONE] * len(last)  # prefixes on no open branch make no difference, nor does their last token
+        for end in open_ends:
+            while end and kept[end] == NONE:
+                kept[end] = last[end]
+                end -= lengths[last[end]]
+        if not open_ends[0]:
+            kept[0] = last[0]
+        name = pending, tuple(kept)
+        target = self.states.get(name)
         if target is None:
-            target = self.states[left, pending] = State(left, pending, last, open_ends)
+            target = self.states[name] = State(pending, name[1], open_ends)
         state.moves[byte] = found = target, emitted
         return found
 
-    def chain(self, last: list[int], end: int) -> list[int]:
+    def chain(self, last: Sequence[int], end: int) -> list[int]:
         """The tokens that lead to the prefix of length `end`."""
         tokens = []
         while end:
@@ -247,6 +259,7 @@ class TokenBytes:
         self.lengths[[ranks[x] for x in ordered]] = [len(x) for x in ordered]
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.data = np.frombuffer(b"".join(ordered), np.uint8)
+        self.decimals = list(map(str, range(len(self.lengths))))
 
     def join(self, ids: np.ndarray) -> bytes:
         return gather(self.data, self.starts[ids], self.lengths[ids]).tobytes()
@@ -305,7 +318,8 @@ def round_trip(docs: DataFrame, ranks: str, pattern: str, step: int = 1 << 16) -
             counts, written, read = [], [], []
             for ids in encoder.encode([x or "" for x in batch.column(1).to_pylist()]):
                 counts.append(len(ids))
-                written.append(hashlib.sha256(" ".join(map(str, ids.tolist())).encode()).hexdigest())
+                decimals = " ".join(map(tokens.decimals.__getitem__, ids.tolist()))
+                written.append(hashlib.sha256(decimals.encode()).hexdigest())
                 read.append(hashlib.sha256(decoded_text(ids, tokens, step).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(counts, pa.int64()), pa.array(written, pa.string()), pa.array(read, pa.string())],
