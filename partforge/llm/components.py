@@ -23,8 +23,14 @@ def contracted(edges: DataFrame, larger: bool) -> DataFrame:
     return moved.unionByName(least.select("a", F.col("least").alias("b"))).where("a <> b").distinct()
 
 
-def state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+def settled(edges: DataFrame) -> bool:
+    """Whether each component is a star: every node but its smallest has one edge, to that."""
+    ends = F.array(
+        F.struct(F.col("a").alias("node"), F.lit(1).alias("down")),
+        F.struct(F.col("b").alias("node"), F.lit(0).alias("down")),
+    )
+    met = edges.select(F.inline(ends)).groupBy("node").agg(F.sum("down").alias("down"), F.min("down").alias("least"))
+    return met.where("down > 1 or (down = 1 and least = 0)").agg(F.count(F.lit(1))).first()[0] == 0
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -35,13 +41,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     edges = staged(edges, "edges")
-    before = state(edges)
-    while before[0]:
+    while not settled(edges):
         edges = staged(contracted(contracted(edges, True), False), "edges")
-        now = state(edges)
-        if now == before:
-            break
-        before = now
     named = edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct()
     return named.unionByName(roots)
