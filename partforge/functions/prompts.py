@@ -20,7 +20,6 @@ Requirements:
 
 Generate ONLY the OpenSCAD code, no explanations:"""
 INSTRUCTION = "hey {assistant}, {verb} me a "
-EVALUATION_OBJECTS = ["sphere", "cat", "cylinder", "cube", "house", "car", "tree", "pyramid"]
 ARTIFACT_SUFFIX = ".scad"
 
 ASSISTANT = "assistant"

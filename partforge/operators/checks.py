@@ -50,25 +50,27 @@ def check_syntax(df: DataFrame, code: str = "code") -> DataFrame:
     df = df.withColumn("_body", body.otherwise(text))
     body = F.col("_body")
 
-    errors = []
+    failed, messages = [], []
     for label, opening, closing in PAIRED_SIGNS:
         n_open, n_close = _occurrences(body, opening), _occurrences(body, closing)
         message = F.concat(
             F.lit(f"Unbalanced {label}: "), n_open, F.lit(" open, "), n_close, F.lit(" close")
         )
-        errors.append(F.when(n_open != n_close, message))
-    errors.append(F.when(~F.rlike(body, F.lit(r"[^\n]")), F.lit(NOTHING_LEFT)))
+        failed.append(n_open != n_close)
+        messages.append(message)
+    failed.append(~F.rlike(body, F.lit(r"[^\n]")))
     has_keyword = reduce(or_, [F.contains(body, F.lit(word)) for word in KEYWORDS])
-    errors.append(F.when(~has_keyword, F.lit(NO_KEYWORD)))
-    errors.append(F.when(F.octet_length(body) != F.length(body), F.lit(NON_ASCII)))
-    return (
-        # array_remove compiles, array_compact would have this step interpreted.
-        df.withColumn(
-            "errors", F.array_remove(F.array(*[F.coalesce(e, F.lit("")) for e in errors]), "")
-        )
-        .withColumn("valid", F.size("errors") == 0)
-        .drop("_body")
-    )
+    failed += [~has_keyword, F.octet_length(body) != F.length(body)]
+    messages += [F.lit(NOTHING_LEFT), F.lit(NO_KEYWORD), F.lit(NON_ASCII)]
+    errors = [F.when(f, m).otherwise("") for f, m in zip(failed, messages, strict=True)]
+    return df.withColumns(
+        {
+            # array_remove compiles, array_compact would have this step interpreted.
+            "errors": F.array_remove(F.array(*errors), ""),
+            # From the tests themselves, so that no message is built where only this is read.
+            "valid": ~reduce(or_, failed),
+        }
+    ).drop("_body")
 
 
 def check_response(df: DataFrame, response: str = "response") -> DataFrame:

@@ -11,8 +11,6 @@ from pyspark.sql import types as T
 
 from partforge.schemas import ATTEMPT
 
-PARALLEL_CALLS = 10
-
 
 def map_batches(
     df: DataFrame,
@@ -32,15 +30,16 @@ def generate_with(
     prompts: DataFrame,
     connect: Callable[[], Callable[[str], str | None]],
     attempt: int = 1,
-    parallelism: int = PARALLEL_CALLS,
+    parallelism: int | None = None,
 ) -> DataFrame:
     """Call a generator once for each row `(row_id, name, prompt)`; gives attempts.
 
     `connect` runs once per task and returns the function to call. A call that
     raises, or returns nothing, is an attempt without a response. Calls are slow,
-    so the rows are first spread over `parallelism` tasks; by row id, so that a
-    repeated task sees the same rows.
+    so the rows are first spread over `parallelism` tasks, as many as the session has
+    cores if not given; by row id, so that a repeated task sees the same rows.
     """
+    parallelism = parallelism or prompts.sparkSession.sparkContext.defaultParallelism
 
     def call_each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         call = connect()

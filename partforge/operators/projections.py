@@ -8,18 +8,14 @@ from pyspark.sql import functions as F
 from partforge.functions.prompts import ASSISTANT, instruction
 from partforge.operators.ordering import id_cells, running_totals
 
-# Above this many rows a limit would gather too much in one task.
-TOP_ROWS = 10_000
 # Turns of one conversation that are looked at together.
 TURN_BITS = 10
 
 
 def head_n(df: DataFrame, n: int | None, row_id: str = "row_id") -> DataFrame:
-    """The first n rows by row id, or all of them if n is None or 0."""
+    """The first n rows by row id, or all of them if n is None or 0; no task gathers them."""
     if not n:
         return df
-    if n <= TOP_ROWS:
-        return df.orderBy(row_id).limit(n)
     place = {"_place": F.lit(1).cast("bigint")}
     placed = running_totals(df, [], id_cells(row_id), [F.col(row_id)], place)
     return placed.filter(F.col("_place") <= n).drop("_place")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from partforge.functions.prompts import generation_prompt
 from partforge.operators.attempts import MAX_RETRIES, resolve_attempts, to_results
 from partforge.operators.checks import check_response
-from partforge.operators.generation import PARALLEL_CALLS, generate_with
+from partforge.operators.generation import generate_with
 from partforge.operators.joins import not_done, with_original
 from partforge.operators.projections import head_n
 from partforge.session import shared_folder
@@ -25,7 +25,7 @@ def generate_job(
     connect: Callable[[], Callable[[str], str | None]],
     samples: int | None = None,
     max_retries: int = MAX_RETRIES,
-    parallelism: int = PARALLEL_CALLS,
+    parallelism: int | None = None,
     check: Callable[[DataFrame], DataFrame] = check_response,
     work: str | None = None,
 ) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,14 +32,18 @@ def read_attempts(
     )
 
 
-def _write(stream: DataFrame, out: str, checkpoint: str, mode: str) -> StreamingQuery:
+def _write(
+    stream: DataFrame, out: str, checkpoint: str, mode: str, every: str | None
+) -> StreamingQuery:
+    trigger = {"processingTime": every} if every else {"availableNow": True}
+
     def save(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
     return (
         stream.writeStream.outputMode(mode)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**trigger)
         .foreachBatch(save)
         .start()
     )
@@ -49,9 +54,14 @@ def stream_outcomes(
     out: str,
     checkpoint: str,
     check: Callable[[DataFrame], DataFrame] = check_response,
+    every: str | None = None,
 ) -> StreamingQuery:
-    """Check each attempt and append it, once."""
-    return _write(check(attempts), out, checkpoint, "append")
+    """Check each attempt and append it, once.
+
+    Here and below, a query with `every` (like "1 minute") runs on; without, it ends when it
+    has taken what is there.
+    """
+    return _write(check(attempts), out, checkpoint, "append", every)
 
 
 def stream_resolve(
@@ -60,20 +70,34 @@ def stream_resolve(
     checkpoint: str,
     max_retries: int = MAX_RETRIES,
     keys: list[str] | None = None,
+    every: str | None = None,
 ) -> StreamingQuery:
     """Keep the outcome of every item up to date while its attempts come in."""
     outcomes = resolve_attempts(checked, max_retries, keys)
-    return _write(outcomes, out, checkpoint, "update")
+    return _write(outcomes, out, checkpoint, "update", every)
 
 
-def stream_stats(outcomes: DataFrame, out: str, checkpoint: str, by: list[str]) -> StreamingQuery:
+def stream_stats(
+    outcomes: DataFrame, out: str, checkpoint: str, by: list[str], every: str | None = None
+) -> StreamingQuery:
     """Keep the counts of every session up to date while its items finish."""
-    return _write(session_stats(outcomes, by), out, checkpoint, "update")
+    return _write(session_stats(outcomes, by), out, checkpoint, "update", every)
 
 
-def newest(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
-    """The newest version of each key in the log of an updating stream."""
-    versions = spark.read.parquet(out)
+def newest(
+    spark: SparkSession, out: str, keys: list[str], schema: T.StructType | None = None
+) -> DataFrame:
+    """The newest version of each key in the log of an updating stream.
+
+    With the `schema` of the rows, a log that no batch has written to yet is empty;
+    without, that is an error.
+    """
+    try:
+        versions = spark.read.parquet(out)
+    except AnalysisException as missing:
+        if schema is None or missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
     rest = [c for c in versions.columns if c not in (*keys, "batch_id")]
     last = F.max(F.struct("batch_id", *rest)).alias("_last")
     return versions.groupBy(*keys).agg(last).select(*keys, *[f"_last.{c}" for c in rest])

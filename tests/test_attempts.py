@@ -95,12 +95,9 @@ def test_limit_comes_before_resume(spark, rows):
     assert row_at(df, 5).first().name == "n5"
 
 
-def test_large_head_is_not_gathered(spark, monkeypatch):
-    from partforge.operators import projections
-
-    monkeypatch.setattr(projections, "TOP_ROWS", 10)
+def test_large_head_is_not_gathered(spark):
     df = spark.range(5000).select((F.col("id") * 3).alias("row_id"))
-    top = projections.head_n(df, 1234)
+    top = head_n(df, 1234)
     assert top.count() == 1234
     assert top.agg(F.max("row_id")).first()[0] == 1233 * 3
 

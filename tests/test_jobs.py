@@ -2,6 +2,8 @@
 
 from datetime import datetime
 
+import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from partforge.functions.tokens import WordTokenizer
@@ -163,6 +165,31 @@ def test_streams_equal_batch_and_restart_adds_nothing(spark, tmp_path, rows):
         assert rows(resolved, *want.columns) == rows(want)
 
 
+def test_a_log_without_batches_is_empty(spark, tmp_path):
+    with pytest.raises(AnalysisException):
+        s.newest(spark, str(tmp_path / "none"), ["session"])
+    schema = spark.range(0).withColumnRenamed("id", "session").schema
+    none = s.newest(spark, str(tmp_path / "none"), ["session"], schema)
+    assert none.count() == 0 and none.columns == ["session"]
+
+
+def test_a_stream_that_runs_on(spark, tmp_path, rows):
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    part = spark.createDataFrame(attempt_rows(3, 40), ATTEMPT_SCHEMA)
+    part.write.mode("append").parquet(folder)
+    attempts = s.read_attempts(spark, folder, part.schema, "*.parquet")
+    running = s.stream_outcomes(attempts, out, str(tmp_path / "c"), every="1 second")
+    try:
+        running.processAllAvailable()
+        late = spark.createDataFrame(attempt_rows(3, 60)[40:], ATTEMPT_SCHEMA)
+        late.write.mode("append").parquet(folder)
+        running.processAllAvailable()
+        assert running.isActive
+    finally:
+        running.stop()
+    assert spark.read.parquet(out).count() == 60
+
+
 def test_streamed_statistics(spark, tmp_path, rows):
     schema = "session STRING, status STRING, needed_retry BOOLEAN"
     folder = str(tmp_path / "in")
