@@ -2,8 +2,9 @@
 
 Tokens of a URL are the labels of its host and the segments of its path, numbers
 written as `#`. FP-growth finds the token combinations that occur often among labelled
-URLs; rules with enough support, confidence and lift for the label `block` are kept.
-They are matched through an inverted index: a rule is listed under its rarest token,
+URLs; rules with enough support, confidence and lift for the label `block` are kept if
+chance does not explain them: at least `LEAST_BAD` bad rows, and more bad ones among those
+that fit than the base rate gives to any of the combinations looked at. They are matched through an inverted index: a rule is listed under its rarest token,
 so a URL meets only rules that share that token, and is then held against the rest of
 the rule. Equal token sets are matched once.
 
@@ -14,6 +15,8 @@ Columns other than the key, the URL and the labels play no part.
 
 from __future__ import annotations
 
+from math import log
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +27,8 @@ BLOCK = "=block"
 MIN_SUPPORT = 0.002
 MIN_CONFIDENCE = 0.5
 MIN_LIFT = 1.5
+LEAST_BAD = 5  # labelled bad rows under a rule
+CHANCE = 0.05  # of one rule or more among all combinations where the label says nothing
 
 
 def host_of(url: Column) -> Column:
@@ -51,23 +56,37 @@ def url_tokens(host: Column, path: Column) -> Column:
     return F.array_sort(F.array_distinct(F.concat(names, F.transform(parts, lambda x: F.concat(F.lit("p:"), x)))))
 
 
+def evidence(rows: Column, confidence: Column, base: float) -> Column:
+    """The least -log of the chance of so many bad ones among `rows` rows at the base rate (Chernoff's bound)."""
+    rest = 1 - confidence
+    good = F.when(rest > 0, rest * (F.log(rest) - log(1 - base))).otherwise(0.0)
+    return F.when(confidence > base, rows * (confidence * (F.log(confidence) - log(base)) + good)).otherwise(0.0)
+
+
 def mined_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT,
                 min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT) -> DataFrame:
     """(index_token, antecedent, confidence, support) of the rules for `block`.
 
     `labelled` has tokens and a boolean bad. The number of rules is bounded by the
-    support asked for, not by the rows.
+    support asked for, not by the rows. What chance may explain is left out alike at every
+    size: the bound on it counts all labelled rows and all combinations that were frequent.
     """
     spark = labelled.sparkSession
     baskets = labelled.select(
         F.when(F.col("bad"), F.array_append("tokens", F.lit(BLOCK))).otherwise(F.col("tokens")).alias("items")
     )
     schema = "index_token string, antecedent array<string>, confidence double, support double"
-    if baskets.isEmpty():
+    total, bad = labelled.agg(F.count(F.lit(1)), F.count_if("bad")).first()
+    if bad < LEAST_BAD or bad == total:
         return spark.createDataFrame([], schema)
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
+    base, least = bad / total, max(min_support, (LEAST_BAD - 0.5) / total)  # so that rounding loses no count
+    model = FPGrowth(itemsCol="items", minSupport=least, minConfidence=min_confidence).fit(baskets)
+    tried = model.freqItemsets.where(~F.array_contains("items", BLOCK)).count()
+    bad_rows = F.round(F.col("support") * total)
     kept = model.associationRules.where(
         (F.element_at("consequent", 1) == BLOCK) & (F.col("lift") >= min_lift) & (F.size("antecedent") > 0)
+        & (bad_rows >= LEAST_BAD)
+        & (evidence(F.round(bad_rows / F.col("confidence")), F.col("confidence"), base) >= log(max(tried, 1) / CHANCE))
     ).select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support")
     single = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
     rules = (

@@ -190,6 +190,21 @@ def test_url_rules_equal_brute_force(spark):
     assert url_rules.judge_urls(pages.limit(0), labels.limit(0), rules).count() == 0
 
 
+@pytest.mark.parametrize("n,hosts", [(100, 40), (1000, 60)])
+def test_chance_makes_no_url_rule(spark, n, hosts):
+    """Labels that a URL says nothing of block nothing; a bad host among them is found, and on other rows too."""
+    rng = random.Random(n)
+    rows = [([f"h:a{rng.randrange(hosts)}", f"h:b{rng.randrange(8)}", f"p:{rng.choice('xyz')}"], rng.random() < 0.26) for _ in range(n)]
+    noise = spark.createDataFrame(rows, "tokens array<string>, bad boolean")
+    assert url_rules.mined_rules(noise).count() == 0
+    spam = [(["h:spam", *tokens[1:]], rng.random() < 0.9) for tokens, _ in rows[: max(n // 10, 30)]]
+    learned, other = spam[::2], spam[1::2] + rows[n // 2 :]
+    rules = url_rules.mined_rules(noise.limit(n // 2).unionByName(spark.createDataFrame(learned, noise.schema)))
+    found = [set(r.antecedent) for r in rules.collect()]
+    blocked = [bad for tokens, bad in other if any(r <= set(tokens) for r in found)]
+    assert len(blocked) >= len(spam[1::2]) and sum(blocked) > 0.7 * len(blocked)
+
+
 @pytest.mark.parametrize("path,blanks", [(WORD_BPE, False), (BYTE_BPE, True)])
 def test_units_encode_like_whole_texts(path, blanks):
     encoder = UnitEncoder(path, blanks)
