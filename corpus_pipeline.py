@@ -16,7 +16,7 @@ from partforge.llm.staging import staged
 
 
 def in_a_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without an identified language go."""
+    """Documents without an identified language go; those in several identified languages stay."""
     return language_mixture.with_language(docs, language_mixture.learn_from(docs))
 
 

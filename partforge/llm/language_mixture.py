@@ -6,7 +6,8 @@ each with its likelihood per language. Expectation-maximisation estimates how th
 document's segments are shared among languages; the set of languages grows as long as a
 further one raises the likelihood by more than a penalty for its parameter. The answer
 is the language with the largest share, and the score that share, or the posterior of
-the language where a single one is enough.
+the language where a single one is enough. A document of several languages counts as
+identified if they explain it together, even if none of them has half of it.
 
 Text without a letter, and null or empty text, is `und` with score 0; so is everything
 if there is nothing to learn from. Ties go to the first language in alphabetical order.
@@ -84,12 +85,28 @@ class Model:
         return np.add.reduceat(self.log_p[buckets], starts, axis=0).astype(np.float64) * TEMPER
 
     def predict(self, text: str | None) -> tuple[str, float]:
+        return self.judged(text)[:2]
+
+    def judged(self, text: str | None) -> tuple[str, float, float]:
+        """The language and its score, and how well all languages found in the text are supported together.
+
+        A single language has its posterior as support. Several ones have their posterior
+        against text that is in no language, or the score if that is more.
+        """
         if not text or not self.languages or not LETTER.search(text):
-            return "und", 0.0
-        shares, posterior = mixture(self.segments(text))
+            return "und", 0.0, 0.0
+        likelihood = self.segments(text)
+        shares, posterior = mixture(likelihood)
         best = int(np.argmax(shares))
         alone = np.count_nonzero(shares) == 1
-        return self.languages[best], float(np.clip(posterior[best] if alone else shares[best], 0.0, 1.0))
+        score = float(np.clip(posterior[best] if alone else shares[best], 0.0, 1.0))
+        return self.languages[best], score, score if alone else max(score, self.support(text, likelihood, shares))
+
+    def support(self, text: str, likelihood: np.ndarray, shares: np.ndarray) -> float:
+        """The posterior of a mixture against a text whose trigrams are all alike probable."""
+        flat = -np.log(BUCKETS) * TEMPER * len(document_buckets(text))
+        further = (np.count_nonzero(shares) - 1) * penalty(len(likelihood))
+        return float(np.exp(-np.logaddexp(0.0, flat + further - explained(likelihood, shares))))
 
 
 def shared_out(likelihood: np.ndarray, languages: list[int]) -> tuple[np.ndarray, float]:
@@ -104,6 +121,18 @@ def shared_out(likelihood: np.ndarray, languages: list[int]) -> tuple[np.ndarray
     return shares, float((np.log((p * shares).sum(axis=1)) + top[:, 0]).sum())
 
 
+def explained(likelihood: np.ndarray, shares: np.ndarray) -> float:
+    """The log-likelihood of the segments under these shares."""
+    top = likelihood.max(axis=1, keepdims=True)
+    chosen = shares > 0
+    return float((np.log(np.exp(likelihood - top)[:, chosen] @ shares[chosen] + 1e-300) + top[:, 0]).sum())
+
+
+def penalty(segments: int) -> float:
+    """What a further language has to gain."""
+    return PENALTY + 0.5 * np.log(segments)
+
+
 def mixture(likelihood: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Shares of all languages in a document, and their posterior if it has one language only."""
     total = likelihood.sum(axis=0)
@@ -111,13 +140,13 @@ def mixture(likelihood: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     posterior /= posterior.sum()
     shares = np.zeros(likelihood.shape[1])
     chosen, value = [int(np.argmax(total))], total.max()
-    penalty = PENALTY + 0.5 * np.log(len(likelihood))
+    least = penalty(len(likelihood))
     found = np.ones(1)
     reach = likelihood.max(axis=1).sum()  # no set of languages can do better
-    while len(chosen) < min(MOST_LANGUAGES, len(shares)) and reach - value > penalty:
+    while len(chosen) < min(MOST_LANGUAGES, len(shares)) and reach - value > least:
         tried = [(*shared_out(likelihood, [*chosen, x]), x) for x in range(len(shares)) if x not in chosen]
         more, better, language = max(tried, key=lambda t: (t[1], -t[2]))
-        if better - value <= penalty:
+        if better - value <= least:
             break
         chosen, value, found = [*chosen, language], better, more
     shares[chosen] = found
@@ -160,13 +189,13 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def with_language(docs: DataFrame, model: Model, least_score: float = 0.5) -> DataFrame:
-    """The rows of `docs` in a language with at least that score, with all their columns."""
+    """The rows of `docs` whose language, or languages together, have at least that support, with all their columns."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
     def filtered(batches) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found = [shared.value.predict(x) for x in batch.column(at).to_pylist()]
-            yield batch.filter(pa.array([x != "und" and y >= least_score for x, y in found], pa.bool_()))
+            found = [shared.value.judged(x) for x in batch.column(at).to_pylist()]
+            yield batch.filter(pa.array([x != "und" and y >= least_score for x, _, y in found], pa.bool_()))
 
     return docs.mapInArrow(filtered, docs.schema)

@@ -300,6 +300,29 @@ def test_mixture_finds_both_languages():
     assert shares[1] == 0 and abs(shares[0] - 25 / 40) < 0.02 and abs(shares.sum() - 1) < 1e-6
 
 
+@pytest.fixture(scope="module")
+def languages(spark):
+    """A model of six languages, each with an alphabet of its own, and what writes a text in one of them."""
+    rng = random.Random(8)
+    words = {x: ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz"[4 * i : 4 * i + 6], k=5)) for _ in range(60)] for i, x in enumerate("pqrstu")}
+    write = lambda lang, n: " ".join(rng.choices(words[lang], k=n))
+    rows = [(i, write(lang, 200), lang) for i in range(20) for lang in words]
+    return language_mixture.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string")), write
+
+
+def test_a_document_in_three_languages_stays(spark, languages):
+    model, write = languages
+    clean = " ".join([write("p", 160), write("r", 140), write("t", 100)])
+    lang, score = model.predict(clean)
+    assert lang == "p" and 0.3 < score < 0.5
+    rng = random.Random(4)
+    noise = " ".join("".join(rng.choices("ÄÖÜßÑÇÅØÆ0123456789", k=5)) for _ in range(400))
+    docs = spark.createDataFrame([(1, clean), (2, write("q", 100)), (3, "12 ."), (4, None)], "doc_id long, text string")
+    assert {r.doc_id for r in language_mixture.with_language(docs, model).collect()} == {1, 2}
+    likelihood, shares = model.segments(noise), np.array([0.4, 0.35, 0.25, 0, 0, 0])
+    assert model.support(noise, likelihood, shares) < 0.01
+
+
 def plain_statistics(text):
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
