@@ -33,7 +33,6 @@ SEGMENT = 64  # trigrams
 ROUNDS = 12
 PENALTY = 6.0  # log-likelihood that a further language has to gain, and half a log of the segments
 TEMPER = 0.25  # neighbouring trigrams overlap, so a segment says less than the sum of its trigrams
-MOST_LANGUAGES = 4  # in one document
 LETTER = re.compile(r"[^\W\d_]")
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -143,7 +142,7 @@ def mixture(likelihood: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     least = penalty(len(likelihood))
     found = np.ones(1)
     reach = likelihood.max(axis=1).sum()  # no set of languages can do better
-    while len(chosen) < min(MOST_LANGUAGES, len(shares)) and reach - value > least:
+    while len(chosen) < len(shares) and reach - value > least:
         tried = [(*shared_out(likelihood, [*chosen, x]), x) for x in range(len(shares)) if x not in chosen]
         more, better, language = max(tried, key=lambda t: (t[1], -t[2]))
         if better - value <= least:

@@ -323,6 +323,13 @@ def test_a_document_in_three_languages_stays(spark, languages):
     assert model.support(noise, likelihood, shares) < 0.01
 
 
+def test_mixture_finds_all_languages(languages):
+    model, write = languages
+    parts = {"p": 300, "q": 200, "r": 150, "s": 120, "t": 100, "u": 80}
+    shares, _ = language_mixture.mixture(model.segments(" ".join(write(x, n) for x, n in parts.items())))
+    assert np.abs(shares - np.array(list(parts.values())) / sum(parts.values())).max() < 0.03
+
+
 def plain_statistics(text):
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
