@@ -1,8 +1,11 @@
 """Quality rules: fixed limits, and an isolation forest over the rules' statistics.
 
 The statistics of every whole text are counted exactly. Two limits fail a document
-outright. An isolation forest isolates unusual combinations of the others: its trees
-split at random, and a document that is alone after few splits is anomalous. The trees
+outright. An isolation forest isolates unusual combinations of word lengths, symbols and
+capitals. The ratios of repeated lines and words are left out of it: with them, the
+threshold that lets good documents pass lets nearly all labelled bad ones pass as well
+(figures in README). `n_dup_lines` is thus reported but has no say in a verdict;
+repeated words have theirs by the limit. The trees split at random, and a document that is alone after few splits is anomalous. The trees
 are grown on at most `TREES * SAMPLE` rows, those with the smallest hash among the
 labelled ones; the threshold is the anomaly score that best tells labelled good rows
 from labelled bad ones over all labelled rows while letting pass `KEEP_GOOD` of the good ones.
