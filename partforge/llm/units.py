@@ -3,7 +3,8 @@
 Both tokenizers here split a text before they merge, and never across the start of a
 unit: a unit is a stretch without blanks, with the one blank or line break before it.
 So the library encodes every different unit once, and a text's ids are its units' ids
-in a row. Texts with blanks in any other arrangement are encoded whole.
+in a row. Texts with blanks in any other arrangement are encoded whole, and so are those
+that hold the string of a special token, which the library cuts out before it splits.
 """
 
 from __future__ import annotations
@@ -129,7 +130,7 @@ class UnitMemo:
 
 
 class UnitEncoder(UnitMemo):
-    """The ids that a file of the tokenizers library gives; special tokens' strings in a text are ordinary text."""
+    """The ids that a file of the tokenizers library gives, special tokens' strings in a text being special tokens."""
 
     def __init__(self, path: str, blanks_matter: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -137,7 +138,8 @@ class UnitEncoder(UnitMemo):
 
         super().__init__(blanks_matter)
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [x.content.lower() for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added_blank = any(c.isspace() for x in self.added for c in x)
         vocabulary = self.tokenizer.get_vocab()
         opens = [i for t, i in vocabulary.items() if t[0] in BLANK_BYTES] if blanks_matter else []
         opens = opens or self.encode_each([BETWEEN])[0]
@@ -147,6 +149,15 @@ class UnitEncoder(UnitMemo):
     def encode_each(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def stands_alone(self, unit: str) -> bool:
+        lower = unit.lower()  # one may be looked for in lower-cased text
+        return not any(x in lower for x in self.added) and super().stands_alone(unit)
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if not self.added_blank:
+            return super().encode(texts)
+        return [self.whole(x) for x in texts]  # one may reach over several units
+
     def learn_all(self, units: list[str]) -> None:
         """One call for all units: their ids are cut apart where an id opens a unit, or stands between two."""
         if self.blanks_matter:

@@ -213,6 +213,19 @@ def test_units_encode_like_whole_texts(path, blanks):
     assert [x.tolist() for x in encoder.encode(texts)] == whole
 
 
+@pytest.mark.parametrize("path,blanks", [(WORD_BPE, False), (BYTE_BPE, True)])
+def test_special_tokens_are_encoded_as_the_library_does(path, blanks):
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(path)
+    texts = [*ODD, "a <|endoftext|> b", "a<|endoftext|>b c", "<|endoftext|>", "x\n<|endoftext|>\ny", "<|startoftext|>A b<|ENDOFTEXT|>",
+             "a <|endof text|> b", "plain words", "<|endoftext|><|endoftext|> z"]
+    want = [fresh.encode(x, add_special_tokens=False).ids for x in texts]
+    encoder = UnitEncoder(path, blanks)
+    assert [x.tolist() for x in encoder.encode(texts)] == want
+    assert want[len(ODD)] == ([320, 49407, 321] if path == WORD_BPE else [64, 220, 50256, 275])
+
+
 def test_range_coder_round_trip():
     rng = np.random.default_rng(0)
     for n in (1, 2, 191, 192, 700, 20_000):
