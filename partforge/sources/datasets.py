@@ -7,7 +7,7 @@ from functools import reduce
 from urllib.parse import unquote
 
 from py4j.protocol import Py4JJavaError
-from pyspark.errors import AnalysisException, SparkRuntimeException
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -61,15 +61,34 @@ def union_all(dfs: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, dfs)
 
 
+#: Spark's conditions, and words of a cause, of a source that is not there or cannot be read as parquet.
+UNREADABLE = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA", "CANNOT_MERGE_SCHEMA")
+CORRUPT = ("is not a Parquet file", "FileMetaData", "footer index is not within the file")
+
+
+def unreadable(error: Exception) -> bool:
+    """Whether a source itself is at fault, not the job that read it or the columns asked for."""
+    if isinstance(error, PySparkException):
+        return (error.getCondition() or "").split(".")[0] in UNREADABLE
+    cause = error.java_exception
+    while cause is not None:
+        said = str(cause.getMessage())
+        if "Job aborted" not in said and any(x in said for x in (*CORRUPT, *(f"[{c}" for c in UNREADABLE))):
+            return True
+        cause = cause.getCause()
+    return False
+
+
 def read_many(
     spark: SparkSession,
     paths: dict[str, str],
     schema: T.StructType | None = None,
     columns: list[Column | str] | None = None,
 ) -> DataFrame:
-    """Concatenate the named sources that load; fail only if none does.
+    """Concatenate the named sources that load; fail if none does.
 
-    Adds `source`, and `row_id` counting on from source to source in the given order.
+    A source that is missing or corrupt is skipped; any other error is raised, as it would
+    drop the rows of a sound source. Adds `source`, and `row_id` counting on from source to source in the given order.
     """
     loaded, offset = [], 0
     for source, path in paths.items():
@@ -80,7 +99,9 @@ def read_many(
                 {"row_id": F.col("row_id") + offset, "source": F.lit(source)}
             )
             picked = placed.select("row_id", "source", *(columns or df.columns))
-        except (AnalysisException, SparkRuntimeException, Py4JJavaError) as error:
+        except (PySparkException, Py4JJavaError) as error:
+            if not unreadable(error):
+                raise
             log.warning("skipping source %s: %s", source, error)
             continue
         loaded.append(picked)

@@ -41,6 +41,28 @@ def test_read_many(spark, tmp_path, rows):
         d.read_many(spark, {"missing": str(tmp_path / "missing")})
 
 
+def test_read_many_skips_only_what_cannot_be_read(spark, tmp_path, monkeypatch):
+    spark.range(3).coalesce(1).write.parquet(str(tmp_path / "sound"))
+    spark.range(2).withColumnRenamed("id", "other").coalesce(1).write.parquet(str(tmp_path / "other"))
+    (tmp_path / "cut").mkdir()
+    whole = next((tmp_path / "sound").glob("*.parquet")).read_bytes()
+    (tmp_path / "cut" / "a.parquet").write_bytes(whole[:-60] + b"\xff" * 52 + whole[-8:])
+    (tmp_path / "empty").mkdir()
+    paths = {n: str(tmp_path / n) for n in ("cut", "empty", "missing", "sound")}
+    assert d.read_many(spark, paths).count() == 3
+    with pytest.raises(Exception, match="UNRESOLVED_COLUMN"):
+        d.read_many(spark, {n: str(tmp_path / n) for n in ("sound", "other")}, columns=["id"])
+    read = d.read_dataset
+
+    def lost(spark, path, schema):
+        df = read(spark, path, schema)
+        return df.where(F.expr("raise_error('executor lost') is null")) if path.endswith("other") else df
+
+    monkeypatch.setattr(d, "read_dataset", lost)
+    with pytest.raises(Exception, match="executor lost"):
+        d.read_many(spark, {n: str(tmp_path / n) for n in ("sound", "other")})
+
+
 def test_read_dataset(spark, tmp_path, rows):
     path = tmp_path / "x.json"
     path.write_text('{"name": "cat", "code": "cube(1);", "more": 1}\n{"name": "dog"}\n')
