@@ -1,4 +1,4 @@
-"""Queries op1 to op10 over the test tables, and SQL for those that SQL can express."""
+"""Queries op1 to op13 over the test tables, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from partforge.llm import (
     curve_packing,
     exact_dedup,
     language_mixture,
+    merkle,
     ngram_join,
     range_coder,
     rule_forest,
@@ -174,3 +175,57 @@ FROM s JOIN r USING (doc_id) GROUP BY s.doc_id, len(s.s)
 def op3_ngram_join(spark, sf_dir):
     """The component of every document among links of 0.9 over three-word shingles."""
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
+
+
+@query("""
+WITH RECURSIVE n AS (
+  SELECT doc_id, lang, crc32_7, n_chars, coalesce(octet_length(encode(doc_id::VARCHAR)) || ':' || doc_id, '-')
+      || coalesce(octet_length(encode(source)) || ':' || source, '-')
+      || coalesce(octet_length(encode(lang)) || ':' || lang, '-') AS head,
+    coalesce(octet_length(encode(text)) || ':' || text, '-') AS tail
+  FROM documents JOIN (
+    SELECT doc_id AS c_id, (list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''),
+      lambda c: ascii(c)::BIGINT)), lambda a, b: list_reduce(list_prepend(xor(a, b), list_transform(range(8), lambda i: 0::BIGINT)),
+      lambda x, i: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))) ) AS crc, xor(crc, 4294967295) % 7 AS crc32_7
+    FROM documents GROUP BY doc_id
+  ) ON doc_id = c_id
+), d AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id, leaf) - 1 AS i FROM (
+    SELECT doc_id, lang, sha256(head || coalesce(length(n_chars::VARCHAR) || ':' || n_chars, '-') || tail) AS leaf,
+      CASE WHEN crc32_7 = 0 AND n_chars IS NOT NULL
+        THEN sha256(head || length((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1) || tail) END AS tampered FROM n)
+), u AS (
+  SELECT 0 AS l, lang, i, leaf AS h FROM d
+  UNION ALL
+  SELECT l + 1, lang, i // 2, sha256(string_agg(h, '' ORDER BY i))
+  FROM (SELECT *, count(*) OVER (PARTITION BY lang) AS n FROM u) WHERE n > 1 GROUP BY l, lang, i // 2
+), s AS (
+  SELECT lang, h AS subroot, l AS height, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i
+  FROM (SELECT lang, arg_max(h, l) AS h, max(l) AS l FROM u GROUP BY lang)
+), t AS (
+  SELECT 0 AS l, i, subroot AS h FROM s
+  UNION ALL
+  SELECT l + 1, i // 2, sha256(string_agg(h, '' ORDER BY i))
+  FROM (SELECT *, count(*) OVER () AS n FROM t) WHERE n > 1 GROUP BY l, i // 2
+), f AS (
+  SELECT d.doc_id, d.lang, d.i, 0 AS l, '' AS proof, coalesce(tampered, leaf) AS h FROM d
+  UNION ALL
+  SELECT f.doc_id, f.lang, f.i, f.l + 1, proof || coalesce(u.h, ''),
+    sha256(CASE WHEN (f.i >> f.l) & 1 = 0 THEN f.h || coalesce(u.h, '') ELSE u.h || f.h END)
+  FROM f JOIN s ON f.lang IS NOT DISTINCT FROM s.lang AND f.l < s.height
+  LEFT JOIN u ON u.lang IS NOT DISTINCT FROM f.lang AND u.l = f.l AND u.i = xor(f.i >> f.l, 1)
+), g AS (
+  SELECT f.doc_id, f.lang, f.i, s.i AS k, 0 AS l, proof, h, subroot FROM f JOIN s
+    ON f.lang IS NOT DISTINCT FROM s.lang AND f.l = s.height
+  UNION ALL
+  SELECT g.doc_id, g.lang, g.i, g.k, g.l + 1, proof || coalesce(t.h, ''),
+    sha256(CASE WHEN (g.k >> g.l) & 1 = 0 THEN g.h || coalesce(t.h, '') ELSE t.h || g.h END), subroot
+  FROM g LEFT JOIN t ON t.l = g.l AND t.i = xor(g.k >> g.l, 1) WHERE g.l < (SELECT max(l) FROM t)
+)
+SELECT g.doc_id, d.leaf, g.subroot, r.h AS root, sha256(g.proof) AS proof_sha256, g.h AS folded_root, g.h = r.h AS verified
+FROM g JOIN d ON g.lang IS NOT DISTINCT FROM d.lang AND g.i = d.i JOIN t r ON r.l = (SELECT max(l) FROM t)
+WHERE g.l = (SELECT max(l) FROM t)
+""")
+def op11_merkle_manifest(spark, sf_dir):
+    """The manifest of all documents, and what a check of each against its root says."""
+    return merkle.checked_documents(table(spark, sf_dir, "documents"))
