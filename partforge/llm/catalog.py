@@ -14,6 +14,7 @@ from partforge.llm import (
     language_mixture,
     merkle,
     ngram_join,
+    prefix_trie,
     range_coder,
     rule_forest,
     url_rules,
@@ -229,3 +230,49 @@ WHERE g.l = (SELECT max(l) FROM t)
 def op11_merkle_manifest(spark, sf_dir):
     """The manifest of all documents, and what a check of each against its root says."""
     return merkle.checked_documents(table(spark, sf_dir, "documents"))
+
+
+@query("""
+WITH RECURSIVE t AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, h) AS p, h, bytes FROM (
+    SELECT conv_id, turn, octet_length(encode(coalesce(text, ''))) AS bytes,
+      sha256(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, '')) AS h
+    FROM conversations WHERE conv_id IS NOT NULL)
+), c AS (
+  SELECT conv_id, count(*) AS n, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(
+      string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda a, b: list_reduce(
+      list_prepend(xor(a, b), list_transform(range(8), lambda i: 0::BIGINT)),
+      lambda x, i: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))), 4294967295) % 9 AS h
+  FROM t GROUP BY conv_id
+), k AS (
+  SELECT c.conv_id, c.h, least(c.h, coalesce(b.n, 0)) AS k, k + greatest(c.n - c.h, 0) AS size
+  FROM c LEFT JOIN c b ON b.conv_id = c.conv_id - c.conv_id % 5
+), r AS (
+  SELECT k.conv_id, t.p AS d, t.h, t.bytes FROM k JOIN t ON t.conv_id = k.conv_id - k.conv_id % 5 AND t.p <= k.h
+  UNION ALL
+  SELECT k.conv_id, t.p - k.h + k.k, t.h, t.bytes FROM k JOIN t ON t.conv_id = k.conv_id AND t.p > k.h
+), f AS (
+  SELECT conv_id, 0::BIGINT AS d, '' AS f, 0::BIGINT AS bytes FROM k
+  UNION ALL
+  SELECT r.conv_id, r.d, sha256(f.f || r.h), r.bytes FROM f JOIN r ON r.conv_id = f.conv_id AND r.d = f.d + 1
+), g AS (SELECT f.*, k.size FROM f JOIN k USING (conv_id)),
+n AS (
+  SELECT d, f, min(conv_id) AS conv_id, count(*) AS n_convs, max(bytes) AS bytes,
+    coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (size = d), '') AS ends
+  FROM g GROUP BY d, f
+), e AS (
+  SELECT n.*, a.f AS pf FROM n LEFT JOIN f a ON a.conv_id = n.conv_id AND a.d = n.d - 1
+), m AS (
+  SELECT e.*, coalesce(x.n_children, 0) AS n_children FROM e
+  LEFT JOIN (SELECT d - 1 AS d, pf AS f, count(*) AS n_children FROM e WHERE d > 0 GROUP BY 1, 2) x ON x.d = e.d AND x.f = e.f
+), s AS (
+  SELECT f.d, f.f, count(*) FILTER (m.n_children = 0) AS n_leaves, sum((m.n_convs - 1) * m.bytes) AS saved
+  FROM m JOIN f ON f.conv_id = m.conv_id AND f.d <= m.d GROUP BY f.d, f.f
+)
+SELECT m.conv_id, m.d AS depth, p.conv_id AS parent_conv_id, m.n_convs, m.n_children, s.n_leaves,
+  CAST(s.saved AS BIGINT) AS saved_tokens, sha256(m.ends) AS ends_sha256
+FROM m JOIN s ON s.d = m.d AND s.f = m.f LEFT JOIN n p ON p.d = m.d - 1 AND p.f = m.pf
+""")
+def op13_prefix_trie(spark, sf_dir):
+    """The trie of all conversations, rebuilt so that they share their starts."""
+    return prefix_trie.shared_prefixes(table(spark, sf_dir, "conversations"))

@@ -20,6 +20,7 @@ an empty table gives no rows. Other columns play no part.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -55,27 +56,27 @@ def run_after(cells: Column, own: Column, fanout: int) -> Column:
     return F.array_join(F.slice(cells, own + 2, left), "")
 
 
+def digest_of_run(nodes: Column, fanout: int) -> Callable[[Column], Column]:
+    """What a run of nodes becomes, by its number."""
+    return lambda run: F.sha2(F.array_join(F.slice(nodes, run * fanout + 1, F.lit(fanout)), ""), 256)
+
+
 def climbed(spread: DataFrame, fanout: int, levels: int) -> DataFrame:
     """Blocks (tree, idx, c0, c1, ...) with the digests of each level, `depth`, how many levels they climb, and `digest`.
 
     A block that is the whole tree stops at one node; only first blocks can be that.
     """
-    width = fanout**levels
     last = spread.groupBy("tree").agg(F.max("idx").alias("last"))
     first = spread.where("idx = 0").join(last, "tree")
-    held = F.size(F.array_compact(F.array(*[f"c{i}" for i in range(width)])))
+    nodes = F.array_compact(F.array(*[f"c{i}.digest" for i in range(fanout**levels)]))  # a block fills from the left
+    held = F.size(nodes)
     steps = reduce(lambda e, d: F.when(held <= fanout**d, d).otherwise(e), range(levels - 1, -1, -1), F.lit(levels))
     first = first.withColumn("depth", F.when(F.col("last") == 0, steps).otherwise(levels)).drop("last")
-    made = first.unionByName(spread.where("idx > 0").withColumn("depth", F.lit(levels)))
-    made = made.withColumn("level0", F.array(*[F.col(f"c{i}.digest") for i in range(width)]))
+    made = first.unionByName(spread.where("idx > 0").withColumn("depth", F.lit(levels))).withColumn("level0", nodes)
     for at in range(1, levels + 1):
-        below, size = F.col(f"level{at - 1}"), fanout ** (levels - at)
-        runs = [F.slice(below, i * fanout + 1, fanout) for i in range(size)]
-        made = made.withColumn(
-            f"level{at}",
-            F.array(*[F.when(F.get(below, F.lit(i * fanout)).isNotNull(), F.sha2(F.array_join(r, ""), 256))
-                      for i, r in enumerate(runs)]),
-        )
+        below = F.col(f"level{at - 1}")
+        runs = F.sequence(F.lit(0), F.floor((F.size(below) - 1) / fanout).cast("int"))
+        made = made.withColumn(f"level{at}", F.transform(runs, digest_of_run(below, fanout)))
     tops = F.array(*[F.get(f"level{i}", F.lit(0)) for i in range(levels + 1)])
     return made.withColumn("digest", F.get(tops, F.col("depth")))
 
