@@ -13,6 +13,7 @@ from partforge.llm import (
     exact_dedup,
     language_mixture,
     merkle,
+    nb_svm,
     ngram_join,
     prefix_trie,
     range_coder,
@@ -276,3 +277,9 @@ FROM m JOIN s ON s.d = m.d AND s.f = m.f LEFT JOIN n p ON p.d = m.d - 1 AND p.f
 def op13_prefix_trie(spark, sf_dir):
     """The trie of all conversations, rebuilt so that they share their starts."""
     return prefix_trie.shared_prefixes(table(spark, sf_dir, "conversations"))
+
+
+@query()
+def op12_nb_svm(spark, sf_dir):
+    """The quality of every document, learned from four fifths of the labelled ones."""
+    return nb_svm.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from partforge.llm import merkle, prefix_trie
+from partforge.llm import merkle, nb_svm, prefix_trie
 
 sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
 
@@ -159,3 +159,105 @@ def test_perfect_hash():
     slots = table.slots(names[::2])
     assert sorted(slots) == list(range(len(slots))) and (table.names[slots] == names[::2]).all()
     assert (table.slots(names[1::2]) == -1).all()
+
+
+def brute_indicators(text):
+    words, out = (text or "").split(" "), []
+    for i, w in enumerate(words):
+        out.append("\x01" if i and w and w == words[i - 1] else w)
+    raw = " ".join(out).encode()
+    grams = {raw[i : i + n] for n in (1, 2, 3) for i in range(len(raw) - n + 1)}
+    code = lambda g: (int.from_bytes(g, "big") * 8 + len(g)) * int(nb_svm.M1) % (1 << 64) >> (64 - nb_svm.BITS)
+    return sorted({code(g) for g in grams})
+
+
+def test_indicators_equal_brute_force(monkeypatch):
+    texts = [None, "", "a", "a a a", "ab  ab ab", "é ü\nx", "one two two three", "w " * 500]
+    for stretch in (nb_svm.STRETCH, 5):  # long texts are hashed in stretches
+        monkeypatch.setattr(nb_svm, "STRETCH", stretch)
+        indicators = nb_svm.Indicators()
+        for text in texts:
+            assert indicators.of(text).tolist() == brute_indicators(text)
+
+
+def test_descent_finds_the_least_loss():
+    rng = np.random.default_rng(4)
+    rows = [np.unique(rng.integers(0, 30, 8)) for _ in range(60)]
+    labels, ratio = (rng.random(60) < 0.3).astype(int), rng.normal(size=30)
+    weight, bias = nb_svm.descend(rows, labels, ratio, rounds=2000)
+    x = np.zeros((60, 31))
+    for i, r in enumerate(rows):
+        x[i, r] = ratio[r] / np.sqrt((ratio[r] ** 2).sum())
+        x[i, 30] = 1
+    y = np.where(labels > 0, 1, -1)
+    cost = np.where(labels > 0, 60 / (2 * labels.sum()), 60 / (2 * (60 - labels.sum())))
+    loss = lambda w: w @ w / 2 + (cost * np.maximum(0, 1 - y * (x @ w))).sum()
+    found = loss(np.append(weight, bias))
+    w = best = np.zeros(31)
+    for t in range(1, 40_000):  # subgradient descent, slow and plain
+        w = w - (w - (cost * y * (y * (x @ w) < 1)) @ x) / t
+        best = w if loss(w) < loss(best) else best
+    assert found <= loss(best) * 1.001
+
+
+def test_counts_are_those_of_all_labelled(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"w{i % 7} common", "z") for i in range(60)] + [(3, "again", "z")], "doc_id long, text string, maybe string")
+    labels = [(i, i % 2) for i in range(50)] + [(0, 1), (3, 1), (None, 1), (7, None)]
+    caught = {}
+    monkeypatch.setattr(nb_svm, "fitted", lambda r, y, p, n: caught.update(rows=r, labels=y, p=p, n=n))
+    nb_svm.learn(docs, spark.createDataFrame(labels, "doc_id long, quality int"))
+    p, n = np.zeros(nb_svm.BUCKETS), np.zeros(nb_svm.BUCKETS)
+    seen = 0
+    for d, text, _ in [tuple(r) for r in docs.collect()]:
+        if d < 50 and d != 0 and zlib.crc32(str(d).encode()) % 5:  # 0 has labels of both kinds
+            (p if d % 2 else n)[brute_indicators(text)] += 1
+            seen += 1
+    assert (caught["p"] == p).all() and (caught["n"] == n).all() and len(caught["rows"]) == seen
+
+
+@pytest.fixture(scope="module")
+def judged(spark):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choices("abcdefgh", k=rng.randint(2, 6)))
+    rows, labels = [(None, "no id"), (-1, None), (-2, ""), (-3, "long " * 30_000)], [(-2, 1), (None, 0)]
+    for i in range(600):
+        good = rng.random() < 0.8
+        text = " ".join(word() for _ in range(60))
+        rows.append((i, text if good else " ".join([word()] * 20) + " " + text if i % 2 else text.replace(" ", " | ")))
+        labels.append((i, int(good or i % 2 == 0 and " | " not in rows[-1][1])))
+    return rows, labels
+
+
+def test_held_out_documents_are_judged(spark, judged, rows):
+    given, labels = judged
+    docs = spark.createDataFrame([(*r, "clash", 0.5) for r in given], "doc_id long, text string, maybe string, score double")
+    got = rows(nb_svm.classify(docs, spark.createDataFrame(labels, "doc_id long, quality int")))
+    assert len(got) == len(given)
+    truth = dict(labels)
+    for doc_id, held, score, predicted in got:
+        assert held == (doc_id is not None and zlib.crc32(str(doc_id).encode()) % 5 == 0)
+        assert 0 <= score <= 1 and predicted == (score >= 0.3)
+    tried = [(truth[d], p) for d, h, _, p in got if h and d is not None and d >= 0]
+    assert len(tried) > 90 and np.mean([a == b for a, b in tried]) > 0.95
+    assert any(a == 0 for a, _ in tried)
+
+
+def test_labels_of_one_kind_or_none(spark, rows):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(30)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(30)], "doc_id long, quality int")
+    scores = {r[2] for r in rows(nb_svm.classify(docs, labels))}
+    assert len(scores) == 1 and scores.pop() > 0.9
+    none = {r[2] for r in rows(nb_svm.classify(docs, labels.limit(0)))}
+    assert none == {0.5}
+    assert nb_svm.classify(docs.limit(0), labels).count() == 0
+
+
+def test_sample_is_bounded(spark, judged, monkeypatch):
+    given, labels = judged
+    docs, labels = spark.createDataFrame(given, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    caught = {}
+    monkeypatch.setattr(nb_svm, "fitted", lambda r, y, p, n: caught.update(rows=r))
+    nb_svm.learn(docs, labels, sample=50)
+    assert 30 <= len(caught["rows"]) <= 50
+    nb_svm.learn(docs, labels, most=1000)
+    assert sum(map(len, caught["rows"])) <= 1000
