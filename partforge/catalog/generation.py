@@ -8,16 +8,20 @@ from pyspark.sql import functions as F
 from partforge.catalog.registry import query, table
 from partforge.functions import prompts as p
 from partforge.operators.attempts import resolve_attempts, to_failures, to_results
+from partforge.operators.calls import CallPolicy
+from partforge.operators.checks import check_response
 from partforge.operators.generation import generate_with, map_batches
 from partforge.operators.joins import done_names, not_done, with_original
 from partforge.operators.ordering import RUN_BITS, id_cells, number_outputs, running_totals
 from partforge.operators.progress import progress
 from partforge.operators.projections import head_n, row_at
 from partforge.operators.stats import session_stats, total_items
-from partforge.plans.generate import generate_job
+from partforge.plans.generate import generate_job, session_report
+from partforge.schemas import ATTEMPT
 from partforge.session import shared_folder
 from partforge.sources.datasets import with_default, with_row_id
-from partforge.sources.results import append_results
+from partforge.sources.ledger import Ledger
+from partforge.sources.results import append_results, read_results
 
 # --- sources and resume -------------------------------------------------------------------
 
@@ -344,7 +348,26 @@ def generated_attempts(spark, sf_dir):
         F.col("p_name").alias("name"),
         p.generation_prompt(F.col("p_name")).alias("prompt"),
     )
-    return generate_with(parts, _stand_in(), attempt=2)
+    return generate_with(parts, _stand_in(), attempt=2).drop("finished_at")
+
+
+@query(
+    f"""SELECT p_partkey AS row_id, p_name AS name, 2 AS attempt, {_ANSWER_SQL} AS response,
+        CASE WHEN p_name LIKE '%ring' THEN 'no answer for ' || p_name END AS error FROM part"""
+)
+def generated_concurrent(spark, sf_dir):
+    """As `generated_attempts`, with several calls of a task in flight."""
+    parts = _sources(spark, sf_dir).withColumn("prompt", p.generation_prompt(F.col("name")))
+    policy = CallPolicy(in_flight=8, seconds=60, tries=2, backoff=0.01)
+    return generate_with(parts, _stand_in(), attempt=2, policy=policy).drop("finished_at")
+
+
+def _sources(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("row_id"),
+        F.col("p_name").alias("name"),
+        F.col("p_type").alias("code"),
+    )
 
 
 @query("SELECT doc_id, length(text) AS chars, upper(lang) AS lang FROM documents")
@@ -369,10 +392,80 @@ def mapped_batches(spark, sf_dir):
         FROM part"""
 )
 def generate_job_outcomes(spark, sf_dir):
-    parts = table(spark, sf_dir, "part").select(
-        F.col("p_partkey").alias("row_id"),
-        F.col("p_name").alias("name"),
-        F.col("p_type").alias("code"),
-    )
+    parts = _sources(spark, sf_dir)
     done = generate_job(spark, parts, shared_folder(spark, "results"), _stand_in())
     return done.select("row_id", "name", "status", "message", "code")
+
+
+# --- sessions that stop and go on -----------------------------------------------------------
+
+
+def _moody():
+    """As `_stand_in`, but a call may go unanswered, by its key: another attempt has another key."""
+    inner = _stand_in()
+
+    def connect():
+        call = inner()
+        return lambda prompt, key: call(prompt) if key >= "8" else None
+
+    return connect
+
+
+def _stopped_session(spark, sf_dir) -> tuple[str, str]:
+    """The ledger and the results of a session that was stopped amid the attempts of a slice, and went on."""
+    work, results = shared_folder(spark, "ledger"), shared_folder(spark, "results")
+    policy = CallPolicy(in_flight=4, seconds=60, keyed=True)
+    parts = _sources(spark, sf_dir)
+    for most_steps in (3, None):
+        generate_job(
+            spark, parts, results, _moody(), work=work, policy=policy, slice_rows=1100, most_steps=most_steps
+        )
+    return work, results
+
+
+_SESSION_SQL = f"""
+    c AS (SELECT p_partkey AS row_id, p_name AS name, p_type, a.attempt::BIGINT AS attempt,
+            sha256(p_partkey || ':' || a.attempt || ':' ||
+              replace('{p.GENERATION_TEMPLATE}', '{{name}}', p_name)) >= '8'
+              AND NOT (p_name LIKE '%ring' OR p_name LIKE '%bolt') AS answered,
+            p_name LIKE 'red%' AS wrong
+          FROM part, range(1, 6) a(attempt)),
+    o AS (SELECT row_id, name, p_type, min(attempt) FILTER (answered AND NOT wrong) AS won,
+            max(answered) FILTER (attempt = 5) AS spoke FROM c GROUP BY ALL),
+    s AS (SELECT row_id, name, p_type, won IS NOT NULL AS good,
+            CASE WHEN won IS NOT NULL THEN 'success' ELSE 'failed' END AS status,
+            CASE WHEN won IS NOT NULL THEN 'Valid' WHEN spoke THEN 'Failed validation after 5 attempts'
+              ELSE 'Failed to generate code after 5 attempts' END AS message,
+            coalesce(won, 5) AS attempt, coalesce(won > 1, false) AS needed_retry,
+            CASE WHEN won IS NOT NULL
+              THEN '// ' || name || chr(10) || 'cube(' || length(name) || ');' END AS code FROM o)"""
+
+
+@query(f"WITH {_SESSION_SQL} SELECT row_id, name, status, message, attempt, needed_retry, code, attempt AS tried FROM s")
+def generate_job_resumed(spark, sf_dir):
+    """Outcomes of a session that was stopped, and how many attempts of each item the ledger holds."""
+    work, _ = _stopped_session(spark, sf_dir)
+    made = Ledger(spark, work).attempts(check_response(spark.createDataFrame([], ATTEMPT)).schema)
+    tried = made.groupBy("row_id").agg(F.count("*").alias("tried"))
+    done = resolve_attempts(made).withColumn("attempt", F.col("attempt").cast("bigint"))
+    return done.join(tried, "row_id")
+
+
+@query(f"WITH {_SESSION_SQL} SELECT name, code, p_type AS original_code, message AS status, good AS valid FROM s WHERE good")
+def generate_job_results(spark, sf_dir):
+    """What a stopped session has saved in the end."""
+    _, results = _stopped_session(spark, sf_dir)
+    return read_results(spark, results)
+
+
+@query(
+    f"""WITH {_SESSION_SQL} SELECT {_STATS_SQL}, count(*) FILTER (good) AS total_items,
+        count(*) AS completed, 0 AS remaining FROM s"""
+)
+def generate_job_statistics(spark, sf_dir):
+    """Statistics of a stopped session, all results, and the last line of its progress."""
+    report = session_report(spark, *_stopped_session(spark, sf_dir))
+    last = report.progress.agg(F.max("completed").alias("completed"), F.min("remaining").cast("int").alias("remaining"))
+    one = F.lit(1).alias("_one")
+    joined = report.statistics.select("*", one).join(report.total.select("*", one), "_one")
+    return joined.join(last.select("*", one), "_one").drop("_one")

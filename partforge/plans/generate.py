@@ -3,52 +3,135 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from partforge.functions.prompts import generation_prompt
 from partforge.operators.attempts import MAX_RETRIES, resolve_attempts, to_results
+from partforge.operators.calls import CallPolicy
 from partforge.operators.checks import check_response
 from partforge.operators.generation import generate_with
 from partforge.operators.joins import not_done, with_original
+from partforge.operators.progress import progress
 from partforge.operators.projections import head_n
+from partforge.operators.stats import session_stats, total_items
+from partforge.schemas import ATTEMPT
 from partforge.session import shared_folder
 from partforge.sources.datasets import with_default
+from partforge.sources.ledger import ITEMS, Ledger
 from partforge.sources.results import read_results, write_results
 
+#: Row ids of a slice: what is repeated at most when a session stops.
+SLICE_ROWS = 1 << 16
+
 
 def generate_job(
     spark: SparkSession,
     source: DataFrame,
     results: str,
-    connect: Callable[[], Callable[[str], str | None]],
+    connect: Callable[[], Callable[..., str | None]],
     samples: int | None = None,
     max_retries: int = MAX_RETRIES,
     parallelism: int | None = None,
     check: Callable[[DataFrame], DataFrame] = check_response,
     work: str | None = None,
+    policy: CallPolicy = CallPolicy(),
+    slice_rows: int = SLICE_ROWS,
+    most_steps: int | None = None,
 ) -> DataFrame:
     """Run the missing items through the generator and append what is valid to `results`.
 
-    Every round makes one attempt for each item still open and stores it before
-    it is read again, so no call is repeated to make a plan, and a session that
-    stops keeps the rounds it finished. Returns the outcome of each item.
+    The session's ledger is in `work`. Slice by slice, each step makes one attempt for each item
+    still open, commits it to the ledger and appends its successes to the results. Called again
+    with the same `work`, a session that was stopped, or had enough with `most_steps`, goes on
+    with the items it began with, after their last committed attempt: no committed call is made
+    again. Returns the outcome of each item that was asked for.
     """
-    work = work or shared_folder(spark, "attempts")
+    ledger = Ledger(spark, work or shared_folder(spark, "attempts"))
     items = head_n(with_default(source, "code"), samples)
-    pending = not_done(items, read_results(spark, results)).select("row_id", "name")
-    rounds = []
-    for attempt in range(1, max_retries + 1):
-        asked = pending.withColumn("prompt", generation_prompt(F.col("name")))
-        made = check(generate_with(asked, connect, attempt, parallelism))
-        made.write.mode("overwrite").parquet(f"{work}/round={attempt}")
-        stored = spark.read.schema(made.schema).parquet(f"{work}/round={attempt}")
-        rounds.append(f"{work}/round={attempt}")
-        new = resolve_attempts(stored, max_retries)
-        write_results(to_results(with_original(new, items)), results)
-        pending = stored.filter(~F.col("valid")).select("row_id", "name")
-        if pending.isEmpty():
-            break
-    attempts = spark.read.schema(made.schema).parquet(*rounds)
-    return resolve_attempts(attempts, max_retries)
+    ledger.begin(not_done(items, read_results(spark, results)), slice_rows)
+    schema = check(spark.createDataFrame([], ATTEMPT)).schema
+    last = {}
+    for step in sorted(ledger.steps(), key=lambda s: s.attempt):
+        if step.slice != ITEMS:
+            last[step.slice] = step
+    if last:
+        _save_rest(spark, ledger, items, results, schema, max_retries)
+    made = 0
+    for number in ledger.slices():
+        done = last.get(number)
+        attempt, still_open = (done.attempt, done.open) if done else (0, 1)
+        while still_open and attempt < max_retries and made != most_steps:
+            asked = ledger.items(number) if not attempt else _unanswered(ledger, number, attempt, schema)
+            attempt, made = attempt + 1, made + 1
+            asked = asked.withColumn("prompt", generation_prompt(F.col("name")))
+            tried = check(generate_with(asked, connect, attempt, parallelism, policy))
+            stored, still_open = ledger.write(tried, number, attempt)
+            write_results(_successes(stored, items, max_retries), results)
+    return resolve_attempts(ledger.attempts(schema), max_retries)
+
+
+def _unanswered(ledger: Ledger, number: int, attempt: int, schema) -> DataFrame:
+    return ledger.read([(number, attempt)], schema).where(~F.col("valid")).select("row_id", "name")
+
+
+def _successes(attempts: DataFrame, items: DataFrame, max_retries: int) -> DataFrame:
+    won = resolve_attempts(attempts, max_retries).where(F.col("status") == "success")
+    return to_results(with_original(won, items))
+
+
+def _save_rest(spark, ledger: Ledger, items: DataFrame, results: str, schema, max_retries: int) -> None:
+    """Append the successes that a session committed but did not get to append before it stopped.
+
+    Only those of the last step can be missing. Names may repeat, so rows are counted: all
+    successes with one of these names against all results with one.
+    """
+    newest = max((s for s in ledger.steps() if s.slice != ITEMS), key=lambda s: s.started_at)
+    names = ledger.read([(newest.slice, newest.attempt)], schema).where("valid").select("name").distinct()
+    names = names.withColumnRenamed("name", "_name")
+    same = F.col("name").eqNullSafe(F.col("_name"))
+    saved = read_results(spark, results).join(names, same, "left_semi")
+    there = ledger.attempts(schema).join(names, same, "left_semi")
+    rest = _successes(there, items, max_retries).exceptAll(saved)
+    if not rest.isEmpty():
+        write_results(rest, results)
+
+
+@dataclass(frozen=True)
+class SessionReport:
+    """What a session has come to: counts, all results so far, and its progress item by item."""
+
+    statistics: DataFrame
+    total: DataFrame
+    progress: DataFrame
+
+
+def session_report(
+    spark: SparkSession,
+    work: str,
+    results: str,
+    max_retries: int = MAX_RETRIES,
+    check: Callable[[DataFrame], DataFrame] = check_response,
+) -> SessionReport:
+    """Statistics of the session whose ledger is in `work`, also while it runs or after it stopped.
+
+    An item counts as completed with its success, or with the last attempt it had.
+    """
+    ledger = Ledger(spark, work)
+    attempts = ledger.attempts(check(spark.createDataFrame([], ATTEMPT)).schema)
+    outcomes = resolve_attempts(attempts, max_retries)
+    finished = attempts.groupBy("row_id", "attempt").agg(F.max("finished_at").alias("finished_at"))
+    ended = outcomes.where(F.col("status") != "pending").join(finished, ["row_id", "attempt"])
+    began = min((s.started_at for s in ledger.steps()), default=None)
+    done = ended.select(
+        F.lit("session").alias("session"),
+        "row_id",
+        F.lit(began).cast("timestamp").alias("started_at"),
+        "finished_at",
+        F.lit(ledger.items().count() if began else 0).alias("total"),
+        "status",
+        "needed_retry",
+    )
+    return SessionReport(session_stats(outcomes), total_items(read_results(spark, results)), progress(done))

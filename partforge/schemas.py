@@ -22,4 +22,5 @@ ATTEMPT = (
     .add("attempt", "integer")
     .add("response", "string")
     .add("error", "string")
+    .add("finished_at", "timestamp")
 )
