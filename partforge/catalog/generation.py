@@ -116,7 +116,8 @@ def outcomes_sql(attempt: str) -> str:
     w AS (SELECT user_id, day, max(attempt) AS last,
             arg_max(event_type, (attempt, CASE event_type WHEN 'error' THEN 0
               WHEN 'view' THEN 1 ELSE 2 END)) AS kind,
-            min((attempt, event_id::VARCHAR, event_id)) FILTER (event_type = 'purchase') AS won
+            min((attempt, left(md5('cube(' || event_id || ');' || chr(10) || 'Valid'), 14), event_id))
+              FILTER (event_type = 'purchase') AS won
           FROM n WHERE attempt <= 5 GROUP BY ALL),
     o AS (SELECT user_id, day,
             CASE WHEN won IS NOT NULL THEN 'success' WHEN last >= 5 THEN 'failed'

@@ -15,32 +15,79 @@ REASONS = [
 ]
 
 
-def _outcome_aggregates() -> list[Column]:
+#: Bits of `won` below the attempt's number: they settle replays of one attempt.
+REPLAY_BITS = 56
+
+
+def _good() -> Column:
+    return F.col("valid") & (F.col("code") != "")
+
+
+def winning_number() -> Column:
+    """The number of a valid attempt, then digits of its text's MD5; the least one wins, whatever the order."""
+    text = F.concat_ws("\n", "code", "message")
+    digits = F.conv(F.left(F.md5(text), F.lit(REPLAY_BITS // 4)), 16, 10).cast("bigint")
+    return F.when(_good(), F.shiftleft(F.col("attempt").cast("bigint"), REPLAY_BITS) + digits)
+
+
+def _within(attempts: DataFrame, max_retries: int) -> DataFrame:
+    return attempts.filter(F.col("attempt").between(1, max_retries))
+
+
+def attempt_numbers(
+    attempts: DataFrame, max_retries: int = MAX_RETRIES, keys: list[str] | None = None
+) -> DataFrame:
+    """What decides an item, in integers: `won`, its first valid attempt, `last`, its last one, and what that lacks.
+
+    Minima and maxima need no order, so that batch and streaming jobs share them, and numbers
+    of parts of an item's attempts give those of all by `merged_numbers`. No text is carried.
+    """
+    keys = keys or ["row_id", "name"]
     code = F.col("code")
     # No answer leaves the code NULL, and an answer without code leaves it empty.
     lacks = F.when(code.isNull(), 0).when(code == "", 1).otherwise(2)
-    good = F.col("valid") & (code != "")
-    return [
-        # The struct orders by attempt, and settles replays of one attempt by their text.
-        F.min(F.when(good, F.struct("attempt", "code", "message"))).alias("_won"),
-        F.max("attempt").alias("_last"),
-        F.max(F.col("attempt") * 10 + lacks).alias("_lacks"),
-    ]
-
-
-def _outcome_columns(max_retries: int) -> dict[str, Column]:
-    won = F.col("_won").isNotNull()
-    given_up = ~won & (F.col("_last") >= max_retries)
-    reason = F.get(
-        F.array(*[F.lit(r.format(n=max_retries)) for r in REASONS]), F.col("_lacks") % 10
+    return (
+        _within(attempts, max_retries)
+        .groupBy(*keys)
+        .agg(
+            F.min(winning_number()).alias("won"),
+            F.max("attempt").alias("last"),
+            F.max(F.col("attempt") * 10 + lacks).alias("lacks"),
+        )
+    )
+
+
+def merged_numbers(numbers: DataFrame, keys: list[str]) -> DataFrame:
+    return numbers.groupBy(*keys).agg(F.min("won").alias("won"), *[F.max(c).alias(c) for c in ("last", "lacks")])
+
+
+def decided(numbers: DataFrame, attempts: DataFrame, max_retries: int, keys: list[str], open_: str) -> DataFrame:
+    """Outcomes by their numbers, and the code of the winners among `attempts`.
+
+    Only valid attempts carry their text: one of each number leaves a task, and meets its
+    item by key and number. An item that is neither won nor lost has the status `open_`.
+    """
+    won = F.col("won").isNotNull()
+    given_up = ~won & (F.col("last") >= max_retries)
+    reason = F.get(F.array(*[F.lit(r.format(n=max_retries)) for r in REASONS]), F.col("lacks") % 10)
+    texts = (
+        _within(attempts, max_retries)
+        .filter(_good())
+        .groupBy(*[F.col(k).alias(f"_{k}") for k in keys], winning_number().alias("_won"))
+        .agg(F.array_min(F.collect_set(F.struct("code", "message"))).alias("_text"))  # a set of one
     )
-    return {
-        "status": F.when(won, "success").when(given_up, "failed").otherwise("pending"),
-        "attempt": F.coalesce("_won.attempt", "_last"),
-        "code": F.col("_won.code"),
-        "message": F.when(won, F.col("_won.message")).when(given_up, reason),
-        "needed_retry": won & (F.col("_won.attempt") > 1),
+    same = F.col("won") == F.col("_won")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    number = F.coalesce(F.shiftright("won", REPLAY_BITS), F.col("last"))
+    columns = {
+        "status": F.when(won, "success").when(given_up, "failed").otherwise(open_),
+        "attempt": number.cast(attempts.schema["attempt"].dataType),
+        "code": F.col("_text.code"),
+        "message": F.when(won, F.col("_text.message")).when(given_up, reason),
+        "needed_retry": won & (number > 1),
     }
+    return numbers.join(texts, same, "left").select(*keys, *[c.alias(n) for n, c in columns.items()])
 
 
 def resolve_attempts(
@@ -48,16 +95,11 @@ def resolve_attempts(
 ) -> DataFrame:
     """One outcome per item: its first valid attempt, or why it failed, or `pending`.
 
-    Reads `attempt, code, valid, message` and the key columns. The aggregates need
-    no order, so batch and streaming jobs share them, and a key with very many
-    attempts is reduced before it moves.
+    Reads `attempt, code, valid, message` and the key columns. Items are decided by integers, and
+    a key with very many attempts is reduced before it moves; code is looked up afterwards.
     """
     keys = keys or ["row_id", "name"]
-    within = attempts.filter(F.col("attempt").between(1, max_retries))
-    outcomes = within.groupBy(*keys).agg(*_outcome_aggregates())
-    return outcomes.select(
-        *keys, *[c.alias(n) for n, c in _outcome_columns(max_retries).items()]
-    )
+    return decided(attempt_numbers(attempts, max_retries, keys), attempts, max_retries, keys, "pending")
 
 
 def to_results(outcomes: DataFrame, original: str = "original_code") -> DataFrame:

@@ -143,7 +143,8 @@ def run_streams(spark, folder, schema):
     )
     resolved, ckpt = str(folder / "resolved"), str(folder / "c2")
     s.stream_resolve(checked, resolved, ckpt).awaitTermination()
-    return spark.read.parquet(out), s.newest(spark, resolved, ["row_id", "name"])
+    stored = spark.read.parquet(out)
+    return stored, s.resolved_items(spark, resolved, stored)
 
 
 def test_streams_equal_batch_and_restart_adds_nothing(spark, tmp_path, rows):
