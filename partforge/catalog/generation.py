@@ -19,7 +19,7 @@ from partforge.operators.stats import session_stats, total_items
 from partforge.plans.generate import generate_job, session_report
 from partforge.schemas import ATTEMPT
 from partforge.session import shared_folder
-from partforge.sources.datasets import with_default, with_row_id
+from partforge.sources.datasets import exact_path, file_index, read_dataset, with_default, with_row_id
 from partforge.sources.ledger import Ledger
 from partforge.sources.results import append_results, read_results
 
@@ -41,6 +41,19 @@ def dataset_rows(spark, sf_dir):
     return placed.select("row_id", "doc_id", "lang")
 
 
+@query(
+    """SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row_id, doc_id, lang FROM documents
+       QUALIFY lang = 'en'"""
+)
+def dataset_rows_many_files(spark, sf_dir):
+    """Positions in a dataset of eight files, in a folder with signs of patterns in its name, under a filter."""
+    folder = f"{shared_folder(spark, 'many')}/run [1] 50% {{a,b}}"
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    docs.repartitionByRange(8, "doc_id").sortWithinPartitions("doc_id").write.parquet(folder)
+    stored = read_dataset(spark, exact_path(folder))
+    return with_row_id(stored.where("lang = 'en'"), index=file_index(stored)).select("row_id", "doc_id", "lang")
+
+
 @query("SELECT doc_id, text FROM documents ORDER BY doc_id LIMIT 120")
 def first_rows(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

@@ -12,7 +12,7 @@ from partforge.operators import ordering, stats, tokenized
 from partforge.operators.projections import to_pairs, turn_pairs
 from partforge.plans.prepare import MASKED, SHIFTED, batched_epochs, packed_blocks, prepare_job
 from partforge.session import shared_folder
-from partforge.sources.datasets import read_many, write_prepared
+from partforge.sources.datasets import exact_path, read_many, read_sources, write_prepared
 
 SEED = 3407
 N_EPOCHS = 3
@@ -56,6 +56,33 @@ def rows_per_source(spark, sf_dir):
     return stats.source_counts(_sources(spark, sf_dir))
 
 
+@query(
+    """WITH d AS (SELECT count(*) AS n FROM documents), b AS (SELECT count(*) AS n FROM benchmark)
+       SELECT 'documents' AS source, NULL AS stage, n AS examples, 0 AS first_id, n - 1 AS last_id FROM d
+       UNION ALL SELECT 'benchmark', NULL, b.n, d.n, d.n + b.n - 1 FROM d, b
+       UNION ALL VALUES ('not_there', 'listing', NULL, NULL, NULL), ('broken', 'footers', NULL, NULL, NULL),
+         ('empty', 'schema', NULL, NULL, NULL)"""
+)
+def sources_with_corrupt(spark, sf_dir):
+    """Sources of which some cannot be read: the rows of the others, and why and when each failed."""
+    folder = shared_folder(spark, "sources")
+    table(spark, sf_dir, "documents").select("text").write.parquet(f"{folder}/sound [1]")
+    table(spark, sf_dir, "documents").select("text").limit(9).write.text(f"{folder}/broken")
+    spark.range(0).withColumn("k", F.col("id")).write.partitionBy("k").parquet(f"{folder}/empty")  # no file
+    paths = {
+        "not_there": f"{folder}/not_there",
+        "documents": exact_path(f"{folder}/sound [1]"),
+        "broken": f"{folder}/broken",
+        "empty": f"{folder}/empty",
+        "benchmark": f"{sf_dir}/benchmark.parquet",
+    }
+    found = read_sources(spark, paths, columns=["text"])
+    counts = found.rows.groupBy("source").agg(
+        F.count("*").alias("examples"), F.min("row_id").alias("first_id"), F.max("row_id").alias("last_id")
+    )
+    return counts.unionByName(found.rejects.select("source", "stage"), allowMissingColumns=True)
+
+
 # --- chats --------------------------------------------------------------------------------
 
 PAIRS_SQL = """p AS (SELECT u.conv_id, u.turn, u.text AS input, a.text AS output

@@ -274,3 +274,36 @@ def test_names_on_disk_and_notes_of_lines(spark, tmp_path):
     assert got.generated_at is not None
     reviews = v.read_reviews(spark, str(tmp_path)).orderBy("ordinal").collect()
     assert [(x.run, x.quality, x.notes) for x in reviews] == [(run.name, 4, "line one\nline two"), (run.name, 2, None)]
+
+
+def test_sources_in_folders_with_signs_of_patterns(spark, tmp_path, rows):
+    names = ["run [1]", "50% +x", "a{b,c}", "back?*"]
+    for i, name in enumerate(names):
+        spark.range(i * 10, i * 10 + 10, 1, 2).write.parquet(str(tmp_path / name))
+    spark.range(500, 505).write.parquet(str(tmp_path / "run 1"))  # what the first would match as a pattern
+    paths = {name: d.exact_path(str(tmp_path / name)) for name in names}
+    found = d.read_sources(spark, paths)
+    assert found.rejects.count() == 0
+    got = rows(found.rows, "row_id", "source", "id")
+    assert got == sorted(((i, names[i // 10], i) for i in range(40)), key=repr)
+    for name in names:
+        df = d.read_dataset(spark, d.exact_path(str(tmp_path / name))).where("id % 2 = 1")
+        assert sorted(r.row_id for r in d.with_row_id(df).collect()) == [1, 3, 5, 7, 9]
+
+
+def test_rejects_name_source_and_stage(spark, tmp_path, rows):
+    spark.range(3).write.parquet(str(tmp_path / "good"))
+    spark.range(3).write.parquet(str(tmp_path / "half"))
+    (tmp_path / "half" / "part-bad.parquet").write_bytes(b"PAR1 no footer here")
+    (tmp_path / "none").mkdir()
+    paths = {n: str(tmp_path / n) for n in ("good", "half", "none", "gone")}
+    found = d.read_sources(spark, paths)
+    assert rows(found.rejects, "source", "stage") == [("gone", "listing"), ("half", "footers"), ("none", "schema")]
+    assert found.rows.count() == 3 and found.rejects.where("reason = '' or path = ''").count() == 0
+
+
+def test_files_are_counted_without_data(spark, tmp_path):
+    spark.range(100).selectExpr("id", "repeat('x', 50) AS text").write.parquet(str(tmp_path / "d"))
+    df = spark.read.parquet(str(tmp_path / "d"))
+    plan = d.file_index(df)._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<>" in plan
