@@ -10,7 +10,7 @@ from partforge.functions.chat import render_chat, render_prompt, to_messages
 from partforge.functions.tokens import SuppliedTokenizer, WordTokenizer
 from partforge.operators import ordering, stats, tokenized
 from partforge.operators.projections import to_pairs, turn_pairs
-from partforge.plans.prepare import MASKED, SHIFTED, batched_epochs, packed_blocks, prepare_job
+from partforge.plans.prepare import MASKED, SHIFTED, batched_epochs, packed_blocks, prepare_job, prepare_sources
 from partforge.session import shared_folder
 from partforge.sources.datasets import exact_path, read_many, read_sources, write_prepared
 
@@ -395,6 +395,54 @@ def prepare_job_blocks(spark, sf_dir):
     return _block_text(packed_blocks(spark, _prepared(spark, sf_dir, MASKED), 4096), "labels")
 
 
+def _load_lengths():
+    return lambda text: [len(word) for word in text.replace("\n", " ").split(" ") if word]
+
+
+@query(
+    f"""WITH {_SOURCE_SQL},
+        d AS (SELECT doc_id AS row_id, {_LENGTHS.format(CHAT_SQL)} AS f,
+          len({_WORDS.format(PROMPT_SQL)}) AS n, len({_WORDS.format("input || chr(10) || output")}) AS n_tokens,
+          list_transform({_WORDS.format(_HEADER.format("user"))} || {_WORDS.format("input || " + _EOT)}
+            || {_WORDS.format(_HEADER.format("assistant"))}, lambda w: -100)
+            || {_LENGTHS.format("output || " + _EOT)} AS labels FROM p)
+        SELECT row_id, n_tokens, array_to_string(f[:-2], ',') AS input_tokens,
+          greatest(len(f) - n, 0) AS learned, array_to_string(labels, ',') AS labels FROM d"""
+)
+def prepare_job_supplied(spark, sf_dir):
+    """The stored examples of a tokenizer in Python, which sees each row once."""
+    docs = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("row_id"), F.col("source").alias("name"), F.col("text").alias("code")
+    )
+    done = prepare_job(spark, docs, shared_folder(spark, "prepared"), SuppliedTokenizer(_load_lengths))
+    learned = F.aggregate("weights", F.lit(0).cast("bigint"), lambda total, w: total + w)
+    return spark.read.parquet(done.examples).select(
+        "row_id", "n_tokens", _text("input_tokens"), learned.alias("learned"), _text("labels")
+    )
+
+
+@query(
+    f"""WITH s AS (
+          SELECT doc_id AS row_id, 'documents' AS source, source AS name, text AS code FROM documents
+          UNION ALL SELECT (SELECT count(*) FROM documents) + item_id, 'benchmark', NULL, text FROM benchmark),
+        p AS (SELECT row_id, source, 'hey assistant, create me a ' || coalesce(name, source) AS input, code AS output
+              FROM s)
+        SELECT row_id, source, len({_WORDS.format("input || chr(10) || output")}) AS n_tokens,
+          array_to_string(({_LENGTHS.format(CHAT_SQL)})[:-2], ',') AS input_tokens FROM p"""
+)
+def prepare_job_sources(spark, sf_dir):
+    """Examples of two sources and one that is not there."""
+    folder = shared_folder(spark, "named")
+    table(spark, sf_dir, "benchmark").withColumn("source", F.lit("benchmark")).write.parquet(folder)
+    paths = {"documents": f"{sf_dir}/documents.parquet", "not_there": f"{sf_dir}/not_there", "benchmark": folder}
+    columns = [F.col("source").alias("name"), F.col("text").alias("code")]
+    done, found = prepare_sources(
+        spark, paths, shared_folder(spark, "prepared"), columns, tokenizer=LENGTHS, shapes=(SHIFTED,)
+    )
+    stored = spark.read.parquet(done.examples).select("row_id", "n_tokens", _text("input_tokens"))
+    return stored.join(found.rows.select("row_id", "source"), "row_id")
+
+
 @query("SELECT doc_id, lang, text FROM documents")
 def prepared_roundtrip(spark, sf_dir):
     folder = shared_folder(spark, "prepared")

@@ -27,6 +27,9 @@ def words(text: Column) -> Column:
 class WordTokenizer:
     """Words between blanks, as native expressions."""
 
+    #: Whether it pays to hand over all texts of a row in one call.
+    in_python = False
+
     def __init__(self, token_id: Callable[[Column], Column] = hashed_id):
         self.token_id = token_id
 
@@ -46,6 +49,8 @@ class SuppliedTokenizer:
     `load` returns a function from a text to its token ids.
     """
 
+    in_python = True
+
     def __init__(self, load: Callable[[], Callable[[str], list[int]]]):
         @F.pandas_udf("array<int>")
         def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -57,7 +62,9 @@ class SuppliedTokenizer:
         def ids_each(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             encode = load()
             for batch in batches:
-                yield batch.map(lambda texts: [encode(t) for t in texts], na_action="ignore")
+                yield batch.map(
+                    lambda texts: [None if t is None else encode(t) for t in texts], na_action="ignore"
+                )
 
         @F.pandas_udf("int")
         def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

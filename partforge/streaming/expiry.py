@@ -59,14 +59,14 @@ def stream_resolve_expiring(
         )
     )
     kept = [T.StructField(n, T.LongType()) for n in NUMBERS]
-    output = T.StructType([*[rows.schema[k] for k in keys], *kept, T.StructField("decided", T.BooleanType())])
+    output = T.StructType([*[rows.schema[k] for k in keys], *kept])
 
-    def told(key: tuple, won: int, last: int, lacks: int, sure: bool) -> pd.DataFrame:
-        return pd.DataFrame([[*key, won, last, lacks, sure]], columns=output.names)
+    def told(key: tuple, *numbers: int) -> pd.DataFrame:
+        return pd.DataFrame([[*key, *numbers]], columns=output.names)
 
     def follow(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
-            yield told(key, *state.get, False)
+            yield told(key, *state.get)
             state.remove()
             return
         won, last, lacks = state.getOption or (NOT_WON, 0, 0)
@@ -78,7 +78,7 @@ def stream_resolve_expiring(
         if won != NOT_WON or last >= max_retries:
             if state.exists:
                 state.remove()
-            yield told(key, won, last, lacks, True)
+            yield told(key, won, last, lacks)
             return
         state.update((won, last, lacks))
         state.setTimeoutTimestamp(max(at + seconds * 1000, state.getCurrentWatermarkMs() + 1))

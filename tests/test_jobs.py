@@ -205,3 +205,34 @@ def test_streamed_statistics(spark, tmp_path, rows):
         ("a", 2, 1, 1, 1),
         ("b", 1, 0, 1, 0),
     ]
+
+
+def test_a_tokenizer_in_python_sees_a_row_once(spark, tmp_path, rows):
+    from partforge.functions.chat import LLAMA
+    from partforge.functions.tokens import SuppliedTokenizer
+    from partforge.operators.tokenized import encode_at_once
+
+    def load():
+        return lambda text: [len(word) for word in text.split()]
+
+    data = [(0, "a", "cube ( 1 ) ;"), (1, None, None), (2, "", ""), (3, "b", " \n x ")]
+    source = spark.createDataFrame(data, "row_id BIGINT, name STRING, code STRING")
+    once = prepare_job(spark, source, str(tmp_path / "once"), SuppliedTokenizer(load))
+    native = prepare_job(spark, source, str(tmp_path / "native"), WordTokenizer(F.length))
+    columns = spark.read.parquet(native.examples).columns
+    assert rows(spark.read.parquet(once.examples), *columns) == rows(spark.read.parquet(native.examples), *columns)
+    pairs = source.selectExpr("row_id", "name AS input", "code AS output")
+    plan = encode_at_once(pairs, SuppliedTokenizer(load), LLAMA)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
+def test_sources_are_prepared_together(spark, tmp_path):
+    from partforge.plans.prepare import prepare_sources
+
+    for i, n in enumerate((4, 3)):
+        spark.range(n).selectExpr(f"'thing {i}' AS name", "repeat('x ', id) AS code").write.parquet(str(tmp_path / f"s{i}"))
+    paths = {"s0": str(tmp_path / "s0"), "gone": str(tmp_path / "gone"), "s1": str(tmp_path / "s1")}
+    made, found = prepare_sources(spark, paths, str(tmp_path / "out"), ["name", "code"], tokenizer=WordTokenizer())
+    stored = spark.read.parquet(made.examples)
+    assert sorted(r.row_id for r in stored.collect()) == list(range(7))
+    assert [r.source for r in found.rejects.collect()] == ["gone"]
