@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from partforge.catalog.registry import query, table
-from partforge.catalog.texts import CLEAN_SQL, NL, OUTPUTS_SQL, raw_outputs
+from partforge.catalog.texts import CLEAN_SQL, CODES_SQL, NL, OUTPUTS_SQL, SOURCE_RATE_SQL, SYNTAX_SQL, codes, raw_outputs
+from partforge.operators.checks import check_syntax
 from partforge.operators.joins import with_ratings
 from partforge.operators.ordering import number_outputs
-from partforge.operators.stats import render_rate, review_scores
+from partforge.operators.stats import pass_rate, render_rate, review_scores
 from partforge.plans.evaluate import evaluate_job, scored
 from partforge.session import shared_folder
 from partforge.sources import artifacts as a
@@ -68,6 +69,38 @@ def results_roundtrip_json(spark, sf_dir):
     return _written(spark, sf_dir, "json")
 
 
+@query(_RESULT_SQL)
+def results_roundtrip_array(spark, sf_dir):
+    return _written(spark, sf_dir, "json_array")
+
+
+_ODD = " 50% [x] +é"
+
+
+@query(
+    f"""WITH {CODES_SQL}, {SYNTAX_SQL}
+        SELECT source || '{_ODD}' AS run, * EXCLUDE (source), 0 AS lost FROM ({SOURCE_RATE_SQL})"""
+)
+def artifact_files_pass_rate(spark, sf_dir):
+    """Pass rates of code written as a file each, in folders with odd names, half of them with other line ends."""
+    outputs = codes(spark, sf_dir).select(
+        F.concat("source", F.lit(_ODD)).alias("run"),
+        F.col("doc_id").alias("ordinal"),
+        F.lit("part").alias("object"),
+        F.lit("a part").alias("prompt"),
+        F.lit("2025-11-10 16:47:21").cast("timestamp").alias("generated_at"),
+        "code",
+    )
+    folder = shared_folder(spark, "files")
+    files = a.render_artifact(outputs)
+    other = F.when(F.col("ordinal") % 2 == 0, F.replace("content", F.lit("\n"), F.lit("\r\n"))).otherwise(F.col("content"))
+    written = a.write_artifact_files(files.withColumn("content", other), folder)
+    found = a.read_artifacts(spark, folder)
+    lost = a.missing_files(written, found).agg(F.count("*").cast("int").alias("lost"))
+    rates = pass_rate(check_syntax(a.parse_artifact(found)))
+    return rates.join(F.broadcast(lost), F.lit(True))  # one row
+
+
 # --- ratings and rates --------------------------------------------------------------------
 
 _RUN_SQL = "'run ' || doc_id % 8"

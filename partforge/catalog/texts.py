@@ -198,7 +198,7 @@ PASS_RATE_SQL = """SELECT {by}, grouping({by}) = 1 AS overall, count(*) AS total
     FROM {checks} GROUP BY ROLLUP ({by})"""
 
 
-_SOURCE_RATE = PASS_RATE_SQL.format(
+SOURCE_RATE_SQL = PASS_RATE_SQL.format(
     by="source", warned="false", checks="(SELECT source, errors = [] AS valid FROM checked)"
 )
 
@@ -212,12 +212,12 @@ def check_syntax_errors(spark, sf_dir):
     return checked.select("doc_id", "valid", F.array_join("errors", "; ").alias("errors"))
 
 
-@query(f"WITH {CODES_SQL}, {SYNTAX_SQL} {_SOURCE_RATE}")
+@query(f"WITH {CODES_SQL}, {SYNTAX_SQL} {SOURCE_RATE_SQL}")
 def syntax_pass_rate(spark, sf_dir):
     return pass_rate(check_syntax(codes(spark, sf_dir)), "source")
 
 
-@query(f"WITH {CODES_SQL}, {SYNTAX_SQL} SELECT * RENAME (source AS run) FROM ({_SOURCE_RATE})")
+@query(f"WITH {CODES_SQL}, {SYNTAX_SQL} SELECT * RENAME (source AS run) FROM ({SOURCE_RATE_SQL})")
 def validate_job(spark, sf_dir):
     path = F.format_string("runs/%s/%02d_part.scad", F.col("source"), F.col("doc_id"))
     files = codes(spark, sf_dir).select(path.alias("path"), F.col("code").alias("content"))
@@ -227,7 +227,7 @@ def validate_job(spark, sf_dir):
 @query(
     f"""WITH {OUTPUTS_SQL}, {CLEAN_SQL},
         codes AS (SELECT doc_id, source, code FROM cleaned JOIN documents USING (doc_id)),
-        {SYNTAX_SQL} {_SOURCE_RATE}"""
+        {SYNTAX_SQL} {SOURCE_RATE_SQL}"""
 )
 def cleaned_pass_rate(spark, sf_dir):
     """Raw outputs, cleaned, checked, and counted per source."""

@@ -8,6 +8,10 @@ row. The rows themselves move once, keyed by cell.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,25 +32,76 @@ def id_cells(row_id: Column | str, bits: tuple[int, ...] = CELL_BITS) -> list[Co
     return [F.shiftright(row_id, b) for b in bits]
 
 
+@dataclass(frozen=True)
+class Split:
+    """Cells, from coarse to fine, for the rows of a finest cell that has more than `most` of them."""
+
+    most: int
+    cells: list[Column]
+
+
 def running_totals(
     df: DataFrame,
     group: list[str],
     cells: list[Column],
     order: list[Column],
     measures: dict[str, Column],
+    split: Split | None = None,
 ) -> DataFrame:
     """Add inclusive running sums of `measures` within `group`, in `order`.
 
     `cells` are columns from coarse to fine that rise with `order`. They bound
     what one task sorts: the rows of a finest cell, and the finer cells of a
-    coarser one.
+    coarser one. With `split`, cells may be wide enough for rows that are far apart, and only
+    those that turn out full are cut further.
     """
     keys = [f"_cell{i}" for i in range(len(cells))]
     ranks = [f"_order{i}" for i in range(len(order))]
     staged = df.withColumns(
         dict(zip(keys, cells)) | dict(zip(ranks, order)) | measures
     )
-    return _totals(staged, group, keys, ranks, list(measures)).drop(*keys, *ranks)
+    names = list(measures)
+    if not split:
+        return _totals(staged, group, keys, ranks, names).drop(*keys, *ranks)
+    finer = [f"_finer{i}" for i in range(len(split.cells))]
+    staged = staged.withColumns(dict(zip(finer, split.cells)))
+    return _split_totals(staged, group, keys, ranks, names, finer, split.most).drop(*keys, *ranks, *finer)
+
+
+def _before(sums: DataFrame, group: list[str], keys: list[str], names: list[str]) -> DataFrame:
+    """The sums of all cells before each cell, from the cells' own `sums`; other columns stay."""
+    own = {f"_own_{n}": F.col(n) for n in names}
+    through = _totals(sums.withColumns(own), group, keys[:-1], keys[-1:], names)
+    return through.withColumns({n: F.col(n) - F.col(f"_own_{n}") for n in names}).drop(*own)
+
+
+def _split_totals(
+    staged: DataFrame,
+    group: list[str],
+    keys: list[str],
+    order: list[str],
+    names: list[str],
+    finer: list[str],
+    most: int,
+) -> DataFrame:
+    """As `_totals`; the rows of full cells are summed up within their cell, and take what is before it by a join."""
+    within = [*group, *keys]
+    sums = staged.groupBy(*within).agg(*[F.sum(n).alias(n) for n in names], F.count("*").alias("_rows"))
+    before = _before(sums, group, keys, names)
+    full = before.where(F.col("_rows") > most).select(
+        *[F.col(c).alias(f"_full_{c}") for c in within], *[F.col(n).alias(f"_before_{n}") for n in names]
+    )
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_full_{c}")) for c in within])
+    # A full cell has more than `most` rows, so there are few of them next to the rows.
+    told = staged.join(F.broadcast(full.withColumn("_full", F.lit(True))), same, "left")
+    extra = [c for c in told.columns if c not in staged.columns]
+    rows = told.where(F.col("_full").isNull()).drop(*extra).withColumn("_carry", F.lit(False))
+    carried = before.where(F.col("_rows") <= most).drop("_rows").withColumn("_carry", F.lit(True))
+    rows = rows.unionByName(carried, allowMissingColumns=True)
+    plain = _window_sums(rows, within, ["-carry", *order], names).filter(~F.col("_carry")).drop("_carry")
+    cut = _totals(told.where(F.col("_full")), within, finer, order, names)
+    cut = cut.withColumns({n: F.col(n) + F.col(f"_before_{n}") for n in names})
+    return plain.unionByName(cut.drop(*extra))
 
 
 def _totals(
@@ -55,14 +110,7 @@ def _totals(
     if not keys:
         return _window_sums(staged, group, order, names)
     sums = staged.groupBy(*group, *keys).agg(*[F.sum(n).alias(n) for n in names])
-    own = {f"_own_{n}": F.col(n) for n in names}
-    through = _totals(sums.withColumns(own), group, keys[:-1], keys[-1:], names)
-    before = through.select(
-        *group,
-        *keys,
-        *[(F.col(n) - F.col(f"_own_{n}")).alias(n) for n in names],
-        F.lit(True).alias("_carry"),
-    )
+    before = _before(sums, group, keys, names).withColumn("_carry", F.lit(True))
     rows = staged.withColumn("_carry", F.lit(False)).unionByName(before, allowMissingColumns=True)
     summed = _window_sums(rows, [*group, *keys], ["-carry", *order], names)
     return summed.filter(~F.col("_carry")).drop("_carry")

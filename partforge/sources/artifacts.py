@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from partforge.functions.prompts import ARTIFACT_SUFFIX, artifact_name
+from partforge.session import shared_folder
 
 # The header of an artifact.
 HEADER = ["// Generated by ", "// Prompt: ", "// Generated at: "]
@@ -35,6 +40,40 @@ def write_artifacts(rendered: DataFrame, path: str) -> None:
     )
 
 
+def write_artifact_files(rendered: DataFrame, path: str) -> DataFrame:
+    """Rendered artifacts as a file each, `<run>/<file_name>` below `path`; gives `(path, bytes)` of what was written.
+
+    Tasks write their own files, through Arrow's file systems, so `path` may be local to all, or a URI that
+    Arrow knows. A repeated task writes the same files again. The rows given are what the job has stored.
+    """
+
+    def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, root = fs.FileSystem.from_uri(path) if ":" in path else (fs.LocalFileSystem(), path)
+        for batch in batches:
+            paths, sizes = [], []
+            for run, name, content in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                files.create_dir(f"{root}/{run}", recursive=True)
+                data = (content or "").encode()
+                with files.open_output_stream(f"{root}/{run}/{name}") as out:
+                    out.write(data)
+                paths.append(f"{run}/{name}")
+                sizes.append(len(data))
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(sizes, pa.int64())], ["path", "bytes"])
+
+    made = rendered.select("run", "file_name", "content").mapInArrow(written, "path STRING, bytes BIGINT")
+    stored = shared_folder(rendered.sparkSession, "written")
+    made.write.parquet(stored)
+    return rendered.sparkSession.read.schema(made.schema).parquet(stored)
+
+
+def missing_files(written: DataFrame, files: DataFrame) -> DataFrame:
+    """`(path, bytes, found)` of written files that are not among `files` `(path, content)`, or not with as many bytes."""
+    tail = F.regexp_extract("path", r"([^/]*/[^/]*)$", 1)
+    there = files.select(tail.alias("path"), F.octet_length("content").cast("bigint").alias("found"))
+    both = written.join(there, "path", "left")
+    return both.where(~F.col("bytes").eqNullSafe(F.col("found")))
+
+
 def read_artifact_table(spark: SparkSession, path: str) -> DataFrame:
     """The table of `write_artifacts`, with paths as `read_artifacts` gives them."""
     table = spark.read.schema("file_name STRING, content STRING, run STRING").parquet(path)

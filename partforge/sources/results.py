@@ -11,6 +11,8 @@ from partforge.schemas import RESULT
 
 
 _BROKEN = "_broken"
+#: Results in a file that is one array.
+ARRAY_ROWS = 4096
 
 
 def _records(spark: SparkSession, path: str, array: bool) -> DataFrame:
@@ -24,9 +26,9 @@ def _records(spark: SparkSession, path: str, array: bool) -> DataFrame:
     files = spark.read.text(path, wholetext=array).select(F.col("_metadata.file_path").alias("path"), "value")
     if array:
         # the elements as text, so that one bad element does not hide the others; NULL is no array at all
-        parts = F.from_json("value", "array<string>", {"mode": "PERMISSIVE"})
-        files = files.select("path", F.explode_outer(F.when(F.size(parts) != 0, parts)).alias("value"), (F.size(parts) == 0).alias("empty"))
-        files = files.where("not (empty and value is null) or empty is null")
+        parts = files.select("path", F.from_json("value", "array<string>", {"mode": "PERMISSIVE"}).alias("parts"))
+        held = parts.select("path", "parts", F.size("parts").alias("n"))  # parsed once a file, not once an element
+        files = held.where("n is null or n <> 0").select("path", F.explode_outer("parts").alias("value"))
     else:
         files = files.where(F.trim("value") != "")
     read = files.withColumn("record", F.from_json("value", schema, options))
@@ -61,8 +63,21 @@ def read_results(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFr
 
 
 def write_results(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Append results; what is already there is not read or rewritten."""
-    df.select(RESULT.fieldNames()).write.mode("append").format(fmt).save(path)
+    """Append results; what is already there is not read or rewritten.
+
+    As `json_array`, each file is one array, of at most `ARRAY_ROWS` results.
+    """
+    rows = df.select(RESULT.fieldNames())
+    if fmt != "json_array":
+        rows.write.mode("append").format(fmt).save(path)
+        return
+    record = F.to_json(F.struct(*RESULT.fieldNames()), {"ignoreNullFields": "false"})
+    # rows of a task are counted through, so a group is a stretch of them and never more
+    stretch = F.floor(F.monotonically_increasing_id() / ARRAY_ROWS)
+    arrays = rows.select(record.alias("record"), stretch.alias("stretch")).groupBy("stretch").agg(
+        F.concat(F.lit("[\n"), F.array_join(F.collect_list("record"), ",\n"), F.lit("\n]")).alias("value")
+    )
+    arrays.select("value").write.mode("append").option("maxRecordsPerFile", 1).text(path)
 
 
 def append_results(old: DataFrame, new: DataFrame) -> DataFrame:

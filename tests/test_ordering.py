@@ -70,7 +70,8 @@ def test_checkpoint_steps(spark, rows):
     assert rows(o.checkpoint_steps(steps, 10)) == [(10,), (20,), (30,)]
 
 
-def test_progress(spark):
+@pytest.mark.parametrize("full_hour", [1 << 20, 20, 1])
+def test_progress(spark, full_hour):
     rng = random.Random(2)
     start = datetime(2025, 11, 10, 16, 0, 0)
     data = []
@@ -96,5 +97,22 @@ def test_progress(spark):
         want[i] = (n, good, bad, again, int(spent), spent / n, total - n, eta)
     names = ["completed", "success", "failed", "retries", "elapsed_seconds", "mean_seconds"]
     names += ["remaining", "eta_seconds"]
-    got = {r.row_id: tuple(r[n] for n in names) for r in progress(df).collect()}
+    got = {r.row_id: tuple(r[n] for n in names) for r in progress(df, full_hour).collect()}
     assert got == want
+
+
+def test_progress_moves_rows_once_and_cuts_a_full_instant(spark):
+    """A session all of whose completions are of one instant; the plan of one without a full hour."""
+    at = F.lit("2024-01-01 10:00:00").cast("timestamp")
+    df = spark.range(3000).select(
+        F.lit("s").alias("session"), (F.col("id") * 4096).alias("row_id"), at.alias("started_at"), at.alias("finished_at"),
+        F.lit(3000).alias("total"), F.lit("success").alias("status"), F.lit(False).alias("needed_retry"),
+    )
+    for full_hour in (1 << 20, 100):
+        done = progress(df, full_hour)
+        assert [r.completed for r in done.orderBy("row_id").select("completed").collect()] == list(range(1, 3001))
+    assert progress(df).select("completed").distinct().count() == 3000
+    few = progress(df)
+    few.collect()
+    plan = few._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("ShuffleQueryStage") <= 6
