@@ -7,10 +7,13 @@ upper corner; so an R-tree over points finds every pair that may be similar enou
 pairs that it lets through are verified on the sets.
 
 Where points meet: two sets with a Jaccard similarity of at least t differ in at most D
-shingles, D following from their sizes. Shingles are dealt into D + 1 cells, so at
-least one cell has the same shingles in both, and a set enters the node of each of its
-cells. Sizes are in bands of a factor of two with a number of cells each; sets near the
-upper edge of a band also enter the nodes of the next band.
+shingles, D following from their sizes. Shingles are dealt into somewhat more than D cells, so
+that at least one cell has the same shingles in both, and a set enters the node of each of its
+cells. A set with more than D cells that are not empty has such a cell in common with every set
+it is similar to, so it need not enter the nodes of its empty cells, in which unrelated sets
+would meet. The few sets with fewer are dealt anew into twice as many cells, and so on, where they find
+each other; only after the last deal do empty cells count. Sizes are in bands of a factor of two with a number of cells each; sets near the upper edge of a band also
+enter the nodes of the next band.
 
 1. Sets with equal shingles are one class; only classes go on.
 2. In each node an R-tree links the classes whose bound is high enough. Of those links a
@@ -48,6 +51,8 @@ GROUPS = [(1 << 10, 64), (1 << 13, 256), (1 << 62, 1024)]  # coordinates of a po
 FINE_GROUPS = 256  # coordinates of a point in a part
 NODE_MOST = 4096  # classes in a node that are held at once
 BLOCK_SHINGLES = 1 << 20  # shingles in a block of a part
+SPARE = 16  # one spare cell for so many
+DEALS = 6
 EARLY = 16  # one node in so many goes first
 LEAF = 16
 MOST_WORDS = 1_000_000
@@ -98,13 +103,22 @@ def counts(hashes: np.ndarray, groups: int) -> np.ndarray:
     return np.bincount((hashes >> np.uint64(7)).astype(np.int64) & (groups - 1), minlength=groups).astype("<u4")
 
 
+def differing(total: int, num: int, den: int) -> int:
+    """The most shingles in which two sets of that size together differ at similarity num / den."""
+    return total * (den - num) // (den + num)
+
+
 def cell_count(size: int, num: int, den: int) -> int:
-    """One cell more than the shingles in which sets of at most `size` can differ at similarity num / den."""
-    return 2 * size * (den - num) // (den + num) + 1
+    """Cells of a band: more than the shingles in which sets of at most `size` differ, even without the empty ones."""
+    most = differing(2 * size, num, den)
+    return most + most // SPARE + 4
 
 
 def cell_keys(hashes: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The nodes that a set enters: one for each cell of its band, and of the next band if its partners may be there."""
+    """The nodes that a set enters: one for each cell of its band, and of the next band if its partners may be there.
+
+    Sets whose filled cells do not suffice enter those of another deal as well, in the end also the empty ones.
+    """
     n = len(hashes)
     if not n:
         return np.zeros(0, np.int64)
@@ -112,11 +126,21 @@ def cell_keys(hashes: np.ndarray, num: int, den: int) -> np.ndarray:
     for at in (band, band + 1):
         if at > band and n * den < num << band:
             break
-        cells = cell_count((1 << at) - 1, num, den)
-        cell = (hashes % np.uint64(cells)).astype(np.int64)
-        sums = np.zeros(cells, np.uint64)
-        np.add.at(sums, cell, parts)
-        keys.append(mixed(sums + mixed(np.arange(cells, dtype=np.uint64) * M1 + np.uint64(at))))
+        largest = (1 << at) - 1  # of the sets that meet here
+        most = differing(n + min(largest, n * den // num), num, den)
+        for deal in range(DEALS):
+            cells = cell_count(largest, num, den) << deal
+            dealt = mixed(hashes + np.uint64(deal) * M2) if deal else hashes
+            cell = (dealt % np.uint64(cells)).astype(np.int64)
+            sums = np.zeros(cells, np.uint64)
+            np.add.at(sums, cell, parts)
+            found = mixed(sums + mixed(np.arange(cells, dtype=np.uint64) * M1 + np.uint64(at + 64 * deal)))
+            filled = np.bincount(cell, minlength=cells) > 0
+            keys.append(found[filled])
+            if filled.sum() > most:
+                break
+        else:
+            keys.append(found[~filled])
     return np.concatenate(keys).astype(np.int64)
 
 
