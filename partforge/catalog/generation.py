@@ -11,7 +11,7 @@ from partforge.operators.attempts import resolve_attempts, to_failures, to_resul
 from partforge.operators.calls import CallPolicy
 from partforge.operators.checks import check_response
 from partforge.operators.generation import generate_with, map_batches
-from partforge.operators.joins import done_names, not_done, with_original
+from partforge.operators.joins import done_names, not_done, not_done_bucketed, with_original
 from partforge.operators.ordering import RUN_BITS, id_cells, number_outputs, running_totals
 from partforge.operators.progress import progress
 from partforge.operators.projections import head_n, row_at
@@ -21,7 +21,7 @@ from partforge.schemas import ATTEMPT
 from partforge.session import shared_folder
 from partforge.sources.datasets import exact_path, file_index, read_dataset, with_default, with_row_id
 from partforge.sources.ledger import Ledger
-from partforge.sources.results import append_results, read_results
+from partforge.sources.results import append_bucketed, append_results, open_results, read_results
 
 # --- sources and resume -------------------------------------------------------------------
 
@@ -83,6 +83,26 @@ def resume_anti_join(spark, sf_dir):
     return not_done(docs, done).select("doc_id", "name")
 
 
+@query(
+    f"""WITH d AS (SELECT doc_id, {_NAMED_SQL} FROM documents),
+          l AS (SELECT {_NAMED_SQL} FROM labels)
+        SELECT doc_id, name FROM d
+        WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.name IS NOT DISTINCT FROM d.name)"""
+)
+def resume_bucketed(spark, sf_dir):
+    """Resume against results that two sessions have stored in buckets by name."""
+    done = _named(table(spark, sf_dir, "labels")).select(
+        "name", *[F.lit(x).alias(c) for c, x in (("code", ""), ("original_code", ""), ("status", "Valid"))],
+        F.lit(True).alias("valid"), "doc_id",
+    )
+    path = shared_folder(spark, "buckets")
+    stored = "results_" + path.rsplit("-", 1)[1]
+    results = open_results(spark, stored, path, 8)
+    for i in (0, 1):
+        append_bucketed(done.where(F.col("doc_id") % 2 == i), stored)
+    return not_done_bucketed(_named(table(spark, sf_dir, "documents")), results).select("doc_id", "name")
+
+
 @query(f"SELECT DISTINCT {_NAMED_SQL} FROM labels")
 def completed_names(spark, sf_dir):
     return done_names(_named(table(spark, sf_dir, "labels")))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from partforge.sources.results import NAME_KEY, name_key
+
 
 def done_names(results: DataFrame) -> DataFrame:
     """Names that already have a result."""
@@ -22,6 +24,12 @@ def not_done(df: DataFrame, done: DataFrame) -> DataFrame:
     return df.join(names, F.col("name").eqNullSafe(F.col("_done")), "left_anti")
 
 
+def not_done_bucketed(df: DataFrame, results: DataFrame) -> DataFrame:
+    """As `not_done`, against results stored in buckets by name: only the rows of `df` move to meet them."""
+    keyed = df.withColumn(NAME_KEY, name_key(F.col("name")))
+    return keyed.join(results.select(NAME_KEY), NAME_KEY, "left_anti").select(*df.columns)
+
+
 def with_ratings(outputs: DataFrame, reviews: DataFrame) -> DataFrame:
     """Each output with its quality and resemblance; unrated outputs stay."""
     return outputs.join(

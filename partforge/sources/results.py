@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -80,6 +80,37 @@ def write_results(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     arrays.select("value").write.mode("append").option("maxRecordsPerFile", 1).text(path)
 
 
+#: The bucketing column: a name as it is, or that it is NULL, so that names are compared as keys.
+NAME_KEY = "name_key"
+
+
+def name_key(name: Column) -> Column:
+    return F.coalesce(F.concat(F.lit("="), name), F.lit("-"))
+
+
+def open_results(spark: SparkSession, table: str, path: str, buckets: int) -> DataFrame:
+    """The results stored in `buckets` by name at `path`, as a table of this session; empty if nothing is there yet.
+
+    Every session has to give the number of buckets that the first one gave.
+    """
+    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in [*RESULT.fields, T.StructField(NAME_KEY, T.StringType())])
+    place = path.replace("\\", "\\\\").replace("'", "\\'")
+    spark.sql(
+        f"CREATE TABLE IF NOT EXISTS {table} ({columns}) USING parquet "
+        f"CLUSTERED BY ({NAME_KEY}) SORTED BY ({NAME_KEY}) INTO {buckets} BUCKETS LOCATION '{place}'"
+    )
+    return spark.table(table)
+
+
+def append_bucketed(df: DataFrame, table: str) -> None:
+    """Append results to an opened table: its rows are dealt out to buckets once, and what is there stays as it is."""
+    columns = [*RESULT.fieldNames(), NAME_KEY]
+    session = df.sparkSession
+    buckets = int(session.sql(f"DESCRIBE EXTENDED {table}").where("col_name = 'Num Buckets'").first().data_type)
+    keyed = df.withColumn(NAME_KEY, name_key(F.col("name"))).select(columns)
+    keyed.repartition(buckets, NAME_KEY).write.mode("append").insertInto(table)
+
+
 def append_results(old: DataFrame, new: DataFrame) -> DataFrame:
     """Earlier results and those of this session."""
     return old.unionByName(new)

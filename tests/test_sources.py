@@ -307,3 +307,29 @@ def test_files_are_counted_without_data(spark, tmp_path):
     df = spark.read.parquet(str(tmp_path / "d"))
     plan = d.file_index(df)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<>" in plan
+
+
+def test_bucketed_results_are_met_without_moving_them(spark, tmp_path, rows):
+    from partforge.operators.joins import not_done, not_done_bucketed
+    from partforge.schemas import RESULT
+
+    table, path = "bucketed_results_test", str(tmp_path / "it's here")
+    stored = r.open_results(spark, table, path, 4)
+    items = spark.createDataFrame([(i, f"n{i}") for i in range(50)] + [(50, None), (51, "")], "row_id BIGINT, name STRING")
+    assert not_done_bucketed(items, stored).count() == 52
+    done = [(f"n{i}", "c", "", "Valid", True) for i in range(0, 50, 3)] + [(None, "c", "", "Valid", True)] * 2
+    for some in (done[:5], done[5:]):
+        r.append_bucketed(spark.createDataFrame(some, RESULT), table)
+    files = len(list((tmp_path / "it's here").glob("*.parquet")))
+    assert files <= 8  # a file a bucket and session
+    spark.sql(f"DROP TABLE {table}")  # another session opens the files again
+    stored = r.open_results(spark, table, path, 4)
+    assert rows(not_done_bucketed(items, stored)) == rows(not_done(items, stored))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = not_done_bucketed(items, stored)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
+    spark.sql(f"DROP TABLE {table}")
