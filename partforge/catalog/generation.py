@@ -97,10 +97,10 @@ def resume_bucketed(spark, sf_dir):
     )
     path = shared_folder(spark, "buckets")
     stored = "results_" + path.rsplit("-", 1)[1]
-    results = open_results(spark, stored, path, 8)
+    open_results(spark, stored, path, 8)
     for i in (0, 1):
         append_bucketed(done.where(F.col("doc_id") % 2 == i), stored)
-    return not_done_bucketed(_named(table(spark, sf_dir, "documents")), results).select("doc_id", "name")
+    return not_done_bucketed(_named(table(spark, sf_dir, "documents")), spark.table(stored)).select("doc_id", "name")
 
 
 @query(f"SELECT DISTINCT {_NAMED_SQL} FROM labels")

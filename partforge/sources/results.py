@@ -103,12 +103,16 @@ def open_results(spark: SparkSession, table: str, path: str, buckets: int) -> Da
 
 
 def append_bucketed(df: DataFrame, table: str) -> None:
-    """Append results to an opened table: its rows are dealt out to buckets once, and what is there stays as it is."""
+    """Append results to an opened table: its rows are dealt out to buckets once, and what is there stays as it is.
+
+    A frame of the table that was made before does not have them: take `spark.table(table)` anew.
+    """
     columns = [*RESULT.fieldNames(), NAME_KEY]
     session = df.sparkSession
     buckets = int(session.sql(f"DESCRIBE EXTENDED {table}").where("col_name = 'Num Buckets'").first().data_type)
     keyed = df.withColumn(NAME_KEY, name_key(F.col("name"))).select(columns)
     keyed.repartition(buckets, NAME_KEY).write.mode("append").insertInto(table)
+    session.catalog.refreshTable(table)
 
 
 def append_results(old: DataFrame, new: DataFrame) -> DataFrame:
