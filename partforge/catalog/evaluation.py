@@ -96,9 +96,8 @@ def artifact_files_pass_rate(spark, sf_dir):
     other = F.when(F.col("ordinal") % 2 == 0, F.replace("content", F.lit("\n"), F.lit("\r\n"))).otherwise(F.col("content"))
     written = a.write_artifact_files(files.withColumn("content", other), folder)
     found = a.read_artifacts(spark, folder)
-    lost = a.missing_files(written, found).agg(F.count("*").cast("int").alias("lost"))
-    rates = pass_rate(check_syntax(a.parse_artifact(found)))
-    return rates.join(F.broadcast(lost), F.lit(True))  # one row
+    lost = a.missing_files(written, found).count()
+    return pass_rate(check_syntax(a.parse_artifact(found))).withColumn("lost", F.lit(lost))
 
 
 # --- ratings and rates --------------------------------------------------------------------

@@ -500,6 +500,6 @@ def generate_job_statistics(spark, sf_dir):
     """Statistics of a stopped session, all results, and the last line of its progress."""
     report = session_report(spark, *_stopped_session(spark, sf_dir))
     last = report.progress.agg(F.max("completed").alias("completed"), F.min("remaining").cast("int").alias("remaining"))
-    one = F.lit(1).alias("_one")
-    joined = report.statistics.select("*", one).join(report.total.select("*", one), "_one")
-    return joined.join(last.select("*", one), "_one").drop("_one")
+    parts = report.statistics.unionByName(report.total, allowMissingColumns=True)
+    parts = parts.unionByName(last, allowMissingColumns=True)  # a row each
+    return parts.agg(*[F.max(c).alias(c) for c in parts.columns])

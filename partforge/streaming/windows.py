@@ -81,10 +81,10 @@ def window_stats(spark: SparkSession, out: str, by: list[str]) -> DataFrame:
     """
     told, came = (log_of(spark, out, by, what).newest() for what in (TOLD, COME))
     keys = ["window_start", "window_end", *by]
-    past = told.agg(F.max("window_end").alias("past"))
+    past = told.agg(F.max("window_end")).first()[0]
     minus = told.select(*keys, *[(-F.col(c)).alias(c) for c in COUNTS])
     late = summed(came.unionByName(minus), keys).where("total > 0")
-    late = late.join(F.broadcast(past), F.col("window_end") <= F.col("past")).drop("past")  # one row
+    late = late.where(F.col("window_end") <= F.lit(past).cast("timestamp"))
     rows = told.withColumn("late", F.lit(False)).unionByName(late.withColumn("late", F.lit(True)))
     return rows.withColumns(
         {
