@@ -20,9 +20,11 @@ enter the nodes of the next band.
    spanning forest is kept, never all pairs. A node that is too large is linked as a whole.
    A fixed part of the nodes goes first; of the others only those follow in which
    classes meet that are not connected yet.
-3. The connected parts of that graph hold every similar pair. In each part an R-tree over
-   finer points finds pairs and the sets verify them; pairs that are already connected
-   need no check. A part that is too large is cut into blocks, and pairs of blocks meet.
+3. The connected parts of that graph hold every similar pair. What is similar to a part's first class
+   is connected by that. Of the rest, an R-tree over finer points finds pairs with each other and with
+   what is connected, and the sets verify them; pairs that are already connected
+   need no check. A part that is too large is laid out by size and cut into blocks, and a class
+   meets the blocks of the sizes that can be similar to its own.
 4. Components of the verified links give the result.
 
 The text is lower-cased in A-Z; a word is `[^\\x20\\x09-\\x0D]+`. With fewer words than a
@@ -42,25 +44,32 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from partforge.llm.components import connected_components
 from partforge.llm.exact_dedup import maybe_in
 from partforge.llm.staging import free_name, slices, staged
+from partforge.operators.ordering import running_totals
 
 GROUPS = [(1 << 10, 64), (1 << 13, 256), (1 << 62, 1024)]  # coordinates of a point in a node, for sets below a size
 FINE_GROUPS = 256  # coordinates of a point in a part
 NODE_MOST = 4096  # classes in a node that are held at once
 BLOCK_SHINGLES = 1 << 20  # shingles in a block of a part
+LEAST_WEIGHT = 128  # what a class counts at least, for its point
 SPARE = 16  # one spare cell for so many
 DEALS = 6
 EARLY = 16  # one node in so many goes first
 LEAF = 16
 MOST_WORDS = 1_000_000
+MOST_BYTES = 64_000_000
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
 class WordHashes(dict):
+    size = 0  # bytes of the words
+
     def __missing__(self, word: bytes) -> int:
+        self.size += len(word)
         value = self[word] = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
         return value
 
@@ -81,8 +90,9 @@ def shingles(text: str | None, words: int) -> np.ndarray:
     """The sorted hashes of a text's shingles."""
     found = (text or "").encode().lower().split()  # bytes: A-Z only, and exactly the six ASCII blanks
     known = word_hashes()
-    if len(known) > MOST_WORDS:
+    if len(known) > MOST_WORDS or known.size > MOST_BYTES:
         known.clear()
+        known.size = 0
     hashes = np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
     if not len(found):
         return hashes
@@ -194,9 +204,15 @@ class RTree:
 
 
 def forest(points: np.ndarray, sizes: np.ndarray, num: int, den: int,
-           linked: Callable[[int, int], bool] | None = None) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs whose bound suffices and, if given, that `linked` confirms."""
+           linked: Callable[[int, int], bool] | None = None,
+           joined: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs whose bound suffices and, if given, that `linked` confirms.
+
+    The rows in `joined` are connected already.
+    """
     tree, root, edges = RTree(points, sizes, num, den), np.arange(len(sizes)), []
+    if joined is not None and len(joined):
+        root[joined] = joined[0]
     for i in range(len(sizes)):
         found = tree.search(points[i], int(sizes[i]))
         found = found[(found > i) & (root[found] != root[i])]
@@ -275,30 +291,65 @@ def bounded_links(members: DataFrame, num: int, den: int) -> DataFrame:
     return ordered.mapInArrow(linked, EDGES)
 
 
+def similarity(num: int, den: int) -> Callable[[np.ndarray, np.ndarray], bool]:
+    def similar(one: np.ndarray, two: np.ndarray) -> bool:
+        both = len(np.intersect1d(one, two, assume_unique=True))
+        return den * both >= num * (len(one) + len(two) - both)
+
+    return similar
+
+
+def links_to_first(parts: DataFrame, num: int, den: int) -> DataFrame:
+    """Edges (a, b) of a part's first class, whose name is the part's, and the classes (part, node, spread, shingles) similar to it.
+
+    Each group (part, spread) holds the first class; the others stream past it.
+    """
+    similar = similarity(num, den)
+
+    def linked(batches):
+        first, held = None, None
+        for batch in slices(batches, 1024):
+            edges = []
+            columns = (batch.column(i).to_pylist() for i in (0, 1, 3))
+            for part, node, raw in zip(*columns, strict=True):
+                found = np.frombuffer(raw, "<u8")
+                if node == part:
+                    first, held = part, found
+                elif part == first and similar(held, found):
+                    edges.append((part, node))
+            yield edge_batch(edges)
+
+    ordered = parts.repartition("part", "spread").sortWithinPartitions("part", "spread", F.col("node") != F.col("part"))
+    return ordered.mapInArrow(linked, EDGES)
+
+
 def verified_links(parts: DataFrame, num: int, den: int) -> DataFrame:
-    """Edges (a, b) that connect, in each pair of blocks of a part, the classes (node, shingles) that are similar."""
+    """Edges (a, b) that connect, in each pair of blocks of a part, the classes (node, loose, shingles) that are similar.
+
+    Classes that are not `loose` are connected already.
+    """
+    similar = similarity(num, den)
 
     def linked(batches):
-        current, names, sets, edges = None, [], [], []
+        current, names, sets, joined, edges = None, [], [], [], []
 
         def close():
             if len(names) < 2:
                 return
             sizes = np.array([len(x) for x in sets])
             points = np.stack([counts(x, FINE_GROUPS) for x in sets])
-
-            def similar(i: int, j: int) -> bool:
-                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                return den * both >= num * (len(sets[i]) + len(sets[j]) - both)
-
-            edges.extend((names[i], names[j]) for i, j in forest(points, sizes, num, den, similar))
+            found = forest(points, sizes, num, den, lambda i, j: similar(sets[i], sets[j]), np.array(joined, np.int64))
+            edges.extend((names[i], names[j]) for i, j in found)
 
         for key, run in by_group(batches, ["part", "one", "two"]):
             if key != current:
                 close()
-                current, names, sets = key, [], []
-            for name, raw in zip(run.column("node").to_pylist(), run.column("shingles").to_pylist(), strict=True):
+                current, names, sets, joined = key, [], [], []
+            rows = (run.column(c).to_pylist() for c in ("node", "loose", "shingles"))
+            for name, loose, raw in zip(*rows, strict=True):
                 if not names or name != names[-1]:  # repeated rows stand side by side
+                    if not loose:
+                        joined.append(len(names))
                     names.append(name)
                     sets.append(np.frombuffer(raw, "<u8"))
             if len(edges) > 4096:
@@ -336,19 +387,43 @@ def with_sets(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(described, schema)
 
 
+def in_blocks(members: DataFrame, num: int, den: int, block: int) -> DataFrame:
+    """part, node and the blocks `first` to `last` of the part that may hold a similar class; `own` is one of these.
+
+    The classes (part, node, n) of a part are laid out by size, and every `block` shingles are one block. A class
+    can be similar only to classes of a range of sizes, so it meets the blocks of that range.
+    """
+    n = F.col("n")
+    ends = F.array(
+        F.struct(F.ceil(n * num / den).cast("long").alias("size"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("before")),
+        F.struct(n.alias("size"), F.lit(1).alias("kind"), F.greatest(n, F.lit(LEAST_WEIGHT)).cast("long").alias("before")),
+        F.struct(F.floor(n * den / num).cast("long").alias("size"), F.lit(2).alias("kind"), F.lit(0).cast("long").alias("before")),
+    )
+    laid = members.select("part", "node", F.inline(ends)).withColumn("weight", F.col("before"))
+    order = [F.col("size"), F.col("kind"), F.col("node")]
+    laid = running_totals(laid, ["part"], [F.shiftright("size", 6)], order, {"before": F.col("before")})
+    # the sum up to an end; before a class itself, and before the end of what stands in front of it
+    at = F.floor(F.greatest(F.col("before") - F.when(F.col("kind") == 0, 0).otherwise(F.greatest("weight", F.lit(1))), F.lit(0)) / block)
+    spots = [F.max(F.when(F.col("kind") == i, at)).cast("int").alias(c) for i, c in enumerate(("first", "own", "last"))]
+    return laid.groupBy("part", "node").agg(*spots)
+
+
 def sets_of(docs: DataFrame, words: int) -> DataFrame:
-    """part, node, blocks and shingles of the rows of `docs` (part, node, blocks, text) whose text has the set named."""
+    """The rows of `docs` (node, text, other columns) whose text has the set named, with its shingles for the text."""
+    kept = [c for c in docs.columns if c != "text"]
+    at, text = kept.index("node"), len(kept)
+    schema = T.StructType([*[docs.schema[c] for c in kept], T.StructField("shingles", T.BinaryType())])
 
     def found(batches):
         for batch in slices(batches):
-            sets = [shingles(x, words) for x in batch.column(3).to_pylist()]
-            same = [signature(x).hex() == y for x, y in zip(sets, batch.column(1).to_pylist(), strict=True)]
+            sets = [shingles(x, words) for x in batch.column(text).to_pylist()]
+            same = [signature(x).hex() == y for x, y in zip(sets, batch.column(at).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], pa.array([x.astype("<u8").tobytes() for x in sets], pa.binary())],
-                ["part", "node", "blocks", "shingles"],
+                [*batch.columns[:text], pa.array([x.astype("<u8").tobytes() for x in sets], pa.binary())],
+                [*kept, "shingles"],
             ).filter(pa.array(same, pa.bool_()))
 
-    return docs.mapInArrow(found, "part string, node string, blocks int, shingles binary")
+    return docs.select(*kept, "text").mapInArrow(found, schema)
 
 
 def set_of(node: Column) -> Column:
@@ -399,18 +474,39 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     # the sets of the classes that may be similar to another
     members = coarse.join(classes, "node").select(F.col("label").alias("part"), "node", "n", "rep")
     members = staged(members, "members")
+    def with_texts(wanted: DataFrame) -> DataFrame:
+        some = staged(wanted, "wanted")
+        return maybe_in(docs.select("doc_id", "text"), some, "doc_id", "maybe").where("maybe").join(some, "doc_id")
+
+    # a large part is mostly copies of one text: what is similar to its first class is connected
     blocks = members.groupBy("part").agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks"))
-    wanted = staged(members.join(blocks, "part").select("part", "node", "blocks", F.col("rep").alias("doc_id")), "wanted")
-    texts = maybe_in(docs.select("doc_id", "text"), wanted, "doc_id", "maybe").where("maybe").join(wanted, "doc_id")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    spread = F.when(F.col("node") == F.col("part"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(
+        F.array(F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    )
+    all_texts = with_texts(members.join(blocks, "part").select("part", "node", "blocks", F.col("rep").alias("doc_id")))
+    spread_out = sets_of(all_texts.drop("doc_id", "maybe"), words).select("part", "node", F.explode(spread).alias("spread"), "shingles")
+    star = staged(links_to_first(spread_out, num, den).distinct(), "star")
+
+    # the others meet each other and what is connected, by blocks
+    joined = star.select(F.col("a").alias("part"), F.col("b").alias("node")).unionByName(
+        members.select("part", F.col("part").alias("node")).distinct()
+    )
+    loose = members.join(joined, ["part", "node"], "left_anti").select("part", "node")
+    left = members.join(loose.select("part").distinct(), "part", "left_semi")
+    placed = in_blocks(left, num, den, block).join(loose.withColumn("loose", F.lit(True)), ["part", "node"], "left")
+    placed = staged(placed.withColumn("loose", F.coalesce("loose", F.lit(False))), "placed")
+    where_loose = placed.where("loose").select("part", F.col("own").alias("other")).distinct().withColumn("there", F.lit(True))
+    meets = placed.select("part", "node", "loose", "own", F.explode(F.sequence("first", "last")).alias("other"))
+    meets = meets.join(where_loose, ["part", "other"], "left").where("loose or there")
+    meets = meets.groupBy("part", "node", "loose", "own").agg(F.collect_set("other").alias("others"))
+    some_texts = with_texts(meets.join(members.select("part", "node", F.col("rep").alias("doc_id")), ["part", "node"]))
     parts = (
-        sets_of(texts.select("part", "node", "blocks", "text"), words)
-        .withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        sets_of(some_texts.drop("doc_id", "maybe"), words)
+        .select("part", "node", "loose", "shingles", "own", F.explode("others").alias("other"))
         .select("part", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"),
-                "node", "shingles")
+                "node", "loose", "shingles")
     )
-    final = staged(connected_components(verified_links(parts, num, den)), "linked")
+    final = staged(connected_components(verified_links(parts, num, den).unionByName(star)), "linked")
 
     named = final.join(classes, "node")
     least = named.groupBy("label").agg(F.min("rep").alias("component"))

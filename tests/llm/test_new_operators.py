@@ -261,3 +261,117 @@ def test_sample_is_bounded(spark, judged, monkeypatch):
     assert 30 <= len(caught["rows"]) <= 50
     nb_svm.learn(docs, labels, most=1000)
     assert sum(map(len, caught["rows"])) <= 1000
+
+
+# --- mended operators -----------------------------------------------------------------------
+
+
+def test_unrelated_documents_do_not_meet():
+    from collections import Counter
+
+    from partforge.llm import ngram_join
+
+    rng = np.random.default_rng(3)
+    for size in (8, 56):
+        met, n = Counter(), 20_000 if size == 56 else 5_000
+        for _ in range(n):
+            met.update(ngram_join.cell_keys(np.unique(rng.integers(0, 1 << 63, size).astype("u8")), 80, 100).tolist())
+        assert max(met.values()) <= n // 100
+
+
+@pytest.mark.parametrize("num", [80, 90])
+def test_similar_sets_meet(num):
+    from partforge.llm import ngram_join
+
+    rng, tried = np.random.default_rng(5), 0
+    for _ in range(3000):
+        one = np.unique(rng.integers(0, 1 << 63, int(rng.integers(1, 150))).astype("u8"))
+        cut, more = (int(rng.integers(0, max(1, len(one) // 5) + 1)) for _ in range(2))
+        two = np.unique(np.concatenate([one[cut:], rng.integers(0, 1 << 63, more).astype("u8")]))
+        both = len(np.intersect1d(one, two))
+        if 100 * both >= num * (len(one) + len(two) - both) and both:
+            tried += 1
+            assert set(ngram_join.cell_keys(one, num, 100)) & set(ngram_join.cell_keys(two, num, 100))
+    assert tried > 500
+
+
+def test_join_with_all_limits_small(spark, rows, monkeypatch):
+    from partforge.llm import ngram_join
+
+    for name, value in (("NODE_MOST", 8), ("LEAST_WEIGHT", 1), ("EARLY", 2)):
+        monkeypatch.setattr(ngram_join, name, value)
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefgh", k=4))
+    data, base = [], [[word() for _ in range(80)] for _ in range(4)]
+    for i in range(120):
+        copy = list(base[i % 4])
+        for _ in range(rng.randint(0, 6)):
+            copy[rng.randrange(80)] = word()
+        data.append((i, " ".join(copy[: rng.choice([80, 80, 70, 12])])))
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    sets = {d: set(zip(*[t.split()[k:] for k in range(5)], strict=False)) for d, t in data}
+    root = {d: d for d in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                low, high = sorted((find(a), find(b)))
+                root[high] = low
+    got = rows(ngram_join.near_duplicates(docs, 5, 80, 100, block=150))
+    assert got == sorted(((d, len(s), find(d)) for d, s in sets.items()), key=repr)
+
+
+def test_a_lost_payload_is_an_error(spark, tmp_path):
+    from partforge.llm import warc
+
+    pages = spark.createDataFrame([(1, "u", "a"), (2, "v", "b")], "key long, url string, payload string")
+    warc.write_archive(pages, str(tmp_path / "a"))
+    kept = spark.read.parquet(str(tmp_path / "a" / "payloads")).limit(1)
+    kept.write.parquet(str(tmp_path / "b" / "payloads"))
+    spark.read.parquet(str(tmp_path / "a" / "headers")).write.parquet(str(tmp_path / "b" / "headers"))
+    assert warc.read_archive(spark, str(tmp_path / "a")).count() == 2
+    with pytest.raises(Exception, match="payload is lost"):
+        warc.read_archive(spark, str(tmp_path / "b")).collect()
+
+
+def test_only_letters_are_letters():
+    from partforge.llm.language_mixture import has_letter
+
+    assert [has_letter(x) for x in ("½", "²", "①", "12_", "½é", "日", "")] == [False] * 4 + [True, True, False]
+
+
+def test_wide_ids_keep_their_bits():
+    from partforge.llm.curve_packing import written
+
+    for ids in ([], [0, 65_535], [1, 65_536, 4_000_000_000]):
+        raw = written(np.array(ids, np.uint32))
+        assert np.frombuffer(raw, f"<u{raw[0]}", offset=1).tolist() == ids
+
+
+def test_ids_beyond_the_vocabulary_are_refused():
+    from partforge.llm.range_coder import encode_block
+
+    for ids, vocabulary in (([5], 5), ([1], 70_000)):
+        with pytest.raises(ValueError):
+            encode_block(np.array(ids, np.uint32), vocabulary)
+
+
+def test_remembered_units_are_bounded_by_their_length(monkeypatch):
+    import public_tokenizers
+
+    from partforge.llm import ngram_join, units
+
+    monkeypatch.setattr(units, "MOST_CHARS", 1000)
+    encoder = units.UnitEncoder(public_tokenizers.path("word_bpe_49k.json"), False)
+    for i in range(5):
+        encoder.encode([" ".join(f"{i}x{k}" + "y" * 200 for k in range(10))])
+        assert encoder.chars <= 1000 + 10 * 220
+    monkeypatch.setattr(ngram_join, "MOST_BYTES", 1000)
+    for i in range(20):
+        ngram_join.shingles(f"{i}" + "z" * 300, 1)
+    assert ngram_join.word_hashes().size <= 1600
