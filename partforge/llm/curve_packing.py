@@ -104,6 +104,12 @@ def cut(documents: Iterable[tuple[int | None, np.ndarray]], size: int) -> Iterat
         sequence += 1
 
 
+def written(ids: np.ndarray) -> bytes:
+    """How many bytes an id has, two if that is enough, and the ids."""
+    width = 2 if int(ids.max(initial=0)) < 1 << 16 else 4
+    return bytes([width]) + ids.astype(f"<u{width}").tobytes()
+
+
 def pack(docs: DataFrame, tokenizer: str, end: int, size: int = 1024, with_ids: bool = True) -> DataFrame:
     """Every piece of `docs` (doc_id, text): doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
@@ -116,7 +122,7 @@ def pack(docs: DataFrame, tokenizer: str, end: int, size: int = 1024, with_ids:
         for batch in slices(batches):
             ids = [np.append(x, np.uint32(end)) for x in encoder.encode([x or "" for x in batch.column(1).to_pylist()])]
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array(curve_keys(ids)), pa.array([x.astype("<u2").tobytes() for x in ids], pa.binary()),
+                batch.column(0), pa.array(curve_keys(ids)), pa.array(list(map(written, ids)), pa.binary()),
             ], ["doc_id", "key", "ids"])
 
     keys = staged(docs.select("doc_id", "text").mapInArrow(keyed, "doc_id long, key long, ids binary"), "curve")
@@ -130,7 +136,7 @@ def pack(docs: DataFrame, tokenizer: str, end: int, size: int = 1024, with_ids:
         def documents():
             for batch in slices(batches):
                 for doc_id, ids in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                    yield doc_id, np.frombuffer(ids, "<u2")
+                    yield doc_id, np.frombuffer(ids, f"<u{ids[0]}", offset=1)
 
         rows: list[tuple] = []
 

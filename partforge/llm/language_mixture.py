@@ -33,7 +33,14 @@ SEGMENT = 64  # trigrams
 ROUNDS = 12
 PENALTY = 6.0  # log-likelihood that a further language has to gain, and half a log of the segments
 TEMPER = 0.25  # neighbouring trigrams overlap, so a segment says less than the sum of its trigrams
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = re.compile(r"[^\W\d_]")  # letters, and some signs for numbers
+
+
+def has_letter(text: str) -> bool:
+    """Whether a character is a letter by its Unicode category."""
+    return any(found.group().isalpha() for found in LETTER.finditer(text))
+
+
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -92,7 +99,7 @@ class Model:
         A single language has its posterior as support. Several ones have their posterior
         against text that is in no language, or the score if that is more.
         """
-        if not text or not self.languages or not LETTER.search(text):
+        if not text or not self.languages or not has_letter(text):
             return "und", 0.0, 0.0
         likelihood = self.segments(text)
         shares, posterior = mixture(likelihood)

@@ -183,6 +183,8 @@ def shape(n: int) -> tuple[int, int]:
 def encode_block(ids: np.ndarray, vocabulary: int) -> bytes:
     """A block of ids: header, digits a lane, digits, CRC-32. Ids must be below `vocabulary` and that below 2^16."""
     n = len(ids)
+    if vocabulary > 1 << SCALE or (n and int(ids.max()) >= vocabulary):
+        raise ValueError(f"ids must be below the vocabulary of {vocabulary}, and that at most {1 << SCALE}")
     lanes, steps = shape(n)
     # lane j has the ids from j * steps on: neighbours in a lane are neighbours in the text
     grid = np.zeros(lanes * steps, np.int64)

@@ -16,6 +16,7 @@ from itertools import chain
 import numpy as np
 
 MOST_UNITS = 800_000
+MOST_CHARS = 32_000_000  # of the remembered units together
 BLANK_BYTES = "ĠĊ"  # fixed: how a byte-level vocabulary writes a blank and a line break
 BETWEEN = "\0"
 
@@ -61,7 +62,7 @@ class UnitMemo:
         self.known = Numbers()
         self.ids = np.zeros(1 << 16, np.uint32)
         self.starts = np.zeros(1 << 12, np.int64)
-        self.learned = self.used = 0
+        self.learned = self.used = self.chars = 0
         self.odd: set[int] = set()
 
     def learn(self, ids: np.ndarray, lengths: np.ndarray) -> None:
@@ -99,7 +100,7 @@ class UnitMemo:
         return unit[-1:].strip() != "" and len(unit.split()) == 1 and (unit[0] == "\n" or not unit[0].isspace())
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) > MOST_UNITS:
+        if len(self.known) > MOST_UNITS or self.chars > MOST_CHARS:
             self.forget()
         number = self.known.__getitem__
         firsts, at = [], []
@@ -109,6 +110,7 @@ class UnitMemo:
                 firsts.append(units.pop(0))
             at.append(np.fromiter(map(number, units), np.int64, len(units)))
         new, self.known.new = self.known.new, []
+        self.chars += sum(map(len, new))
         odd = {u for u in new if not self.stands_alone(u)}
         self.odd.update(self.known[u] for u in odd)
         self.learn_all(["" if u in odd else u for u in new] if odd else new)

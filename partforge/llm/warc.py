@@ -120,7 +120,10 @@ def read_archive(spark: SparkSession, folder: str) -> DataFrame:
         F.when(sound, base32_sha1(F.col("payload"))).otherwise(wrong.cast("string")).alias("payload_digest"),
     )
     block = F.col("header").cast("string")
-    read = headers.join(payloads, "address", "left")
+    lost = F.raise_error(F.concat(F.lit("payload is lost: "), F.coalesce("address", F.lit("no address"))))
+    read = headers.join(payloads, "address", "left").withColumn(
+        "payload_bytes", F.coalesce("payload_bytes", lost.cast("long"))
+    )
     record_type = field(block, "WARC-Type")
     empty = F.lit("").cast("binary")
     return read.select(
