@@ -333,3 +333,31 @@ def test_bucketed_results_are_met_without_moving_them(spark, tmp_path, rows):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
     spark.sql(f"DROP TABLE {table}")
+
+
+def test_artifact_files_are_written_read_and_missed(spark, tmp_path, rows):
+    data = [(run, 1, "cube", "a cube", datetime(2025, 11, 10), code) for run, code in (("r [1]", "cube(1);"), ("50% é", ""))]
+    outputs = spark.createDataFrame(data, "run STRING, ordinal INT, object STRING, prompt STRING, generated_at TIMESTAMP, code STRING")
+    for path in (str(tmp_path / "plain"), f"file://{tmp_path}/uri"):
+        written = a.write_artifact_files(a.render_artifact(outputs), path)
+        files = a.read_artifacts(spark, path)
+        assert rows(written, "path") == [("50% é/01_cube.scad",), ("r [1]/01_cube.scad",)]
+        assert rows(a.parse_artifact(files), "run", "object", "code") == [("50% é", "cube", ""), ("r [1]", "cube", "cube(1);")]
+        assert a.missing_files(written, files).count() == 0
+    (tmp_path / "plain" / "r [1]" / "01_cube.scad").write_text("cut off")
+    (tmp_path / "plain" / "50% é" / "01_cube.scad").unlink()
+    written = a.write_artifact_files(a.render_artifact(outputs.limit(0)), str(tmp_path / "plain")).unionByName(written)
+    assert a.missing_files(written, a.read_artifacts(spark, str(tmp_path / "plain"))).count() == 2
+
+
+def test_results_as_arrays(spark, tmp_path, rows, monkeypatch):
+    from partforge.schemas import RESULT
+
+    monkeypatch.setattr(r, "ARRAY_ROWS", 3)
+    data = [(f"n{i}", 'line "1"\nline 2' if i % 2 else None, "", "Valid", True) for i in range(10)]
+    path = str(tmp_path / "arrays")
+    for some in (data[:4], data[4:]):
+        r.write_results(spark.createDataFrame(some, RESULT).coalesce(1), path, "json_array")
+    files = list((tmp_path / "arrays").glob("*.txt"))
+    assert len(files) == 4 and max(len(json.loads(f.read_text())) for f in files) == 3
+    assert rows(r.read_results(spark, path, "json_array")) == sorted(data, key=repr)
