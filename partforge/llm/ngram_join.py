@@ -60,7 +60,7 @@ SPARE = 16  # one spare cell for so many
 DEALS = 6
 EARLY = 16  # one node in so many goes first
 LEAF = 16
-MOST_WORDS = 1_000_000
+MOST_WORDS = 250_000
 MOST_BYTES = 64_000_000
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
