@@ -102,6 +102,17 @@ def resolve_attempts(
     return decided(attempt_numbers(attempts, max_retries, keys), attempts, max_retries, keys, "pending")
 
 
+def winners(attempts: DataFrame, max_retries: int = MAX_RETRIES, keys: list[str] | None = None) -> DataFrame:
+    """The outcomes of `resolve_attempts` that are successes, their code carried along instead of looked up.
+
+    Suits attempts of which few are of the same item.
+    """
+    keys = keys or ["row_id", "name"]
+    first = F.min(F.struct(winning_number().alias("won"), "code", "message")).alias("_first")
+    won = _within(attempts, max_retries).filter(_good()).groupBy(*keys).agg(first)
+    return won.select(*keys, F.lit("success").alias("status"), "_first.code", "_first.message")
+
+
 def to_results(outcomes: DataFrame, original: str = "original_code") -> DataFrame:
     """Successful outcomes in the shape of the result set."""
     carried = F.col(original) if original in outcomes.columns else F.lit("")

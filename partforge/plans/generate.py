@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from partforge.functions.prompts import generation_prompt
-from partforge.operators.attempts import MAX_RETRIES, resolve_attempts, to_results
+from partforge.operators.attempts import MAX_RETRIES, resolve_attempts, to_results, winners
 from partforge.operators.calls import CallPolicy
 from partforge.operators.checks import check_response
 from partforge.operators.generation import generate_with
@@ -43,33 +43,31 @@ def generate_job(
 ) -> DataFrame:
     """Run the missing items through the generator and append what is valid to `results`.
 
-    The session's ledger is in `work`. Slice by slice, each step makes one attempt for each item
-    still open, commits it to the ledger and appends its successes to the results. Called again
+    The session's ledger is in `work`. Wave by wave of slices, each step makes one attempt for each
+    item still open, commits it to the ledger and appends its successes to the results. Called again
     with the same `work`, a session that was stopped, or had enough with `most_steps`, goes on
     with the items it began with, after their last committed attempt: no committed call is made
-    again. Returns the outcome of each item that was asked for.
+    again. A step is of one slice at first; later of as many as went before, up to `SLICE_ROWS` row ids.
+    Returns the outcome of each item that was asked for.
     """
     ledger = Ledger(spark, work or shared_folder(spark, "attempts"))
     items = head_n(with_default(source, "code"), samples)
-    ledger.begin(not_done(items, read_results(spark, results)), slice_rows)
+    ledger.begin(not_done(items, read_results(spark, results)), slice_rows, items)
     schema = check(spark.createDataFrame([], ATTEMPT)).schema
-    last = {}
-    for step in sorted(ledger.steps(), key=lambda s: s.attempt):
-        if step.slice != ITEMS:
-            last[step.slice] = step
-    if last:
+    if any(s.slice != ITEMS for s in ledger.steps()):
         _save_rest(spark, ledger, items, results, schema, max_retries)
     made = 0
-    for number in ledger.slices():
-        done = last.get(number)
+    for wave, done in ledger.waves(max(1, SLICE_ROWS // slice_rows)):
         attempt, still_open = (done.attempt, done.open) if done else (0, 1)
         while still_open and attempt < max_retries and made != most_steps:
-            asked = ledger.items(number) if not attempt else _unanswered(ledger, number, attempt, schema)
+            asked = ledger.items(*wave) if not attempt else _unanswered(ledger, wave[0], attempt, schema)
             attempt, made = attempt + 1, made + 1
             asked = asked.withColumn("prompt", generation_prompt(F.col("name")))
             tried = check(generate_with(asked, connect, attempt, parallelism, policy))
-            stored, still_open = ledger.write(tried, number, attempt)
-            write_results(_successes(stored, items, max_retries), results)
+            stored, still_open = ledger.write(tried, wave[0], attempt, wave[-1])
+            write_results(_successes(stored, ledger.originals(*wave), items, max_retries), results)
+        if made == most_steps:
+            break
     return resolve_attempts(ledger.attempts(schema), max_retries)
 
 
@@ -77,9 +75,14 @@ def _unanswered(ledger: Ledger, number: int, attempt: int, schema) -> DataFrame:
     return ledger.read([(number, attempt)], schema).where(~F.col("valid")).select("row_id", "name")
 
 
-def _successes(attempts: DataFrame, items: DataFrame, max_retries: int) -> DataFrame:
-    won = resolve_attempts(attempts, max_retries).where(F.col("status") == "success")
-    return to_results(with_original(won, items))
+def _successes(attempts: DataFrame, originals: DataFrame | None, items: DataFrame, max_retries: int) -> DataFrame:
+    """What won, next to the code it was generated anew for; that is in `items` if the ledger does not have it.
+
+    As a step's attempts have one number, the winners are found without looking them up by it, and no
+    step broadcasts a table, of which the driver would get one per step.
+    """
+    originals = items.select("row_id", "code") if originals is None else originals
+    return to_results(with_original(winners(attempts, max_retries), originals.hint("merge")))
 
 
 def _save_rest(spark, ledger: Ledger, items: DataFrame, results: str, schema, max_retries: int) -> None:
@@ -94,7 +97,7 @@ def _save_rest(spark, ledger: Ledger, items: DataFrame, results: str, schema, ma
     same = F.col("name").eqNullSafe(F.col("_name"))
     saved = read_results(spark, results).join(names, same, "left_semi")
     there = ledger.attempts(schema).join(names, same, "left_semi")
-    rest = _successes(there, items, max_retries).exceptAll(saved)
+    rest = _successes(there, ledger.originals(), items, max_retries).exceptAll(saved)
     if not rest.isEmpty():
         write_results(rest, results)
 

@@ -7,6 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from partforge.operators.attempts import resolve_attempts
 from partforge.operators.calls import CallPolicy, answers
 from partforge.operators.checks import check_response
 from partforge.operators.generation import call_key, generate_with
@@ -232,3 +233,30 @@ def test_ledger_does_not_count_what_is_not_committed(spark, tmp_path):
     assert ledger.attempts(made.schema).count() == 0
     stored, still_open = ledger.write(made, 1, 1)
     assert (stored.count(), still_open) == (1, 0) and ledger.attempts(made.schema).count() == 1
+
+
+def test_small_slices_take_few_steps_and_go_on_where_they_were(spark, tmp_path, rows):
+    source = sources(spark, 200)
+    policy = CallPolicy(keyed=True)
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    def job(**more):
+        return g.generate_job(
+            spark, source, f"{tmp_path}/results", connect_counting(str(calls)), work=f"{tmp_path}/work",
+            policy=policy, slice_rows=10, max_retries=2, **more,
+        )
+
+    job(most_steps=5)  # amid the third wave
+    ledger, schema = Ledger(spark, f"{tmp_path}/work"), check_response(spark.createDataFrame([], ATTEMPT)).schema
+    assert [len(wave) for wave, _ in ledger.waves(8)] == [1, 1, 2, 4, 8, 5]
+    assert ledger.attempts(schema).select("row_id").distinct().count() == 40
+    done = job()
+    steps = [s for s in ledger.steps() if s.slice >= 0]
+    assert len(steps) == 2 * 6 and max(s.until - s.slice + 1 for s in steps) == 8  # 42 steps for a slice each
+    assert {len(f.read_text()) for f in calls.iterdir()} == {1}
+    made = ledger.attempts(schema)
+    assert made.where("attempt = 1").count() == 201
+    assert rows(done, *COLUMNS) == rows(resolve_attempts(made, 2), *COLUMNS)
+    good = [(r.name, r.code, f"old {r.row_id}", r.message, True) for r in done.where("status = 'success'").collect()]
+    assert good and saved(spark, tmp_path) == Counter(good)
