@@ -95,7 +95,7 @@ def artifact_files_pass_rate(spark, sf_dir):
     files = a.render_artifact(outputs)
     other = F.when(F.col("ordinal") % 2 == 0, F.replace("content", F.lit("\n"), F.lit("\r\n"))).otherwise(F.col("content"))
     written = a.write_artifact_files(files.withColumn("content", other), folder)
-    found = a.read_artifacts(spark, folder)
+    found = a.store_artifacts(a.read_artifacts(spark, folder))
     lost = a.missing_files(written, found).count()
     return pass_rate(check_syntax(a.parse_artifact(found))).withColumn("lost", F.lit(lost))
 

@@ -17,6 +17,8 @@ HEADER = ["// Generated by ", "// Prompt: ", "// Generated at: "]
 STAMP = "yyyy-MM-dd HH:mm:ss"
 
 GENERATOR = "partforge"
+#: Tasks that read artifact files, at most, for each core of the session.
+TASKS_PER_CORE = 16
 _PARSED_HEADER = r"(?d)\A// Generated by .*\n// Prompt: (.*?)\r?\n// Generated at: (.*?)\r?\n\r?\n"
 
 
@@ -49,10 +51,13 @@ def write_artifact_files(rendered: DataFrame, path: str) -> DataFrame:
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = fs.FileSystem.from_uri(path) if ":" in path else (fs.LocalFileSystem(), path)
+        folders = set()
         for batch in batches:
             paths, sizes = [], []
             for run, name, content in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                files.create_dir(f"{root}/{run}", recursive=True)
+                if run not in folders:
+                    files.create_dir(f"{root}/{run}", recursive=True)
+                    folders.add(run)
                 data = (content or "").encode()
                 with files.open_output_stream(f"{root}/{run}/{name}") as out:
                     out.write(data)
@@ -81,13 +86,24 @@ def read_artifact_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_artifacts(spark: SparkSession, *paths: str) -> DataFrame:
-    """All artifact files in the given folders and below, one row each."""
+    """All artifact files in the given folders and below, one row each.
+
+    Spark plans a task for some 32 small files, however many there are; here a task takes more of them.
+    """
     files = (
         spark.read.option("pathGlobFilter", "*" + ARTIFACT_SUFFIX)
         .option("recursiveFileLookup", True)
         .text(list(paths), wholetext=True)
     )
-    return files.select(file_path().alias("path"), F.col("value").alias("content"))
+    found = files.select(file_path().alias("path"), F.col("value").alias("content"))
+    return found.coalesce(TASKS_PER_CORE * spark.sparkContext.defaultParallelism)
+
+
+def store_artifacts(found: DataFrame) -> DataFrame:
+    """The artifacts as a table in the shared folder, for jobs that look at them more than once: each file is read once."""
+    stored = shared_folder(found.sparkSession, "found")
+    found.write.parquet(stored)
+    return found.sparkSession.read.schema(found.schema).parquet(stored)
 
 
 def file_path() -> Column:

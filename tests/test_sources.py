@@ -157,6 +157,23 @@ def test_artifact_files(spark, tmp_path, rows):
     assert one_run.count() == 4
 
 
+def test_many_small_artifacts_are_read_by_few_tasks_and_once(spark, tmp_path, rows):
+    n = 32 * a.TASKS_PER_CORE * 4 + 200  # more than Spark gives to so many tasks
+    texts = spark.range(n).select(
+        F.concat(F.lit("run "), F.col("id") % 3).alias("run"),
+        F.concat("id", F.lit("_x.scad")).alias("file_name"),
+        F.concat(F.lit("cube("), "id", F.lit(");")).alias("content"),
+    )
+    folder = str(tmp_path / "files")
+    written = a.write_artifact_files(texts, folder)
+    read = a.read_artifacts(spark, folder)
+    assert read.rdd.getNumPartitions() <= a.TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    found = a.store_artifacts(read)
+    (tmp_path / "files" / "run 0" / "0_x.scad").unlink()
+    assert found.count() == n and a.missing_files(written, found).count() == 0
+    assert a.missing_files(written, a.read_artifacts(spark, folder)).count() == 1
+
+
 def test_artifact_table(spark, tmp_path, rows):
     data = [("run", 1, "cat", "a cat", datetime(2025, 1, 2, 3, 4, 5), "cube(1);")]
     schema = (
