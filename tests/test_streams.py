@@ -59,6 +59,27 @@ def test_state_holds_only_items_that_are_open(spark, tmp_path, rows):
     assert counts["success"] == 120 and counts["failed"] == 60 and counts["expired"] == 60
 
 
+def test_open_items_are_kept_by_groups(spark, tmp_path, rows):
+    """A state and a call of Python for a group of items, whose keys stay as they are."""
+    named = {"at": F.col("ts"), "raw": F.col("name").cast("binary"), "wide": F.col("row_id") + (1 << 60) + 1}
+    named["wide"] = F.when(F.col("row_id") % 7 > 0, named["wide"])
+    named["two"] = F.when(F.col("row_id") % 5 > 0, F.struct("name", F.lit(0.1).alias("x")))
+    keys = list(named)
+    whole = attempts_of_a_day(spark, 1, 90).withColumn("ts", F.timestamp_micros(F.lit(86400_000_007))).withColumns(named)
+    ends = [attempts_of_a_day(spark, d, 1).withColumns(named) for d in (60, 61)]
+    stream = batches(spark, str(tmp_path / "in"), [whole.where("attempt = 1"), whole.where("attempt > 1"), *ends])
+    out = str(tmp_path / "out")
+    query = stream_resolve_expiring(stream, out, str(tmp_path / "c"), 86400, "1 day", keys=keys, groups=3)
+    query.awaitTermination()
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert max(held) <= 3
+    got = expiring_items(spark, out, whole, keys=keys).where("at < '1970-02-01'")
+    want = resolve_attempts(whole, keys=keys)
+    want = want.withColumn("status", F.when(F.col("status") == "pending", "expired").otherwise(F.col("status")))
+    assert rows(got, *want.columns) == rows(want) and want.count() > 80
+    assert {r[0] for r in want.groupBy("status").count().collect()} == {"success", "failed", "expired"}
+
+
 def test_numbers_of_parts_give_those_of_all(spark, rows):
     given = attempts_of_a_day(spark, 1)
     keys = ["row_id", "name"]
