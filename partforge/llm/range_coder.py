@@ -46,6 +46,7 @@ FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 DIGIT = np.uint64(16)
 HIGH = np.uint64(48)
 ONE = np.uint64(1)
+TOP = np.uint64(1 << 48)  # the lowest digit that may leave
 FLOOR = np.uint64(1 << 32)
 
 
@@ -77,9 +78,10 @@ class Mixer:
     def look(self) -> None:
         """The predictions and frequencies for the next id of every lane."""
         self.slot = (self.last * 0x9E3779B1 + self.before * 0x85EBCA6B >> 7) & (HASHES - 1)
-        self.p2, self.p1 = self.two[self.slot], self.one[self.last]
+        self.p2, self.p1 = self.two.take(self.slot), self.one.take(self.last)
+        self.trust2, self.trust1 = self.two_sure.take(self.slot), self.one_sure.take(self.last)
         same = self.p1 == self.p2
-        self.state = (self.two_sure[self.slot].astype(np.int64) * CONFIDENCE + self.one_sure[self.last]) * 2 + same
+        self.state = (self.trust2 * CONFIDENCE + self.trust1).astype(np.int64) * 2 + same
         bounds = np.cumsum(self.kinds, axis=1)
         edges = bounds * ((1 << MIX) - 3) // bounds[:, 2:] + np.array([1, 2, 3])
         self.edges = np.concatenate([np.zeros((len(edges), 1), np.int64), edges], axis=1).ravel()
@@ -91,11 +93,11 @@ class Mixer:
     def learn(self, ids: np.ndarray, kind: np.ndarray) -> None:
         """Take in the next id of every lane."""
         self.kinds += np.bincount(self.state * 3 + kind, minlength=self.kinds.size).reshape(self.kinds.shape)
-        for table, sure, at, said in (
-            (self.two, self.two_sure, self.slot, self.p2),
-            (self.one, self.one_sure, self.last, self.p1),
+        for table, sure, at, said, trust in (
+            (self.two, self.two_sure, self.slot, self.p2, self.trust2),
+            (self.one, self.one_sure, self.last, self.p1, self.trust1),
         ):
-            hit, trust = ids == said, sure[at]
+            hit = ids == said
             table[at] = np.where(trust > 1, said, ids)
             sure[at] = np.where(hit, np.minimum(trust + 1, CONFIDENCE - 1), trust >> 1)
         self.unseen.append(ids[kind == 2])
@@ -117,14 +119,14 @@ class Coder:
     def narrow(self, lanes: np.ndarray | slice, start: np.ndarray, width: np.ndarray, bits: int) -> None:
         """Keep the part of the interval that belongs to frequencies `start` to `start + width`."""
         span = self.range[lanes] >> np.uint64(bits)
-        self.low[lanes] += span * start.astype(np.uint64)
-        self.range[lanes] = span * width.astype(np.uint64)
+        self.low[lanes] += span * start.view(np.uint64)
+        self.range[lanes] = span * width.view(np.uint64)
 
     def settle(self) -> None:
         """Move digits out until every interval is wide; one that spans a border of digits is cut off there."""
         lanes, low, span = np.arange(len(self.low)), self.low, self.range
         while True:
-            settled = ((low ^ (low + span - ONE)) >> HIGH) == 0
+            settled = (low ^ (low + span - ONE)) < TOP
             move = np.flatnonzero(settled | (span < FLOOR))
             if not len(move):
                 return
@@ -138,19 +140,20 @@ class Coder:
 class Writer(Coder):
     def __init__(self, lanes: int, room: int):
         super().__init__(lanes)
-        self.out = np.zeros((lanes, room), np.uint16)
+        self.out = np.zeros((room, lanes), np.uint16)  # lanes are about as far, so they write side by side
         self.at = np.zeros(lanes, np.int64)
 
     def move(self, lanes: np.ndarray, low: np.ndarray) -> None:
-        self.out[lanes, self.at[lanes]] = low >> HIGH
+        self.out[self.at[lanes], lanes] = low >> HIGH
         self.at[lanes] += 1
 
     def finish(self) -> tuple[np.ndarray, np.ndarray]:
         """The digits of all lanes in a row, and how many each has."""
         for i in range(4):
-            self.out[np.arange(len(self.at)), self.at] = (self.low >> np.uint64(48 - 16 * i)) & np.uint64(0xFFFF)
+            self.out[self.at, np.arange(len(self.at))] = (self.low >> np.uint64(48 - 16 * i)) & np.uint64(0xFFFF)
             self.at += 1
-        return self.out[np.arange(self.out.shape[1]) < self.at[:, None]], self.at
+        out = self.out[: int(self.at.max())].T
+        return out[np.arange(out.shape[1]) < self.at[:, None]], self.at
 
 
 class Reader(Coder):
@@ -195,12 +198,14 @@ def encode_block(ids: np.ndarray, vocabulary: int) -> bytes:
         now = grid[t]
         mixer.look()
         kind = mixer.kind_of(now)
-        start = mixer.edges[mixer.row + kind]
-        writer.narrow(slice(None), start, mixer.edges[mixer.row + kind + 1] - start, MIX)
+        spot = mixer.row + kind
+        start = mixer.edges.take(spot)
+        writer.narrow(slice(None), start, mixer.edges.take(spot + 1) - start, MIX)
         other = np.flatnonzero(kind == 2)
         if len(other):
-            start = mixer.cumulative[now[other]]
-            writer.narrow(other, start, mixer.cumulative[now[other] + 1] - start, SCALE)
+            rare = now[other]
+            start = mixer.cumulative.take(rare)
+            writer.narrow(other, start, mixer.cumulative.take(rare + 1) - start, SCALE)
         writer.settle()
         mixer.learn(now, kind)
     digits, counts = writer.finish()
@@ -227,9 +232,10 @@ def decoded_block(block: bytes) -> np.ndarray:
     for t in range(steps):
         mixer.look()
         target = reader.target(slice(None), MIX)
-        kind = (target >= mixer.edges[mixer.row + 1]).astype(np.int64) + (target >= mixer.edges[mixer.row + 2])
-        start = mixer.edges[mixer.row + kind]
-        reader.narrow(slice(None), start, mixer.edges[mixer.row + kind + 1] - start, MIX)
+        kind = (target >= mixer.edges.take(mixer.row + 1)).astype(np.int64) + (target >= mixer.edges.take(mixer.row + 2))
+        spot = mixer.row + kind
+        start = mixer.edges.take(spot)
+        reader.narrow(slice(None), start, mixer.edges.take(spot + 1) - start, MIX)
         now = np.where(kind == 0, mixer.p2, mixer.p1)
         other = np.flatnonzero(kind == 2)
         if len(other):

@@ -5,21 +5,62 @@ unit: a unit is a stretch without blanks, with the one blank or line break befor
 So the library encodes every different unit once, and a text's ids are its units' ids
 in a row. Texts with blanks in any other arrangement are encoded whole, and so are those
 that hold the string of a special token, which the library cuts out before it splits.
+
+A tokenizer that lower-cases and keeps runs of letters apart from all else (`LETTERS_APART`) needs fewer units: texts
+of Latin-1 are lower-cased first, a comma or full stop behind a letter or digit is a unit of its own, and new
+units of letters alone go to the library's model without the rules that would leave them as they are.
 """
 
 from __future__ import annotations
 
+import json
 import os
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 MOST_UNITS = 800_000
 MOST_CHARS = 32_000_000  # of the remembered units together
 BLANK_BYTES = "ĠĊ"  # fixed: how a byte-level vocabulary writes a blank and a line break
 BETWEEN = "\0"
 
+# Fixed: the rules of a file by which a run of letters is one word whatever stands around it, in lower case.
+LOWERED = [
+    {"type": "NFC"},
+    {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "},
+    {"type": "Lowercase"},
+]
+LETTERS_APART = [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+     "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+MARKS = (",", ".")
+
+
+def word_end(path: str) -> str:
+    """What the last id of every word ends with in the vocabulary of a file of those rules, else nothing."""
+    with open(path, encoding="utf-8") as file:
+        rules = json.load(file)
+    model = rules["model"]
+    plain = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "ignore_merges"))
+    split = (rules["pre_tokenizer"] or {}).get("pretokenizers") == LETTERS_APART
+    added = all(not x["content"].isalpha() and not set(MARKS) & set(x["content"]) for x in rules["added_tokens"])
+    lowered = (rules["normalizer"] or {}).get("normalizers") == LOWERED
+    return (model.get("end_of_word_suffix") or "") if plain and split and added and lowered else ""
+
+
+def is_latin(text: str) -> bool:
+    """Whether lower case is letter by letter, and nothing is composed or decomposed."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
 
 def gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The runs `values[starts[i] : starts[i] + lengths[i]]`, one after another."""
@@ -50,6 +91,8 @@ class UnitMemo:
     before a word, and false for one that drops white space.
     """
 
+    letters_alone = False  # whether a unit of letters is known to stand alone
+
     def __init__(self, blanks_matter: bool):
         self.blanks_matter = blanks_matter
         self.forget()
@@ -76,10 +119,14 @@ class UnitMemo:
         self.learned += len(lengths)
         self.used += len(ids)
 
-    def learn_each(self, units: list[str]) -> None:
+    def each(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of units, and how many each has."""
         found = self.encode_each([self.written(u) for u in units])
         lengths = np.fromiter(map(len, found), np.int64, len(found))
-        self.learn(np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum())), lengths)
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum())), lengths
+
+    def learn_each(self, units: list[str]) -> None:
+        self.learn(*self.each(units))
 
     def learn_all(self, units: list[str]) -> None:
         """Remember new units."""
@@ -89,31 +136,52 @@ class UnitMemo:
         """A unit as it stands in the text, behind another."""
         return f" {unit}" if self.blanks_matter and unit[:1] != "\n" else unit
 
-    def split(self, text: str) -> list[str]:
-        if not self.blanks_matter:
-            return text.replace("\n", " ").split(" ")
-        return text.replace("\n", " \n").split(" ")
+    def spaced(self, text: str) -> str:
+        """A text with its units between blanks."""
+        return text.replace("\n", " \n" if self.blanks_matter else " ")
+
+    def numbered(self, texts: list[str]) -> tuple[list[str], list[np.ndarray]]:
+        """The first units of spaced texts, if they count apart, and the numbers of the others, each looked up once."""
+        units = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        bounds, flat, firsts = units.offsets.to_numpy(), units.values, []
+        if self.blanks_matter:  # nothing stands before the first unit, so it is not remembered
+            firsts = flat.take(pa.array(bounds[:-1])).to_pylist()
+            others = np.ones(len(flat), bool)
+            others[bounds[:-1]] = False
+            flat, bounds = flat.filter(pa.array(others)), bounds - np.arange(len(bounds))
+        found = flat.dictionary_encode()
+        different = found.dictionary.to_pylist()
+        numbers = np.fromiter(map(self.known.__getitem__, different), np.int64, len(different))
+        return firsts, np.split(numbers[found.indices.to_numpy()], bounds[1:-1])
 
     def stands_alone(self, unit: str) -> bool:
         if not self.blanks_matter:
             return BETWEEN not in unit
         return unit[-1:].strip() != "" and len(unit.split()) == 1 and (unit[0] == "\n" or not unit[0].isspace())
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) > MOST_UNITS or self.chars > MOST_CHARS:
-            self.forget()
-        number = self.known.__getitem__
-        firsts, at = [], []
-        for text in texts:
-            units = self.split(text)
-            if self.blanks_matter:  # nothing stands before the first unit, so it is not remembered
-                firsts.append(units.pop(0))
-            at.append(np.fromiter(map(number, units), np.int64, len(units)))
+    def cut_wrong(self, at: list[np.ndarray]) -> list[int]:
+        """Of texts by their units' numbers, those whose marks must not be cut off."""
+        return []
+
+    def learn_new(self) -> None:
         new, self.known.new = self.known.new, []
         self.chars += sum(map(len, new))
-        odd = {u for u in new if not self.stands_alone(u)}
+        odd = {u for u in new if not (self.letters_alone and u.isalpha()) and not self.stands_alone(u)}
         self.odd.update(self.known[u] for u in odd)
         self.learn_all(["" if u in odd else u for u in new] if odd else new)
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if len(self.known) > MOST_UNITS or self.chars > MOST_CHARS:
+            self.forget()
+        if not texts:
+            return []
+        firsts, at = self.numbered([self.spaced(x) for x in texts])
+        self.learn_new()
+        again = self.cut_wrong(at)
+        if again:
+            for i, units in zip(again, self.numbered([UnitMemo.spaced(self, texts[i]) for i in again])[1], strict=True):
+                at[i] = units
+            self.learn_new()
         whole = [bool(self.odd) and not self.odd.isdisjoint(x.tolist()) for x in at]
         if not self.blanks_matter:
             return [self.whole(x) if w else self.joined(s) for x, s, w in zip(texts, at, whole, strict=True)]
@@ -136,8 +204,9 @@ class UnitEncoder(UnitMemo):
 
     def __init__(self, path: str, blanks_matter: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
+        self.word_end = "" if blanks_matter else word_end(path)
         super().__init__(blanks_matter)
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [x.content.lower() for x in self.tokenizer.get_added_tokens_decoder().values()]
@@ -147,6 +216,40 @@ class UnitEncoder(UnitMemo):
         opens = opens or self.encode_each([BETWEEN])[0]
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
         self.opens[opens] = True
+        self.letters_alone = bool(self.word_end)
+        if self.word_end:
+            self.ends = np.zeros(len(self.opens), bool)
+            self.ends[[i for t, i in vocabulary.items() if t.endswith(self.word_end)]] = True
+            self.letters = Tokenizer(self.tokenizer.model)
+            self.letters.pre_tokenizer = pre_tokenizers.Sequence([
+                pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False),
+            ])
+
+    def forget(self) -> None:
+        super().forget()
+        self.cut = np.zeros(1 << 12, bool)  # whether a mark behind the unit of a number is a word of its own
+        if self.word_end:
+            self.marks = [self.known[x] for x in MARKS]
+
+    def spaced(self, text: str) -> str:
+        text = super().spaced(text)
+        if not self.word_end:
+            return text
+        for mark in MARKS:
+            text = text.replace(f"{mark} ", f" {mark} ")
+        return text.lower() if is_latin(text) else text
+
+    def cut_wrong(self, at: list[np.ndarray]) -> list[int]:
+        if not self.word_end:
+            return []
+        wrong = []
+        for i, units in enumerate(at):
+            marks = units <= max(self.marks)  # numbered first
+            if marks.any():
+                before = np.flatnonzero(marks) - 1
+                if before[0] < 0 or not self.cut[units[before]].all():
+                    wrong.append(i)
+        return wrong
 
     def encode_each(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -161,6 +264,35 @@ class UnitEncoder(UnitMemo):
         return [self.whole(x) for x in texts]  # one may reach over several units
 
     def learn_all(self, units: list[str]) -> None:
+        if not self.word_end:
+            self.learn(*self.together(units))
+            return
+        while len(self.cut) < self.learned + len(units):
+            self.cut = np.concatenate([self.cut, np.zeros_like(self.cut)])
+        plain = np.fromiter((u.isalpha() for u in units), bool, len(units))
+        letters = [u for u, p in zip(units, plain.tolist(), strict=True) if p]
+        if not is_latin("".join(letters)):
+            plain = np.fromiter((u.isalpha() and is_latin(u) for u in units), bool, len(units))
+            letters = [u for u, p in zip(units, plain.tolist(), strict=True) if p]
+        others = [u for u, p in zip(units, plain.tolist(), strict=True) if not p]
+        ends = np.fromiter((is_latin(u) and (u[-1:].isalpha() or "0" <= u[-1:] <= "9") for u in others), bool, len(others))
+        spot = self.learned + np.arange(len(units))
+        self.cut[spot] = plain
+        self.cut[spot[~plain]] = ends
+        found = [self.of_letters(letters), self.together(others)]
+        ids, lengths = (np.concatenate([x[i] for x in found]) for i in (0, 1))
+        order = np.argsort(np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)]))
+        starts = np.cumsum(lengths) - lengths
+        self.learn(gather(ids, starts[order], lengths[order]), lengths[order])
+
+    def of_letters(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words of Latin-1 letters, and how many each has."""
+        text = " ".join(units).lower()
+        ids = self.letters.encode_batch_fast([text], add_special_tokens=False)[0].ids if units else []
+        ids = np.array(ids, np.uint32)
+        return ids, np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
+
+    def together(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """One call for all units: their ids are cut apart where an id opens a unit, or stands between two."""
         if self.blanks_matter:
             text = "".join([u if u[:1] == "\n" else f" {u}" for u in units])
@@ -170,12 +302,9 @@ class UnitEncoder(UnitMemo):
         opens = self.opens[ids]
         at = np.flatnonzero(opens)
         if not units or len(at) != len(units) or at[0]:
-            super().learn_all(units)
-            return
+            return self.each(units)
         lengths = np.diff(at, append=len(ids))
-        if not self.blanks_matter:
-            ids, lengths = ids[~opens], lengths - 1
-        self.learn(ids, lengths)
+        return (ids, lengths) if self.blanks_matter else (ids[~opens], lengths - 1)
 
 
 @lru_cache(maxsize=2)

@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -213,6 +214,32 @@ def test_units_encode_like_whole_texts(path, blanks):
     assert [x.tolist() for x in encoder.encode(texts)] == whole
 
 
+def test_words_of_any_case_and_before_marks_are_one_unit():
+    encoder = UnitEncoder(WORD_BPE, False)
+    raw = lambda x: encoder.tokenizer.encode(x, add_special_tokens=False).ids
+    texts = ["Word word, WORD. word, and ÉTÉ. été\nWord", "é. É, a"]
+    assert [x.tolist() for x in encoder.encode(texts)] == [raw(x) for x in texts]
+    assert set(encoder.known) == {",", ".", "word", "and", "été", "é", "a"}
+    # marks that are not words of their own, text that lower case or composing changes, special tokens
+    odd = [",", ", ", " , a", "a , b", "a., b", "a. , b", "a!, b", "2, b", "². b", "ª, b", ".,", "it's, 'S. 'tis",
+           "H\u0331, E\u0301. e\u0301, İ. ΑΣ, Ÿ. ﬁ, ٣. 中, 😀. x", "<|endoftext|>, a", "<|ENDOFTEXT|>. A", "a\t, b\x85. c\xa0, d"]
+    assert [x.tolist() for x in encoder.encode(odd)] == [raw(x) for x in odd]
+    assert not UnitEncoder(BYTE_BPE, True).word_end and encoder.encode([]) == []
+
+
+def test_words_are_not_cut_for_other_rules(tmp_path):
+    import json
+
+    rules = json.loads(Path(WORD_BPE).read_text(encoding="utf-8"))
+    rules["normalizer"]["normalizers"].pop()  # no lower case
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(rules), encoding="utf-8")
+    encoder = UnitEncoder(str(path), False)
+    texts = ["Word word, WORD. a!, b", "a., É. é"]
+    want = [encoder.tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
+    assert not encoder.word_end and [x.tolist() for x in encoder.encode(texts)] == want
+
+
 @pytest.mark.parametrize("path,blanks", [(WORD_BPE, False), (BYTE_BPE, True)])
 def test_special_tokens_are_encoded_as_the_library_does(path, blanks):
     from tokenizers import Tokenizer
