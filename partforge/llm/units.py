@@ -24,6 +24,7 @@ import pyarrow.compute as pc
 
 MOST_UNITS = 800_000
 MOST_CHARS = 32_000_000  # of the remembered units together
+TOGETHER = 1 << 16  # units of texts whose ids are put together at once
 BLANK_BYTES = "ĠĊ"  # fixed: how a byte-level vocabulary writes a blank and a line break
 BETWEEN = "\0"
 
@@ -184,7 +185,7 @@ class UnitMemo:
             self.learn_new()
         whole = [bool(self.odd) and not self.odd.isdisjoint(x.tolist()) for x in at]
         if not self.blanks_matter:
-            return [self.whole(x) if w else self.joined(s) for x, s, w in zip(texts, at, whole, strict=True)]
+            return [self.whole(x) if w else s for x, s, w in zip(texts, self.joined_each(at), whole, strict=True)]
         whole = [w or not self.stands_alone(x) for w, x in zip(whole, firsts, strict=True)]
         heads = self.encode_each(firsts)
         return [
@@ -195,6 +196,20 @@ class UnitMemo:
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.encode_each([text])[0], np.uint32)
 
+    def joined_each(self, at: list[np.ndarray]) -> list[np.ndarray]:
+        """Those of every text, short ones together."""
+        found, held, size = [], [], 0
+        for i, units in enumerate(at):
+            held.append(units)
+            size += len(units)
+            if size >= TOGETHER or i == len(at) - 1:
+                flat = np.concatenate(held)
+                before = np.append(0, np.cumsum(self.starts[flat + 1] - self.starts[flat]))
+                ids, ends = self.joined(flat), np.cumsum([len(x) for x in held])
+                found += np.split(ids, before[ends[:-1]])
+                held, size = [], 0
+        return found
+
     def joined(self, at: np.ndarray) -> np.ndarray:
         return gather(self.ids, self.starts[at], self.starts[at + 1] - self.starts[at])
 
@@ -242,14 +257,12 @@ class UnitEncoder(UnitMemo):
     def cut_wrong(self, at: list[np.ndarray]) -> list[int]:
         if not self.word_end:
             return []
-        wrong = []
-        for i, units in enumerate(at):
-            marks = units <= max(self.marks)  # numbered first
-            if marks.any():
-                before = np.flatnonzero(marks) - 1
-                if before[0] < 0 or not self.cut[units[before]].all():
-                    wrong.append(i)
-        return wrong
+        flat, sizes = np.concatenate(at), np.array([len(x) for x in at])
+        ends = np.cumsum(sizes)
+        spots = np.flatnonzero(flat <= max(self.marks))  # numbered first
+        texts = np.searchsorted(ends, spots, "right")
+        alone = ~self.cut[flat[spots - 1]] | (spots == (ends - sizes)[texts])
+        return np.unique(texts[alone]).tolist()
 
     def encode_each(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
