@@ -36,6 +36,7 @@ from partforge.llm.units import unit_encoder
 MAGIC = b"PFRC"
 BLOCK_IDS = 1 << 20
 MOST_LANES = 4096
+SHORT = 4096  # bytes a row, on average, up to which more rows are encoded at once
 STEPS = 192  # the least steps a block's lanes should have, for the model to learn
 SCALE = 16  # bits of the total frequency of order 0
 MIX = 12  # bits of the total frequency of the mixer
@@ -295,10 +296,11 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end: int, vocabulary:
         encoder = unit_encoder(tokenizer, False)
 
         def documents():
-            for batch in slices(batches):
-                texts = [x or "" for x in batch.column(1).to_pylist()]
-                for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(texts), strict=True):
-                    yield doc_id, np.append(ids, np.uint32(end))
+            for whole in batches:
+                for batch in slices([whole], 1024 if whole.nbytes <= SHORT * whole.num_rows else 256):
+                    texts = [x or "" for x in batch.column(1).to_pylist()]
+                    for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(texts), strict=True):
+                        yield doc_id, np.append(ids, np.uint32(end))
 
         yield from frames(TaskContext.get().partitionId(), documents(), vocabulary, target)
 

@@ -16,7 +16,7 @@ from __future__ import annotations
 import json
 import os
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, compress, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -167,7 +167,7 @@ class UnitMemo:
     def learn_new(self) -> None:
         new, self.known.new = self.known.new, []
         self.chars += sum(map(len, new))
-        odd = {u for u in new if not (self.letters_alone and u.isalpha()) and not self.stands_alone(u)}
+        odd = {u for u in (filterfalse(str.isalpha, new) if self.letters_alone else new) if not self.stands_alone(u)}
         self.odd.update(self.known[u] for u in odd)
         self.learn_all(["" if u in odd else u for u in new] if odd else new)
 
@@ -282,12 +282,12 @@ class UnitEncoder(UnitMemo):
             return
         while len(self.cut) < self.learned + len(units):
             self.cut = np.concatenate([self.cut, np.zeros_like(self.cut)])
-        plain = np.fromiter((u.isalpha() for u in units), bool, len(units))
-        letters = [u for u, p in zip(units, plain.tolist(), strict=True) if p]
+        plain = np.fromiter(map(str.isalpha, units), bool, len(units))
+        letters = list(compress(units, plain.tolist()))
         if not is_latin("".join(letters)):
             plain = np.fromiter((u.isalpha() and is_latin(u) for u in units), bool, len(units))
-            letters = [u for u, p in zip(units, plain.tolist(), strict=True) if p]
-        others = [u for u, p in zip(units, plain.tolist(), strict=True) if not p]
+            letters = list(compress(units, plain.tolist()))
+        others = list(compress(units, (~plain).tolist()))
         ends = np.fromiter((is_latin(u) and (u[-1:].isalpha() or "0" <= u[-1:] <= "9") for u in others), bool, len(others))
         spot = self.learned + np.arange(len(units))
         self.cut[spot] = plain
