@@ -51,8 +51,10 @@ from partforge.llm.exact_dedup import maybe_in
 from partforge.llm.staging import free_name, slices, staged
 from partforge.operators.ordering import running_totals
 
-GROUPS = [(1 << 10, 64), (1 << 13, 256), (1 << 62, 1024)]  # coordinates of a point in a node, for sets below a size
-FINE_GROUPS = 256  # coordinates of a point in a part
+# Coordinates of a point in a node, for sets below a size: with many shingles to a coordinate any two sets seem alike.
+# The sizes lie below powers of two, so that sets of a band and their partners from the band before have as many.
+GROUPS = [(768, 64), (1536, 256), (6144, 1024), (1 << 62, 4096)]
+FINE_GROUPS, FINEST = 256, 1024  # coordinates of a point in a part, for small and for large sets
 NODE_MOST = 4096  # classes in a node that are held at once
 BLOCK_SHINGLES = 1 << 20  # shingles in a block of a part
 LEAST_WEIGHT = 128  # what a class counts at least, for its point
@@ -337,7 +339,8 @@ def verified_links(parts: DataFrame, num: int, den: int) -> DataFrame:
             if len(names) < 2:
                 return
             sizes = np.array([len(x) for x in sets])
-            points = np.stack([counts(x, FINE_GROUPS) for x in sets])
+            groups = min(FINEST, max(FINE_GROUPS, 1 << int(sizes.max() >> 3).bit_length()))
+            points = np.stack([counts(x, groups) for x in sets])
             found = forest(points, sizes, num, den, lambda i, j: similar(sets[i], sets[j]), np.array(joined, np.int64))
             edges.extend((names[i], names[j]) for i, j in found)
 
@@ -468,7 +471,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     early = links(met.where(F.col("key").bitwiseAND(F.lit(EARLY - 1)) == 0))
     known = connected_components(early).groupBy(set_of(F.col("node")).alias("set")).agg(F.min("label").alias("label"))
     named = met.join(known, "set", "left").withColumn("label", F.coalesce("label", F.col("set").cast("string")))
-    late = links(meeting(named, "label").select("key", "set"))
+    late = links(staged(meeting(named, "label").select("key", "set"), "late"))
     coarse = connected_components(early.unionByName(late))
 
     # the sets of the classes that may be similar to another

@@ -375,3 +375,14 @@ def test_remembered_units_are_bounded_by_their_length(monkeypatch):
     for i in range(20):
         ngram_join.shingles(f"{i}" + "z" * 300, 1)
     assert ngram_join.word_hashes().size <= 1600
+
+
+@pytest.mark.parametrize("size", [1100, 4000, 8100, 20_000])
+def test_unrelated_large_sets_are_no_candidates(size):
+    from partforge.llm import ngram_join
+
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 1 << 63, n).astype("u8")) for n in [size] * 10 + [int(size * 0.9)] * 10]
+    sets.append(np.unique(np.concatenate([sets[0][: -size // 50], rng.integers(0, 1 << 63, 5).astype("u8")])))
+    points = ngram_join.vectors([ngram_join.stored(x) for x in sets])
+    assert ngram_join.forest(points, np.array([len(x) for x in sets]), 80, 100) == [(0, 20)]
