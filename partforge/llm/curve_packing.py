@@ -16,12 +16,13 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from partforge.llm.staging import slices, staged
+from partforge.llm.staging import by_size, slices, staged
 from partforge.llm.units import unit_encoder
 
 HASHED = 64
@@ -119,7 +120,7 @@ def pack(docs: DataFrame, tokenizer: str, end: int, size: int = 1024, with_ids:
 
     def keyed(batches):
         encoder = unit_encoder(tokenizer, True)
-        for batch in slices(batches):
+        for batch in chain.from_iterable(map(by_size, batches)):
             ids = [np.append(x, np.uint32(end)) for x in encoder.encode([x or "" for x in batch.column(1).to_pylist()])]
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array(curve_keys(ids)), pa.array(list(map(written, ids)), pa.binary()),

@@ -30,17 +30,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from partforge.llm.staging import slices
+from partforge.llm.staging import by_size, slices
 from partforge.llm.units import unit_encoder
 
 MAGIC = b"PFRC"
 BLOCK_IDS = 1 << 20
 MOST_LANES = 4096
-SHORT = 4096  # bytes a row, on average, up to which more rows are encoded at once
 STEPS = 192  # the least steps a block's lanes should have, for the model to learn
 SCALE = 16  # bits of the total frequency of order 0
 MIX = 12  # bits of the total frequency of the mixer
-CONFIDENCE = 8
+SURE = 3
+CONFIDENCE = 1 << SURE
+#: The next confidence: that of a wrong prediction is halved, that of a right one, CONFIDENCE further on, grows.
+NEXT = np.array([c >> 1 for c in range(CONFIDENCE)] + [min(c + 1, CONFIDENCE - 1) for c in range(CONFIDENCE)], np.int32)
 HASHES = 1 << 18
 REBUILD = 32  # steps between two rebuilds of order 0
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -56,10 +58,8 @@ class Mixer:
 
     def __init__(self, lanes: int, vocabulary: int):
         self.vocabulary = vocabulary
-        self.one = np.zeros(vocabulary, np.int32)
-        self.one_sure = np.zeros(vocabulary, np.int8)
+        self.one = np.zeros(vocabulary, np.int32)  # of a context, the id predicted times CONFIDENCE and the confidence
         self.two = np.zeros(HASHES, np.int32)
-        self.two_sure = np.zeros(HASHES, np.int8)
         self.kinds = np.ones((2 * CONFIDENCE * CONFIDENCE, 3), np.int64)
         self.zero = np.ones(vocabulary, np.int64)
         self.last = np.zeros(lanes, np.int64)
@@ -79,8 +79,9 @@ class Mixer:
     def look(self) -> None:
         """The predictions and frequencies for the next id of every lane."""
         self.slot = (self.last * 0x9E3779B1 + self.before * 0x85EBCA6B >> 7) & (HASHES - 1)
-        self.p2, self.p1 = self.two.take(self.slot), self.one.take(self.last)
-        self.trust2, self.trust1 = self.two_sure.take(self.slot), self.one_sure.take(self.last)
+        two, one = self.two.take(self.slot), self.one.take(self.last)
+        self.trust2, self.trust1 = two & CONFIDENCE - 1, one & CONFIDENCE - 1
+        self.p2, self.p1 = two >> SURE, one >> SURE
         same = self.p1 == self.p2
         self.state = (self.trust2 * CONFIDENCE + self.trust1).astype(np.int64) * 2 + same
         bounds = np.cumsum(self.kinds, axis=1)
@@ -91,17 +92,16 @@ class Mixer:
     def kind_of(self, ids: np.ndarray) -> np.ndarray:
         return np.where(ids == self.p2, 0, np.where(ids == self.p1, 1, 2))
 
-    def learn(self, ids: np.ndarray, kind: np.ndarray) -> None:
-        """Take in the next id of every lane."""
+    def learn(self, ids: np.ndarray, kind: np.ndarray, rare: np.ndarray) -> None:
+        """Take in the next id of every lane, `rare` being those that no order predicted."""
         self.kinds += np.bincount(self.state * 3 + kind, minlength=self.kinds.size).reshape(self.kinds.shape)
-        for table, sure, at, said, trust in (
-            (self.two, self.two_sure, self.slot, self.p2, self.trust2),
-            (self.one, self.one_sure, self.last, self.p1, self.trust1),
+        for table, at, said, trust in (
+            (self.two, self.slot, self.p2, self.trust2),
+            (self.one, self.last, self.p1, self.trust1),
         ):
-            hit = ids == said
-            table[at] = np.where(trust > 1, said, ids)
-            sure[at] = np.where(hit, np.minimum(trust + 1, CONFIDENCE - 1), trust >> 1)
-        self.unseen.append(ids[kind == 2])
+            sure = NEXT.take(trust + (ids == said).view(np.int8) * CONFIDENCE)
+            table[at] = np.where(trust > 1, said, ids) << SURE | sure
+        self.unseen.append(rare)
         self.before, self.last = self.last, ids.astype(np.int64)
         self.step += 1
         if self.step % REBUILD == 0 or self.step & (self.step - 1) == 0:
@@ -125,7 +125,17 @@ class Coder:
 
     def settle(self) -> None:
         """Move digits out until every interval is wide; one that spans a border of digits is cut off there."""
-        lanes, low, span = np.arange(len(self.low)), self.low, self.range
+        low, span = self.low, self.range
+        settled = (low ^ (low + span - ONE)) < TOP
+        move = settled | (span < FLOOR)
+        lanes = np.flatnonzero(move)
+        if np.count_nonzero(settled) < len(lanes):
+            span[:] = np.where(settled | ~move, span, np.minimum(span, FLOOR - (low & (FLOOR - ONE))))
+        self.move(lanes, low[lanes])
+        digits = move.astype(np.uint64) * DIGIT
+        low <<= digits
+        span <<= digits
+        low, span = low[lanes], span[lanes]
         while True:
             settled = (low ^ (low + span - ONE)) < TOP
             move = np.flatnonzero(settled | (span < FLOOR))
@@ -191,7 +201,7 @@ def encode_block(ids: np.ndarray, vocabulary: int) -> bytes:
         raise ValueError(f"ids must be below the vocabulary of {vocabulary}, and that at most {1 << SCALE}")
     lanes, steps = shape(n)
     # lane j has the ids from j * steps on: neighbours in a lane are neighbours in the text
-    grid = np.zeros(lanes * steps, np.int64)
+    grid = np.zeros(lanes * steps, np.int32)
     grid[:n] = ids
     grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
     mixer, writer = Mixer(lanes, vocabulary), Writer(lanes, 4 * steps + 8)
@@ -203,12 +213,12 @@ def encode_block(ids: np.ndarray, vocabulary: int) -> bytes:
         start = mixer.edges.take(spot)
         writer.narrow(slice(None), start, mixer.edges.take(spot + 1) - start, MIX)
         other = np.flatnonzero(kind == 2)
+        rare = now[other]
         if len(other):
-            rare = now[other]
             start = mixer.cumulative.take(rare)
             writer.narrow(other, start, mixer.cumulative.take(rare + 1) - start, SCALE)
         writer.settle()
-        mixer.learn(now, kind)
+        mixer.learn(now, kind, rare)
     digits, counts = writer.finish()
     head = struct.pack("<4sIIII", MAGIC, n, lanes, vocabulary, zlib.crc32(ids.astype("<u4").tobytes()))
     return head + counts.astype("<u4").tobytes() + digits.astype("<u2").tobytes()
@@ -246,7 +256,7 @@ def decoded_block(block: bytes) -> np.ndarray:
             now[other] = found
         reader.settle()
         grid[t] = now
-        mixer.learn(now, kind)
+        mixer.learn(now, kind, now[other])
     ids = grid.T.reshape(-1)[:n]
     if zlib.crc32(ids.astype("<u4").tobytes()) != crc:
         raise ValueError("a block of token ids does not match its checksum")
@@ -297,7 +307,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end: int, vocabulary:
 
         def documents():
             for whole in batches:
-                for batch in slices([whole], 1024 if whole.nbytes <= SHORT * whole.num_rows else 256):
+                for batch in by_size(whole):
                     texts = [x or "" for x in batch.column(1).to_pylist()]
                     for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(texts), strict=True):
                         yield doc_id, np.append(ids, np.uint32(end))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from partforge.session import shared_folder
 
+SHORT = 4096  # bytes a row, on average, up to which more rows are worked on at once
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -36,6 +37,11 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
             yield batch.slice(start, rows)
 
 
+def by_size(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch, of more rows if these are short."""
+    return slices([batch], 1024 if batch.nbytes <= SHORT * batch.num_rows else 256)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A name that no column of `df` begins with."""
     while any(c.lower().startswith(name.lower()) for c in df.columns):

@@ -9,12 +9,16 @@ that hold the string of a special token, which the library cuts out before it sp
 A tokenizer that lower-cases and keeps runs of letters apart from all else (`LETTERS_APART`) needs fewer units: texts
 of Latin-1 are lower-cased first, a comma or full stop behind a letter or digit is a unit of its own, and new
 units of letters alone go to the library's model without the rules that would leave them as they are.
+With these rules and with the plain byte-level ones, new units of ASCII letters and the signs behind them go to that
+model as their two words.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
+from array import array
 from functools import lru_cache
 from itertools import chain, compress, filterfalse
 
@@ -40,6 +44,24 @@ LETTERS_APART = [
     {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
 ]
 MARKS = (",", ".")
+WORD = re.compile(r"([A-Za-z]+)([!-&(-/:-@\[-`{-~]+)")  # no apostrophe: letters behind one may belong to it
+ALONE = re.compile(r"\n?\S+")
+PLAIN_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+
+
+def merges_only(model: dict) -> bool:
+    """Whether the model of a file does nothing but merge."""
+    odd = ("dropout", "unk_token", "continuing_subword_prefix", "ignore_merges")
+    return model["type"] == "BPE" and not any(model.get(k) for k in odd)
+
+
+def plain_bytes(path: str) -> bool:
+    """Whether a file has the plain byte-level rules and nothing else."""
+    with open(path, encoding="utf-8") as file:
+        rules = json.load(file)
+    model = rules["model"]
+    plain = merges_only(model) and not model.get("end_of_word_suffix")
+    return plain and rules["normalizer"] is None and rules["pre_tokenizer"] == PLAIN_BYTES
 
 
 def word_end(path: str) -> str:
@@ -47,7 +69,7 @@ def word_end(path: str) -> str:
     with open(path, encoding="utf-8") as file:
         rules = json.load(file)
     model = rules["model"]
-    plain = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "ignore_merges"))
+    plain = merges_only(model)
     split = (rules["pre_tokenizer"] or {}).get("pretokenizers") == LETTERS_APART
     added = all(not x["content"].isalpha() and not set(MARKS) & set(x["content"]) for x in rules["added_tokens"])
     lowered = (rules["normalizer"] or {}).get("normalizers") == LOWERED
@@ -72,6 +94,17 @@ def gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nd
     return values[shift + np.arange(ends[-1])]
 
 
+Ids = tuple[np.ndarray, np.ndarray]
+
+
+def in_place(first: np.ndarray, one: Ids, two: Ids) -> Ids:
+    """Ids and lengths of units, those in `first` from `one` and the others from `two`."""
+    ids, lengths = (np.concatenate([one[i], two[i]]) for i in (0, 1))
+    order = np.argsort(np.concatenate([np.flatnonzero(first), np.flatnonzero(~first)]))
+    starts = np.cumsum(lengths) - lengths
+    return gather(ids, starts[order], lengths[order]), lengths[order]
+
+
 class Numbers(dict):
     """Numbers units as they are first met."""
 
@@ -160,6 +193,10 @@ class UnitMemo:
             return BETWEEN not in unit
         return unit[-1:].strip() != "" and len(unit.split()) == 1 and (unit[0] == "\n" or not unit[0].isspace())
 
+    def not_alone(self, units: list[str]) -> list[str]:
+        """Those of the units that do not stand alone."""
+        return [u for u in units if not self.stands_alone(u)]
+
     def cut_wrong(self, at: list[np.ndarray]) -> list[int]:
         """Of texts by their units' numbers, those whose marks must not be cut off."""
         return []
@@ -167,7 +204,7 @@ class UnitMemo:
     def learn_new(self) -> None:
         new, self.known.new = self.known.new, []
         self.chars += sum(map(len, new))
-        odd = {u for u in (filterfalse(str.isalpha, new) if self.letters_alone else new) if not self.stands_alone(u)}
+        odd = set(self.not_alone(list(filterfalse(str.isalpha, new)) if self.letters_alone else new))
         self.odd.update(self.known[u] for u in odd)
         self.learn_all(["" if u in odd else u for u in new] if odd else new)
 
@@ -231,7 +268,10 @@ class UnitEncoder(UnitMemo):
         opens = opens or self.encode_each([BETWEEN])[0]
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
         self.opens[opens] = True
-        self.letters_alone = bool(self.word_end)
+        self.words_apart = bool(self.word_end) or (blanks_matter and plain_bytes(path))
+        self.model = self.tokenizer.model
+        signs = all(any(c.isascii() and not c.isalpha() for c in x) for x in self.added)
+        self.letters_alone = bool(self.word_end) or (self.words_apart and signs)
         if self.word_end:
             self.ends = np.zeros(len(self.opens), bool)
             self.ends[[i for t, i in vocabulary.items() if t.endswith(self.word_end)]] = True
@@ -242,6 +282,7 @@ class UnitEncoder(UnitMemo):
 
     def forget(self) -> None:
         super().forget()
+        self.signs: dict[str, list[int]] = {}
         self.cut = np.zeros(1 << 12, bool)  # whether a mark behind the unit of a number is a word of its own
         if self.word_end:
             self.marks = [self.known[x] for x in MARKS]
@@ -271,32 +312,75 @@ class UnitEncoder(UnitMemo):
         lower = unit.lower()  # one may be looked for in lower-cased text
         return not any(x in lower for x in self.added) and super().stands_alone(unit)
 
+    def not_alone(self, units: list[str]) -> list[str]:
+        if not self.blanks_matter:
+            return super().not_alone(units)
+        lower = BETWEEN.join(units).lower()
+        if any(x in lower for x in self.added):
+            return super().not_alone(units)
+        return super().not_alone([u for u in units if not ALONE.fullmatch(u)])
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.added_blank:
             return super().encode(texts)
         return [self.whole(x) for x in texts]  # one may reach over several units
 
     def learn_all(self, units: list[str]) -> None:
-        if not self.word_end:
+        if not self.words_apart:
             self.learn(*self.together(units))
             return
-        while len(self.cut) < self.learned + len(units):
-            self.cut = np.concatenate([self.cut, np.zeros_like(self.cut)])
+        held, ends, rest = array("I"), array("q"), []  # no list a word, which the garbage collector would look through
+        for unit in units:
+            ids = self.of_word(unit)
+            if ids is None:
+                rest.append(unit)
+                ends.append(-1)
+            else:
+                held.extend(ids)
+                ends.append(len(held))
+        ends, ids = np.array(ends, np.int64), np.array(held, np.uint32)
+        known = ends >= 0
+        sizes = np.diff(ends[known], prepend=0)
+        if self.word_end:
+            while len(self.cut) < self.learned + len(units):
+                self.cut = np.concatenate([self.cut, np.zeros_like(self.cut)])
+            spot = self.learned + np.arange(len(units))
+            self.cut[spot[known]] = np.fromiter(map(str.isalpha, compress(units, known.tolist())), bool, len(sizes))
+            others, self.cut[spot[~known]] = self.of_others(rest)
+        else:
+            others = self.together(rest)
+        self.learn(*in_place(known, (ids, sizes), others))
+
+    def of_word(self, unit: str) -> list[int] | None:
+        """The ids of ASCII letters and the signs behind them, if a unit is that."""
+        if unit.isascii() and unit.isalpha():
+            return self.of_run(unit)
+        found = WORD.fullmatch(unit)
+        if not found:
+            return None
+        letters, signs = found.groups()
+        if signs not in self.signs:
+            if len(self.signs) > 1 << 12:
+                self.signs.clear()
+            self.signs[signs] = [x.id for x in self.model.tokenize(signs)]
+        return self.of_run(letters) + self.signs[signs]
+
+    def of_run(self, letters: str) -> list[int]:
+        """The ids of a word of ASCII letters."""
+        word = letters.lower() if self.word_end else f"{BLANK_BYTES[0]}{letters}"
+        return [x.id for x in self.model.tokenize(word)]
+
+    def of_others(self, units: list[str]) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
+        """The ids of units, how many each has, and whether a mark behind it is a word of its own."""
         plain = np.fromiter(map(str.isalpha, units), bool, len(units))
         letters = list(compress(units, plain.tolist()))
         if not is_latin("".join(letters)):
             plain = np.fromiter((u.isalpha() and is_latin(u) for u in units), bool, len(units))
             letters = list(compress(units, plain.tolist()))
         others = list(compress(units, (~plain).tolist()))
-        ends = np.fromiter((is_latin(u) and (u[-1:].isalpha() or "0" <= u[-1:] <= "9") for u in others), bool, len(others))
-        spot = self.learned + np.arange(len(units))
-        self.cut[spot] = plain
-        self.cut[spot[~plain]] = ends
-        found = [self.of_letters(letters), self.together(others)]
-        ids, lengths = (np.concatenate([x[i] for x in found]) for i in (0, 1))
-        order = np.argsort(np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)]))
-        starts = np.cumsum(lengths) - lengths
-        self.learn(gather(ids, starts[order], lengths[order]), lengths[order])
+        cut = plain.copy()
+        cut[~plain] = [is_latin(u) and (u[-1:].isalpha() or "0" <= u[-1:] <= "9") for u in others]
+        return in_place(plain, self.of_letters(letters), self.together(others)), cut
 
     def of_letters(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of words of Latin-1 letters, and how many each has."""

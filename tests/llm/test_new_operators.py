@@ -386,3 +386,30 @@ def test_unrelated_large_sets_are_no_candidates(size):
     sets.append(np.unique(np.concatenate([sets[0][: -size // 50], rng.integers(0, 1 << 63, 5).astype("u8")])))
     points = ngram_join.vectors([ngram_join.stored(x) for x in sets])
     assert ngram_join.forest(points, np.array([len(x) for x in sets]), 80, 100) == [(0, 20)]
+
+
+@pytest.mark.parametrize("name,blanks", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_words_with_signs_go_to_the_model(monkeypatch, name, blanks):
+    import public_tokenizers
+
+    from partforge.llm import units
+
+    encoder = units.UnitEncoder(public_tokenizers.path(name), blanks)
+    texts = ["One plain (text), with! signs... and### it's café, 12.", "\nA line_end\n\nand b-c.\n  two  blanks <|endoftext|>",
+             "\n\tfoo 　 bar　baz", ""]
+    seen, whole = [], encoder.together
+    monkeypatch.setattr(encoder, "together", lambda u: seen.extend(u) or whole(u))
+    for _ in range(2):
+        for text, ids in zip(texts, encoder.encode(texts), strict=True):
+            assert ids.tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    assert "it's" in seen and not {"plain", "with!", "signs...", "and###"} & set(seen)
+
+
+def test_more_short_rows_are_worked_on_at_once():
+    import pyarrow as pa
+
+    from partforge.llm.staging import by_size
+
+    short, long = (pa.RecordBatch.from_pydict({"text": [x] * 1100}) for x in ("a", "a" * 5000))
+    assert [b.num_rows for b in by_size(short)] == [1024, 76]
+    assert [b.num_rows for b in by_size(long)][:2] == [256, 256]
