@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from partforge.session import shared_folder
 
 SHORT = 4096  # bytes a row, on average, up to which more rows are worked on at once
+TOGETHER = 1 << 23  # bytes
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -42,6 +43,11 @@ def by_size(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     return slices([batch], 1024 if batch.nbytes <= SHORT * batch.num_rows else 256)
 
 
+def by_bytes(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Even slices of a batch, of about `TOGETHER` bytes, so that values which come again are met once in many rows."""
+    return slices([batch], max(1, -(-batch.num_rows // -(-max(1, batch.nbytes) // TOGETHER))))
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A name that no column of `df` begins with."""
     while any(c.lower().startswith(name.lower()) for c in df.columns):

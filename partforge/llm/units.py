@@ -20,7 +20,7 @@ import os
 import re
 from array import array
 from functools import lru_cache
-from itertools import chain, compress, filterfalse
+from itertools import chain, compress, filterfalse, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +44,7 @@ LETTERS_APART = [
     {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
 ]
 MARKS = (",", ".")
+LOWER = bytes(range(256)).decode("latin-1").lower().replace("\n", " ").encode("latin-1")  # and blanks for line breaks
 WORD = re.compile(r"([A-Za-z]+)([!-&(-/:-@\[-`{-~]+)")  # no apostrophe: letters behind one may belong to it
 ALONE = re.compile(r"\n?\S+")
 PLAIN_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
@@ -90,8 +91,9 @@ def gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nd
     ends = np.cumsum(lengths)
     if not len(ends) or not ends[-1]:
         return values[:0]
-    shift = np.repeat(starts - (ends - lengths), lengths)
-    return values[shift + np.arange(ends[-1])]
+    at = np.repeat(starts - (ends - lengths), lengths)
+    at += np.arange(ends[-1])
+    return values.take(at)
 
 
 Ids = tuple[np.ndarray, np.ndarray]
@@ -117,6 +119,16 @@ class Numbers(dict):
         self.new.append(unit)
         return number
 
+    def numbers(self, units: list[str]) -> np.ndarray:
+        """Those of different units."""
+        found = np.fromiter(map(self.get, units, repeat(-1)), np.int64, len(units))
+        missing = np.flatnonzero(found < 0)
+        new = list(map(units.__getitem__, missing.tolist()))
+        found[missing] = np.arange(len(self), len(self) + len(new))
+        self.update(zip(new, found[missing].tolist(), strict=True))
+        self.new += new
+        return found
+
 
 class UnitMemo:
     """Encodes texts through remembered units, at most `MOST_UNITS` of them.
@@ -174,9 +186,13 @@ class UnitMemo:
         """A text with its units between blanks."""
         return text.replace("\n", " \n" if self.blanks_matter else " ")
 
-    def numbered(self, texts: list[str]) -> tuple[list[str], list[np.ndarray]]:
+    def apart(self, texts: list[str]) -> pa.Array:
+        """Spaced texts, with blanks between all units."""
+        return pa.array(texts, pa.large_string())
+
+    def numbered(self, texts: pa.Array) -> tuple[list[str], list[np.ndarray]]:
         """The first units of spaced texts, if they count apart, and the numbers of the others, each looked up once."""
-        units = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        units = pc.split_pattern(texts, " ")
         bounds, flat, firsts = units.offsets.to_numpy(), units.values, []
         if self.blanks_matter:  # nothing stands before the first unit, so it is not remembered
             firsts = flat.take(pa.array(bounds[:-1])).to_pylist()
@@ -184,9 +200,8 @@ class UnitMemo:
             others[bounds[:-1]] = False
             flat, bounds = flat.filter(pa.array(others)), bounds - np.arange(len(bounds))
         found = flat.dictionary_encode()
-        different = found.dictionary.to_pylist()
-        numbers = np.fromiter(map(self.known.__getitem__, different), np.int64, len(different))
-        return firsts, np.split(numbers[found.indices.to_numpy()], bounds[1:-1])
+        different = found.dictionary.to_numpy(zero_copy_only=False).tolist()  # one object a unit, no scalar before it
+        return firsts, np.split(self.known.numbers(different)[found.indices.to_numpy()], bounds[1:-1])
 
     def stands_alone(self, unit: str) -> bool:
         if not self.blanks_matter:
@@ -213,11 +228,12 @@ class UnitMemo:
             self.forget()
         if not texts:
             return []
-        firsts, at = self.numbered([self.spaced(x) for x in texts])
+        firsts, at = self.numbered(self.apart([self.spaced(x) for x in texts]))
         self.learn_new()
         again = self.cut_wrong(at)
         if again:
-            for i, units in zip(again, self.numbered([UnitMemo.spaced(self, texts[i]) for i in again])[1], strict=True):
+            uncut = UnitMemo.apart(self, [UnitMemo.spaced(self, texts[i]) for i in again])
+            for i, units in zip(again, self.numbered(uncut)[1], strict=True):
                 at[i] = units
             self.learn_new()
         whole = [bool(self.odd) and not self.odd.isdisjoint(x.tolist()) for x in at]
@@ -241,9 +257,10 @@ class UnitMemo:
             size += len(units)
             if size >= TOGETHER or i == len(at) - 1:
                 flat = np.concatenate(held)
-                before = np.append(0, np.cumsum(self.starts[flat + 1] - self.starts[flat]))
-                ids, ends = self.joined(flat), np.cumsum([len(x) for x in held])
-                found += np.split(ids, before[ends[:-1]])
+                starts, ends = self.starts.take(flat), np.cumsum([len(x) for x in held])
+                lengths = self.starts.take(flat + 1) - starts
+                before = np.append(0, np.cumsum(lengths))
+                found += np.split(gather(self.ids, starts, lengths), before[ends[:-1]])
                 held, size = [], 0
         return found
 
@@ -273,12 +290,9 @@ class UnitEncoder(UnitMemo):
         signs = all(any(c.isascii() and not c.isalpha() for c in x) for x in self.added)
         self.letters_alone = bool(self.word_end) or (self.words_apart and signs)
         if self.word_end:
-            self.ends = np.zeros(len(self.opens), bool)
-            self.ends[[i for t, i in vocabulary.items() if t.endswith(self.word_end)]] = True
-            self.letters = Tokenizer(self.tokenizer.model)
-            self.letters.pre_tokenizer = pre_tokenizers.Sequence([
-                pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False),
-            ])
+            as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+            second = {chr(b): as_bytes(bytes([0xC3, b]).decode())[0][0][1] for b in range(0x80, 0xC0)}
+            self.bytes_as = {b: c for b, c in second.items() if b != c}  # how a vocabulary writes them
 
     def forget(self) -> None:
         super().forget()
@@ -288,12 +302,18 @@ class UnitEncoder(UnitMemo):
             self.marks = [self.known[x] for x in MARKS]
 
     def spaced(self, text: str) -> str:
-        text = super().spaced(text)
         if not self.word_end:
-            return text
-        for mark in MARKS:
-            text = text.replace(f"{mark} ", f" {mark} ")
-        return text.lower() if is_latin(text) else text
+            return super().spaced(text)
+        try:
+            return text.encode("latin-1").translate(LOWER).decode("latin-1")
+        except UnicodeEncodeError:
+            return super().spaced(text)
+
+    def apart(self, texts: list[str]) -> pa.Array:
+        spaced = super().apart(texts)
+        for mark in MARKS if self.word_end else ():
+            spaced = pc.replace_substring(spaced, f"{mark} ", f" {mark} ")
+        return spaced
 
     def cut_wrong(self, at: list[np.ndarray]) -> list[int]:
         if not self.word_end:
@@ -329,18 +349,24 @@ class UnitEncoder(UnitMemo):
         if not self.words_apart:
             self.learn(*self.together(units))
             return
-        held, ends, rest = array("I"), array("q"), []  # no list a word, which the garbage collector would look through
+        held, sizes, rest = array("I"), array("q"), []  # no list a word, which the garbage collector would look through
+        tokenize, lead = self.model.tokenize, "" if self.word_end else BLANK_BYTES[0]
         for unit in units:
-            ids = self.of_word(unit)
+            if not unit.isalpha():
+                ids = self.of_word(unit)
+            elif unit.isascii():
+                ids = [x.id for x in tokenize(lead + unit if lead else unit.lower())]
+            else:
+                ids = None
             if ids is None:
                 rest.append(unit)
-                ends.append(-1)
+                sizes.append(-1)
             else:
                 held.extend(ids)
-                ends.append(len(held))
-        ends, ids = np.array(ends, np.int64), np.array(held, np.uint32)
-        known = ends >= 0
-        sizes = np.diff(ends[known], prepend=0)
+                sizes.append(len(ids))
+        sizes, ids = np.array(sizes, np.int64), np.array(held, np.uint32)
+        known = sizes >= 0
+        sizes = sizes[known]
         if self.word_end:
             while len(self.cut) < self.learned + len(units):
                 self.cut = np.concatenate([self.cut, np.zeros_like(self.cut)])
@@ -353,8 +379,6 @@ class UnitEncoder(UnitMemo):
 
     def of_word(self, unit: str) -> list[int] | None:
         """The ids of ASCII letters and the signs behind them, if a unit is that."""
-        if unit.isascii() and unit.isalpha():
-            return self.of_run(unit)
         found = WORD.fullmatch(unit)
         if not found:
             return None
@@ -384,10 +408,15 @@ class UnitEncoder(UnitMemo):
 
     def of_letters(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of words of Latin-1 letters, and how many each has."""
-        text = " ".join(units).lower()
-        ids = self.letters.encode_batch_fast([text], add_special_tokens=False)[0].ids if units else []
-        ids = np.array(ids, np.uint32)
-        return ids, np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
+        words = " ".join(units).lower().encode().decode("latin-1")
+        for byte, char in self.bytes_as.items():
+            words = words.replace(byte, char)
+        held, sizes, tokenize = array("I"), array("q"), self.model.tokenize
+        for word in words.split(" ") if units else []:
+            ids = [x.id for x in tokenize(word)]
+            held.extend(ids)
+            sizes.append(len(ids))
+        return np.array(held, np.uint32), np.array(sizes, np.int64)
 
     def together(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """One call for all units: their ids are cut apart where an id opens a unit, or stands between two."""

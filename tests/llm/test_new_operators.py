@@ -413,3 +413,59 @@ def test_more_short_rows_are_worked_on_at_once():
     short, long = (pa.RecordBatch.from_pydict({"text": [x] * 1100}) for x in ("a", "a" * 5000))
     assert [b.num_rows for b in by_size(short)] == [1024, 76]
     assert [b.num_rows for b in by_size(long)][:2] == [256, 256]
+
+
+def test_new_words_cost_no_python_call_each():
+    import sys
+
+    import public_tokenizers
+
+    from partforge.llm import units
+
+    encoder = units.UnitEncoder(public_tokenizers.path("word_bpe_49k.json"), False)
+    rng = np.random.default_rng(2)
+    words = ["".join(x) for x in rng.choice(list("abcdefgé"), (5000, 9))]
+    calls = []
+    sys.setprofile(lambda frame, event, _: calls.append(frame.f_code.co_name) if event == "call" else None)
+    try:
+        found = encoder.encode([" ".join(words)])[0]
+    finally:
+        sys.setprofile(None)
+    assert len(calls) < len(words)
+    assert found.tolist() == encoder.tokenizer.encode(" ".join(words), add_special_tokens=False).ids
+
+
+def test_coder_divides_only_for_ids_that_no_order_predicts(monkeypatch):
+    from partforge.llm import range_coder
+
+    ids = np.tile(np.arange(50, dtype=np.uint32), 2000)
+    block, looked, target = range_coder.encode_block(ids, 49_408), [], range_coder.Reader.target
+    monkeypatch.setattr(range_coder.Reader, "target", lambda self, lanes, bits: (
+        looked.append(np.arange(len(self.at))[lanes].size), target(self, lanes, bits))[1])
+    assert (range_coder.decode_block(block) == ids).all() and sum(looked) < len(ids) / 2
+
+
+BLOCKS = [(1, 2, 824022581), (700, 300, 1125525822), (70_000, 49_408, 2877683300), (70_000, 65_536, 357353594)]
+
+
+@pytest.mark.parametrize("n,vocabulary,crc", BLOCKS)
+def test_blocks_keep_their_bytes(n, vocabulary, crc):
+    from partforge.llm.range_coder import decode_block, encode_block
+
+    at = np.arange(n, dtype=np.uint64)
+    often, seldom = at // np.uint64(3) % np.uint64(40), (at * np.uint64(2654435761) >> np.uint64(9))
+    ids = (np.where(seldom % np.uint64(5) < 2, seldom, often) % np.uint64(vocabulary)).astype(np.uint32)
+    block = encode_block(ids, vocabulary)
+    assert zlib.crc32(block) == crc and (decode_block(block) == ids).all()
+
+
+def test_rows_are_worked_on_by_their_bytes():
+    import pyarrow as pa
+
+    from partforge.llm.staging import TOGETHER, by_bytes
+
+    short, long = (pa.RecordBatch.from_pydict({"text": ["a" * n] * 3000}) for n in (1, 50_000))
+    assert [b.num_rows for b in by_bytes(short)] == [3000]
+    assert sum(b.num_rows for b in by_bytes(long)) == 3000
+    assert max(b.num_rows for b in by_bytes(long)) * 50_000 <= TOGETHER
+    assert [b.num_rows for b in by_bytes(short.slice(0, 0))] == []
